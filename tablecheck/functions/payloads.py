@@ -6,24 +6,22 @@ from pyspark.sql import Column, functions as F, types as T
 
 
 def variant(payload: Column, data_type: T.DataType | None = None) -> Column:
-    """The payload as VARIANT; unreadable text becomes null."""
+    """The payload as VARIANT; text that is not exactly one JSON value is null.
+
+    `try_parse_json` stops after the first value and so accepts trailing text.
+    The text is therefore read as the only element of an array AND as the only
+    member of an object: a text that closes one of them early is an error in the
+    other, so both parse only if there is exactly one value.
+    """
     if isinstance(data_type, T.VariantType):
         return payload
-    return F.try_parse_json(payload)
+    in_array = F.try_parse_json(F.concat(F.lit("["), payload, F.lit("]")))
+    in_object = F.try_parse_json(F.concat(F.lit('{"v":'), payload, F.lit("}")))
+    return F.when(in_array.isNotNull(), F.try_variant_get(in_object, "$.v", "variant"))
 
 
 def is_valid_json(payload: Column) -> Column:
-    """Strictly one JSON value.
-
-    `try_parse_json` stops after the first value and so accepts trailing text.
-    Wrapped in brackets, trailing text breaks the syntax or adds an element.
-    """
-    wrapped = F.concat(F.lit("["), payload, F.lit("]"))
-    return (
-        F.try_parse_json(payload).isNotNull()
-        & F.try_parse_json(wrapped).isNotNull()
-        & (F.coalesce(F.json_array_length(wrapped), F.lit(0)) == 1)
-    )
+    return variant(payload).isNotNull()
 
 
 def at(v: Column, path: str) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import payloads as P
 from ..verdict import Judgement, Measurement, result, zero
@@ -50,18 +50,12 @@ def _counted(bad: str, metrics: dict[str, str]) -> Any:
 
 
 def invalid_rows(df: DataFrame, payload: str) -> DataFrame:
-    return df.filter(F.col(payload).isNotNull() & ~F.coalesce(_valid(df, payload), F.lit(False)))
-
-
-def _valid(df: DataFrame, payload: str) -> Column:
-    if isinstance(df.schema[payload].dataType, T.VariantType):
-        return F.lit(True)
-    return P.is_valid_json(F.col(payload))
+    return df.filter(F.col(payload).isNotNull() & parsed(df, payload).isNull())
 
 
 def json_valid_measurement(df: DataFrame, payload: str) -> Measurement:
     there = F.col(payload).isNotNull()
-    valid = F.coalesce(_valid(df, payload), F.lit(False))
+    valid = parsed(df, payload).isNotNull()
     return Measurement(
         df,
         {

@@ -218,7 +218,7 @@ def observed_columns(df: DataFrame, dataset: str, payload: str) -> DataFrame:
     JSON null, is nullable. Reduced per (dataset, key, type) on the map side."""
     from ..functions import payloads as P
 
-    v = df.select(F.col(dataset).alias("dataset"), F.try_parse_json(payload).alias("v"))
+    v = df.select(F.col(dataset).alias("dataset"), P.variant(F.col(payload)).alias("v"))
     totals = v.groupBy("dataset").agg(F.count(F.lit(1)).alias("rows"))
     fields = v.select(
         "dataset",

@@ -1 +1,180 @@
-"""(to come)"""
+"""Filters, windows, joins, aggregation, sampling."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F
+
+from tablecheck.functions.predicates import (
+    Filter,
+    apply_filters,
+    window_batch,
+    window_last,
+    window_range,
+)
+from tablecheck.operators import joins
+from tablecheck.operators.aggregates import ir_aggregate
+from tablecheck.plans.budget import auto_sample
+
+from .base import AS_OF, Tables, query
+
+
+@query(
+    "filters_all",
+    """
+    SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, l_returnflag FROM lineitem
+    WHERE l_returnflag = 'R' AND l_linestatus <> 'O' AND l_linenumber IN (1, 2, 3) AND l_suppkey NOT IN (5, 6)
+      AND l_quantity > 5 AND l_quantity < 45 AND l_discount >= 0.02 AND l_tax <= 0.06
+    """,
+)
+def filters_all(t: Tables) -> DataFrame:
+    return apply_filters(
+        t.lineitem,
+        [
+            Filter("l_returnflag", "equals", "R"),
+            Filter("l_linestatus", "not_equals", "O"),
+            Filter("l_linenumber", "in", [1, 2, 3]),
+            Filter("l_suppkey", "not_in", [5, 6]),
+            Filter("l_quantity", "gt", 5),
+            Filter("l_quantity", "lt", 45),
+            Filter("l_discount", "gte", 0.02),
+            Filter("l_tax", "lte", 0.06),
+        ],
+    ).select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_returnflag")
+
+
+@query(
+    "window_last_days",
+    """
+    SELECT event_id, ts FROM events
+    WHERE ts >= TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 7 DAY AND ts <= TIMESTAMP '2024-01-31 00:00:00'
+    """,
+)
+def window_last_days(t: Tables) -> DataFrame:
+    return window_last(t.events, "ts", days=7, as_of=AS_OF).select("event_id", "ts")
+
+
+@query(
+    "window_last_hours",
+    """
+    SELECT event_id, ts FROM events
+    WHERE ts >= TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 36 HOUR AND ts <= TIMESTAMP '2024-01-31 00:00:00'
+    """,
+)
+def window_last_hours(t: Tables) -> DataFrame:
+    return window_last(t.events, "ts", hours=36, as_of=AS_OF).select("event_id", "ts")
+
+
+@query(
+    "window_range",
+    """
+    SELECT o_orderkey, o_orderdate FROM orders
+    WHERE o_orderdate >= TIMESTAMP '1996-01-01' AND o_orderdate < TIMESTAMP '1997-01-01'
+    """,
+)
+def window_range_(t: Tables) -> DataFrame:
+    return window_range(t.orders, "o_orderdate", "1996-01-01", "1997-01-01").select("o_orderkey", "o_orderdate")
+
+
+@query("window_batch", "SELECT doc_id, lang, n_chars FROM documents WHERE source = 'src3'")
+def window_batch_(t: Tables) -> DataFrame:
+    return window_batch(t.documents, "source", "src3").select("doc_id", "lang", "n_chars")
+
+
+_CUST = "(SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey % 3 <> 0)"
+
+
+def _ir_join(t: Tables, how: str) -> DataFrame:
+    orders = t.orders.filter("o_custkey % 5 <> 1").select("o_orderkey", "o_custkey")
+    cust = t.customer.filter("c_custkey % 3 <> 0").select("c_custkey", "c_mktsegment")
+    return joins.ir_join(orders, cust, "PREP.ORDERS.o_custkey", "DIM.CUSTOMER.c_custkey", how)
+
+
+for _how, _sql in (("inner", "INNER"), ("left", "LEFT"), ("right", "RIGHT"), ("full", "FULL OUTER")):
+    query(
+        f"ir_join_{_how}",
+        f"""
+        SELECT o_orderkey, o_custkey, c_custkey, c_mktsegment
+        FROM (SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey % 5 <> 1)
+        {_sql} JOIN {_CUST} ON o_custkey = c_custkey
+        """,
+    )(lambda t, how=_how: _ir_join(t, how))
+
+
+@query(
+    "semi_join_covered",
+    "SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)",
+)
+def semi_join_covered(t: Tables) -> DataFrame:
+    good = t.labels.filter("quality = 1")
+    return joins.covered_rows(t.documents, ["doc_id"], good, ["doc_id"]).select("doc_id", "lang")
+
+
+@query(
+    "anti_join_rows",
+    """
+    SELECT l_orderkey, l_linenumber, l_suppkey FROM lineitem
+    WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_nationkey < 20)
+    """,
+)
+def anti_join_rows(t: Tables) -> DataFrame:
+    parent = t.supplier.filter("s_nationkey < 20")
+    return joins.orphan_rows(t.lineitem, ["l_suppkey"], parent, ["s_suppkey"]).select(
+        "l_orderkey", "l_linenumber", "l_suppkey"
+    )
+
+
+@query(
+    "key_compare",
+    """
+    WITH a AS (SELECT o_orderkey, o_totalprice AS v FROM orders WHERE o_orderkey % 4 <> 0),
+         b AS (SELECT o_orderkey, CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE o_totalprice END AS v FROM orders WHERE o_orderkey % 5 <> 0)
+    SELECT coalesce(a.o_orderkey, b.o_orderkey) AS o_orderkey,
+           CASE WHEN b.o_orderkey IS NULL THEN 'left' WHEN a.o_orderkey IS NULL THEN 'right'
+                WHEN a.v IS NOT DISTINCT FROM b.v THEN 'same' ELSE 'differs' END AS side,
+           a.v AS v_left, b.v AS v_right
+    FROM a FULL JOIN b ON a.o_orderkey = b.o_orderkey
+    """,
+)
+def key_compare(t: Tables) -> DataFrame:
+    a = t.orders.filter("o_orderkey % 4 <> 0").select("o_orderkey", F.col("o_totalprice").alias("v"))
+    b = t.orders.filter("o_orderkey % 5 <> 0").select(
+        "o_orderkey", F.expr("CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE o_totalprice END AS v")
+    )
+    return joins.key_compare(a, b, ["o_orderkey"], ["v"])
+
+
+@query(
+    "ir_aggregate",
+    """
+    SELECT l_returnflag, l_linestatus, count(*) AS n, count(DISTINCT l_orderkey) AS orders,
+           CAST(sum(CAST(l_extendedprice AS DECIMAL(18,4))) AS DOUBLE) AS revenue,
+           CAST(sum(CAST(l_quantity AS DECIMAL(18,4))) AS DOUBLE) / count(l_quantity) AS avg_qty,
+           min(l_shipdate) AS first_ship, max(l_shipdate) AS last_ship
+    FROM lineitem GROUP BY l_returnflag, l_linestatus
+    """,
+)
+def ir_aggregate_(t: Tables) -> DataFrame:
+    return ir_aggregate(
+        t.lineitem,
+        {
+            "n": ("count", "*"),
+            "orders": ("count_distinct", "l_orderkey"),
+            "revenue": ("sum", "l_extendedprice"),
+            "avg_qty": ("avg", "l_quantity"),
+            "first_ship": ("min", "l_shipdate"),
+            "last_ship": ("max", "l_shipdate"),
+        },
+        ["l_returnflag", "l_linestatus"],
+    )
+
+
+@query(
+    "sample_hash",
+    """
+    SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem
+    WHERE CAST('0x' || substr(md5(concat_ws('|', '42', l_orderkey::VARCHAR, l_linenumber::VARCHAR)), 1, 15) AS BIGINT) % 1000000 < 50000
+    """,
+)
+def sample_hash(t: Tables) -> DataFrame:
+    sampled = auto_sample(t.lineitem, 20_000_000, 1_000_000, 42, by=["l_orderkey", "l_linenumber"])
+    return sampled.select("l_orderkey", "l_linenumber", "l_partkey")
