@@ -33,21 +33,30 @@ def at_as(v: Column, path: str, data_type: str) -> Column:
     return F.try_variant_get(v, path, data_type)
 
 
+# Names of variant types and the class they belong to.
+TYPE_CLASSES = {
+    "STRING": "STRING",
+    "BIGINT": "NUMBER",
+    "DECIMAL": "NUMBER",
+    "DOUBLE": "NUMBER",
+    "FLOAT": "NUMBER",
+    "BOOLEAN": "BOOLEAN",
+    "ARRAY": "ARRAY",
+    "OBJECT": "OBJECT",
+    "VOID": "NULL",
+}
+
+
 def type_class(v: Column) -> Column:
-    """STRING, NUMBER, BOOLEAN, ARRAY, OBJECT, NULL (a JSON null) or OTHER."""
-    name = F.schema_of_variant(v)
-    return (
-        F.when(v.isNull(), F.lit(None))
-        .when(name == "STRING", "STRING")
-        .when(name.startswith("BIGINT"), "NUMBER")
-        .when(name.startswith("DECIMAL"), "NUMBER")
-        .when(name.isin("DOUBLE", "FLOAT"), "NUMBER")
-        .when(name == "BOOLEAN", "BOOLEAN")
-        .when(name.startswith("ARRAY"), "ARRAY")
-        .when(name.startswith("OBJECT"), "OBJECT")
-        .when(name == "VOID", "NULL")
-        .otherwise("OTHER")
-    )
+    """STRING, NUMBER, BOOLEAN, ARRAY, OBJECT, NULL (a JSON null) or OTHER.
+
+    One lookup on the leading word of the schema text (`DECIMAL(3,1)`,
+    `ARRAY<BIGINT>`): a chain of conditions would derive the schema once per
+    branch.
+    """
+    word = F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0)
+    classes = F.create_map(*[F.lit(x) for pair in TYPE_CLASSES.items() for x in pair])
+    return F.when(v.isNotNull(), F.coalesce(F.element_at(classes, word), F.lit("OTHER")))
 
 
 def array_size(v: Column, path: str) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import payloads as P
 from ..verdict import Judgement, Measurement, result, zero
@@ -46,6 +46,22 @@ def _counted(bad: str, metrics: dict[str, str]) -> Any:
     return judge
 
 
+def _missing_of(total: str, good: str, labels: tuple[str, str, str]) -> Any:
+    """Violations are what is in `total` and not in `good`."""
+
+    def judge(m: Any) -> Judgement:
+        bad = m(total) - m(good)
+        return Judgement(
+            violations=bad,
+            passed=zero(bad),
+            observed=bad,
+            expected=F.lit(0),
+            metrics=dict(zip(labels, (m(total), m(good), bad))),
+        )
+
+    return judge
+
+
 # ------------------------------------------------------------------- validity
 
 
@@ -54,19 +70,11 @@ def invalid_rows(df: DataFrame, payload: str) -> DataFrame:
 
 
 def json_valid_measurement(df: DataFrame, payload: str) -> Measurement:
-    there = F.col(payload).isNotNull()
-    valid = parsed(df, payload).isNotNull()
+    df = with_parsed(df, payload)
     return Measurement(
         df,
-        {
-            "total": F.count_if(there),
-            "valid": F.count_if(there & valid),
-            "invalid": F.count_if(there & ~valid),
-        },
-        _counted(
-            "invalid",
-            {"total_rows": "total", "valid_json_count": "valid", "invalid_json_count": "invalid"},
-        ),
+        {"total": F.count(payload), "valid": F.count(parsed(df, payload))},
+        _missing_of("total", "valid", ("total_rows", "valid_json_count", "invalid_json_count")),
     )
 
 
@@ -83,22 +91,12 @@ def missing_path_rows(df: DataFrame, payload: str, path: str) -> DataFrame:
 
 def json_path_measurement(df: DataFrame, payload: str, path: str) -> Measurement:
     """A JSON null counts as present."""
-    there = F.col(payload).isNotNull()
-    found = P.at(parsed(df, payload), path).isNotNull()
+    df = with_parsed(df, payload)
     return Measurement(
         df,
-        {
-            "total": F.count_if(there),
-            "present": F.count_if(there & found),
-            "missing": F.count_if(there & ~found),
-        },
-        _counted(
-            "missing",
-            {
-                "total_rows": "total",
-                "path_exists_count": "present",
-                "missing_path_count": "missing",
-            },
+        {"total": F.count(payload), "present": F.count(P.at(parsed(df, payload), path))},
+        _missing_of(
+            "total", "present", ("total_rows", "path_exists_count", "missing_path_count")
         ),
     )
 
@@ -116,21 +114,13 @@ def json_type_measurement(
     expected = expected.upper()
     if expected not in JSON_CLASSES:
         raise ValueError(f"JSON type must be one of {JSON_CLASSES}, not {expected!r}")
+    df = with_parsed(df, payload)
     cls = P.type_class(P.at(parsed(df, payload), path))
-    right = cls == expected
-    if allow_null:
-        right = right | (cls == "NULL")
+    right = cls.isin(expected, "NULL") if allow_null else cls == expected
     return Measurement(
         df,
-        {
-            "total": F.count_if(cls.isNotNull()),
-            "right": count_if(right),
-            "wrong": count_if(~right),
-        },
-        _counted(
-            "wrong",
-            {"total_rows": "total", "correct_type_count": "right", "wrong_type_count": "wrong"},
-        ),
+        {"total": F.count(cls), "right": F.count_if(right)},
+        _missing_of("total", "right", ("total_rows", "correct_type_count", "wrong_type_count")),
     )
 
 
@@ -205,6 +195,7 @@ def flatten_measurement(
     df: DataFrame, payload: str, path: str, tolerance: int = 0
 ) -> Measurement:
     """Source rows against array elements. Lengths are summed, nothing explodes."""
+    df = with_parsed(df, payload)
     size = P.array_size(parsed(df, payload), path)
 
     def judge(m: Any) -> Judgement:
@@ -311,6 +302,7 @@ def json_mapping_measurement(
 ) -> Measurement:
     """Rows with payload and column: equal, different, or path missing (a value
     that does not convert to the column's type differs)."""
+    df = with_parsed(df, payload)
     v = P.at(parsed(df, payload), path)
     typed = P.at_as(parsed(df, payload), path, df.schema[column].dataType.simpleString())
     both = F.col(payload).isNotNull() & F.col(column).isNotNull()
@@ -345,6 +337,7 @@ def check_json_mapping(
 def json_enum_measurement(
     df: DataFrame, payload: str, path: str, values: Sequence[Any]
 ) -> Measurement:
+    df = with_parsed(df, payload)
     value = P.at_as(parsed(df, payload), path, "string")
     bad = ~value.isin([str(x) for x in values])
     return Measurement(
@@ -376,6 +369,7 @@ def check_json_version(
 def json_timestamp_measurement(
     df: DataFrame, payload: str, path: str, fmt: str | None = None
 ) -> Measurement:
+    df = with_parsed(df, payload)
     text = P.at_as(parsed(df, payload), path, "string")
     ts = F.try_to_timestamp(text, F.lit(fmt)) if fmt else F.try_to_timestamp(text)
     return Measurement(
@@ -406,6 +400,7 @@ def json_fresh_measurement(
     as_of: Any = None,
     elapsed: bool = False,
 ) -> Measurement:
+    df = with_parsed(df, payload)
     return fresh_measurement(df, path_time(df, payload, path), last_hours, as_of, elapsed)
 
 
@@ -430,6 +425,7 @@ def json_late_measurement(
     sla_seconds: int,
     max_rate: float = 0.0,
 ) -> Measurement:
+    df = with_parsed(df, payload)
     return late_measurement(
         df, path_time(df, payload, path), F.col(arrival_ts), sla_seconds, max_rate
     )
@@ -453,22 +449,36 @@ def check_json_late(
 
 def key_profile(df: DataFrame, payload: str) -> DataFrame:
     """Top-level keys of object payloads, per key and type class: `n` rows,
-    total `length` of arrays, and `objects`, the number of payload objects."""
-    v = parsed(df, payload)
-    objects = df.select(v.alias("v")).filter(P.type_class(F.col("v")) == "OBJECT")
-    fields = objects.select(
-        F.explode(F.from_json(F.to_json("v"), "map<string,variant>")).alias("key", "value")
+    total `length` of arrays, and `objects`, the number of payload objects.
+
+    An extra element without a key stands for the object itself, so that the
+    number of objects comes from the same pass.
+    """
+    v = F.col(parsed_name(payload))
+    fields = with_parsed(df.select(payload), payload).select(
+        F.explode(object_fields(v)).alias("f")
     )
-    typed = fields.select(
-        "key",
-        P.type_class(F.col("value")).alias("type"),
-        P.array_size(F.col("value"), "$").alias("length"),
+    counted = (
+        fields.select(
+            F.col("f.key").alias("key"),
+            P.type_class(F.col("f.value")).alias("type"),
+            P.array_size(F.col("f.value"), "$").alias("length"),
+        )
+        .groupBy("key", "type")
+        .agg(rows().alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("length"))
     )
-    counted = typed.groupBy("key", "type").agg(
-        rows().alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("length")
+    # Few rows by now: one per key and type.
+    total = F.max(F.when(F.col("key").isNull(), F.col("n"))).over(W.partitionBy())
+    return counted.withColumn("objects", total).filter(F.col("key").isNotNull())
+
+
+def object_fields(v: Column) -> Column:
+    """Entries (key, value) of an object plus one (null, null); null otherwise."""
+    entries = F.map_entries(F.try_variant_get(v, "$", "map<string,variant>"))
+    itself = F.array(
+        F.struct(F.lit(None).cast("string").alias("key"), F.lit(None).cast("variant").alias("value"))
     )
-    total = objects.agg(rows().alias("objects")).scalar()
-    return counted.withColumn("objects", total)
+    return F.when(entries.isNotNull(), F.concat(entries, itself))
 
 
 def json_drift_rows(

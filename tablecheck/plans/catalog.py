@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..spec import DatasetMeta, ForeignKey
 
@@ -215,31 +215,42 @@ def catalog_from_tables(
 def observed_columns(df: DataFrame, dataset: str, payload: str) -> DataFrame:
     """Columns of the datasets that share one payload table: the JSON keys seen
     per dataset with their type class; a key that some rows lack, or hold as
-    JSON null, is nullable. Reduced per (dataset, key, type) on the map side."""
+    JSON null, is nullable. One pass, reduced per (dataset, key, type) on the map
+    side; rows without a readable object count as lacking every key."""
     from ..functions import payloads as P
+    from ..operators.payload import object_fields, parsed_name, with_parsed
 
-    v = df.select(F.col(dataset).alias("dataset"), P.variant(F.col(payload)).alias("v"))
-    totals = v.groupBy("dataset").agg(F.count(F.lit(1)).alias("rows"))
-    fields = v.select(
-        "dataset",
-        F.explode(F.from_json(F.to_json("v"), "map<string,variant>")).alias("column", "value"),
-    ).select("dataset", "column", P.type_class(F.col("value")).alias("type"))
+    v = F.col(parsed_name(payload))
+    lone = F.array(
+        F.struct(F.lit(None).cast("string").alias("key"), F.lit(None).cast("variant").alias("value"))
+    )
+    counted = (
+        with_parsed(df.select(F.col(dataset).alias("dataset"), payload), payload)
+        .select("dataset", F.explode(F.coalesce(object_fields(v), lone)).alias("f"))
+        .select(
+            "dataset", F.col("f.key").alias("column"), P.type_class(F.col("f.value")).alias("type")
+        )
+        .groupBy("dataset", "column", "type")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
     real = F.col("type") != "NULL"
+    per_column = counted.groupBy("dataset", "column").agg(
+        F.max(F.when(real, F.col("type"))).alias("type"),
+        F.count_if(real).alias("types"),
+        F.sum(F.when(real, F.col("n")).otherwise(0)).alias("n"),
+        F.sum("n").alias("all"),
+    )
+    # The row without a column holds the dataset's row count. A dataset has as
+    # many rows here as it has columns.
+    total = F.max(F.when(F.col("column").isNull(), F.col("all"))).over(W.partitionBy("dataset"))
     return (
-        fields.groupBy("dataset", "column", "type")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .groupBy("dataset", "column")
-        .agg(
-            F.max(F.when(real, F.col("type"))).alias("type"),
-            F.count_if(real).alias("types"),
-            F.sum(F.when(real, F.col("n")).otherwise(0)).alias("n"),
-        )
-        .join(totals, "dataset")
+        per_column.withColumn("total", total)
+        .filter(F.col("column").isNotNull())
         .select(
             "dataset",
             "column",
             F.when(F.col("types") > 1, "VARIANT").otherwise(F.col("type")).alias("type"),
-            (F.col("n") < F.col("rows")).alias("nullable"),
+            (F.col("n") < F.col("total")).alias("nullable"),
             F.lit(None).cast("string").alias("description"),
         )
     )

@@ -325,7 +325,10 @@ def gate(results: DataFrame) -> DataFrame:
             .alias("verdict"),
             "failures",
             "warnings",
-            F.element_at(F.array(F.lit("blocker"), F.lit("major"), F.lit("minor")), F.col("_worst")).alias("worst"),
+            F.when(F.col("_worst") == 1, "blocker")
+            .when(F.col("_worst") == 2, "major")
+            .when(F.col("_worst") == 3, "minor")
+            .alias("worst"),
         )
     )
 
