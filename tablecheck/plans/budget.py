@@ -7,6 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions.hashing import sample_bucket
+from ..sources.local import local_frame
 from ..spec import SEVERITIES, Suite
 
 
@@ -42,8 +43,8 @@ def plan_preview(
         for t in suite.tests
         if t.enabled
     ]
-    plan = spark.createDataFrame(
-        rows, "test string, type string, dataset string, severity string, gate string, scan_bytes bigint"
+    plan = local_frame(
+        spark, rows, "test string, type string, dataset string, severity string, gate string, scan_bytes bigint"
     )
     if history is None:
         return plan.withColumn("seconds", F.lit(None).cast("double"))

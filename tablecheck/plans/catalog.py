@@ -14,6 +14,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
+from ..sources.local import local_frame
 from ..spec import DatasetMeta, ForeignKey
 
 COLUMNS_SCHEMA = "dataset string, column string, type string, nullable boolean, description string"
@@ -65,7 +66,8 @@ def table_schema(df: DataFrame) -> DataFrame:
         )
         for i, f in enumerate(df.schema.fields)
     ]
-    return df.sparkSession.createDataFrame(
+    return local_frame(
+        df.sparkSession,
         rows,
         "position int, column string, type string, nullable boolean, default string, description string",
     )
@@ -76,8 +78,8 @@ def contract_frame(
 ) -> DataFrame:
     if isinstance(contract, DataFrame):
         return contract
-    return spark.createDataFrame(
-        [tuple(c) for c in contract], "column string, type string, nullable boolean"
+    return local_frame(
+        spark, [tuple(c) for c in contract], "column string, type string, nullable boolean"
     )
 
 
@@ -207,8 +209,8 @@ def catalog_from_tables(
             )
         )
     return Catalog(
-        spark.createDataFrame(datasets, DATASETS_SCHEMA),
-        spark.createDataFrame(columns, COLUMNS_SCHEMA),
+        local_frame(spark, datasets, DATASETS_SCHEMA),
+        local_frame(spark, columns, COLUMNS_SCHEMA),
     )
 
 

@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..sources.local import local_frame
+
 PROFILES = ("smoke", "standard", "deep", "custom")
 
 # Which check is proposed for which layer, how sure the proposal is
@@ -89,7 +91,7 @@ def propose_tests(
             )
             .drop("_kd", "_key")
         )
-    rules = spark.createDataFrame(list(RULES), RULES_SCHEMA)
+    rules = local_frame(spark, RULES, RULES_SCHEMA)
     upper = F.upper("dataset")
     applies = (
         F.when(F.col("needs") == "order", upper.contains("ORDER"))

@@ -16,11 +16,13 @@ from typing import Any
 
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions.predicates import apply_filters, apply_window
 from ..functions.times import moment
 from ..operators.payload import with_parsed
 from ..operators.privacy import redact
+from ..sources.local import local_frame
 from ..spec import RESULT_SCHEMA, Check, DatasetMeta, Suite
 from ..verdict import Measurement, RunContext, evaluate, union_all
 from .budget import severity_rank
@@ -56,7 +58,7 @@ def _plain_frame(spark: SparkSession, ctx: RunContext, rows: Sequence[tuple]) ->
     """Rows of checks that did not run (skipped or not plannable)."""
     fields = RESULT_SCHEMA.fields[:-1]
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields)
-    return spark.createDataFrame(list(rows), schema).withColumn("as_of", moment(ctx.as_of))
+    return local_frame(spark, rows, schema).withColumn("as_of", moment(ctx.as_of))
 
 
 @dataclass
@@ -187,8 +189,8 @@ def validate_suite(
     planned = plan_suite(suite, Env(tables, metas or {}, as_of or now()))
     rows = [(c.name, c.type, c.dataset, True, None) for g in planned.groups for c, _ in g]
     rows += [(c.name, c.type, c.dataset, s == "skip", m) for c, s, m in planned.not_run]
-    return spark.createDataFrame(
-        rows, "test string, type string, dataset string, valid boolean, message string"
+    return local_frame(
+        spark, rows, "test string, type string, dataset string, valid boolean, message string"
     )
 
 
@@ -254,8 +256,8 @@ def execute_suite(
             out += list(_run_group(spark, group, ctx))
     finally:
         spark.removeTag(tag)
-    schema = RESULT_SCHEMA.simpleString()[len("struct<") : -1] + ",duration_ms:bigint"
-    return spark.createDataFrame(out, f"struct<{schema}>")
+    schema = StructType([*RESULT_SCHEMA.fields, StructField("duration_ms", LongType())])
+    return local_frame(spark, out, schema)
 
 
 # --------------------------------------------------------------------- samples
@@ -294,7 +296,7 @@ def sample_violations(
             .limit(limit)
         )
     if not frames:
-        return spark.createDataFrame([], "_test string, row string")
+        return local_frame(spark, [], "_test string, row string")
     return union_all(frames)
 
 

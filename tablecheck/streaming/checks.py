@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.times import epoch_micros, from_epoch_micros
 from ..plans.suite import run_suite
+from ..sources.local import local_frame
 from ..spec import Suite
 
 EVENT_TIME = "_event_time"
@@ -164,7 +165,7 @@ def batch_lateness(
             F.count(F.lit(1)).alias("n"), late.alias("late"), F.max(us).alias("newest")
         ).withColumn("batch_id", F.lit(batch_id).cast("bigint"))
         row = counted.first()
-        result = spark.createDataFrame([row], counted.schema)
+        result = local_frame(spark, [tuple(row)], counted.schema)
         result.select("newest", "batch_id").write.mode("overwrite").parquet(
             f"{store}/part={batch_id}"
         )
