@@ -116,15 +116,16 @@ def scan_csv(
 
 
 def csv_rejects(spark: SparkSession, path: str, companion: Mapping[str, Any], **options: Any) -> DataFrame:
-    """Number of rows read and rejected. All columns take part, because Spark
-    only parses (and so only rejects) the columns a query needs."""
+    """Number of rows read and rejected, and a hash of what was read. All columns
+    take part, because Spark only parses (and so only rejects) the columns a
+    query needs."""
     df = scan_csv(spark, path, companion, **options)
     touched = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns if c != CORRUPT])
     return df.select(F.col(CORRUPT), touched.alias("_h")).agg(
         F.count(F.lit(1)).alias("total_rows"),
         F.count(CORRUPT).alias("rejected_rows"),
-        F.bit_xor("_h").alias("row_hash"),
-    ).drop("row_hash")
+        F.bit_xor("_h").alias("content_hash"),
+    )
 
 
 def scan_arrow(spark: SparkSession, paths: str | Sequence[str], schema: str | T.StructType) -> DataFrame:
