@@ -78,20 +78,59 @@ def hide(c: Column, strategy: str = "mask") -> Column:
     raise ValueError(f"strategy must be one of {STRATEGIES}, not {strategy!r}")
 
 
+# Cheap conditions every match must meet: an email has an @, every other pattern a
+# digit followed by a digit or a dot. Most text meets neither, and then no pattern
+# is tried at all; the answer is the same.
+
+
+def may_have_email(c: Column) -> Column:
+    return F.contains(c, F.lit("@"))
+
+
+def may_have_number(c: Column) -> Column:
+    return c.rlike("[0-9][0-9.]")
+
+
+def may_have(c: Column, kind: str) -> Column:
+    return may_have_email(c) if kind == "email" else may_have_number(c)
+
+
+def _replace(c: Column, kind: str) -> Column:
+    return F.regexp_replace(c, VALUE_PATTERNS[kind], placeholder(kind))
+
+
+_NUMERIC = tuple(k for k in VALUE_PATTERNS if k != "email")
+
+
 def redact_values(c: Column) -> Column:
     """Replace every match of the first pattern that occurs; other text stays."""
-    out = c
-    for kind, pattern in reversed(list(VALUE_PATTERNS.items())):
-        out = F.when(c.rlike(pattern), F.regexp_replace(c, pattern, placeholder(kind))).otherwise(out)
-    return out
+    numbers = c
+    for kind in reversed(_NUMERIC):
+        numbers = F.when(c.rlike(VALUE_PATTERNS[kind]), _replace(c, kind)).otherwise(numbers)
+    return F.when(
+        may_have_email(c) & c.rlike(VALUE_PATTERNS["email"]), _replace(c, "email")
+    ).otherwise(F.when(may_have_number(c), numbers).otherwise(c))
 
 
 def redact_text(c: Column) -> Column:
-    """All patterns, one after the other."""
-    for kind, pattern in VALUE_PATTERNS.items():
-        c = F.regexp_replace(c, pattern, placeholder(kind))
-    return c
+    """All patterns, one after the other. A replacement never puts two digits
+    next to each other, so the original text decides what may follow."""
+    emails = F.when(may_have_email(c), _replace(c, "email")).otherwise(c)
+    numbers = emails
+    for kind in _NUMERIC:
+        numbers = _replace(numbers, kind)
+    return F.when(may_have_number(c), numbers).otherwise(emails)
 
 
-def count_matches(c: Column, kind: str) -> Column:
-    return F.coalesce(F.regexp_count(c, F.lit(VALUE_PATTERNS[kind])), F.lit(0))
+def count_matches(c: Column, kind: str, possible: Column | None = None) -> Column:
+    """Matches of one pattern; `possible` may hold `may_have(c, kind)`."""
+    possible = may_have(c, kind) if possible is None else possible
+    return F.when(possible, F.regexp_count(c, F.lit(VALUE_PATTERNS[kind]))).otherwise(0)
+
+
+def has_match(c: Column) -> Column:
+    numbers = "|".join(f"(?:{VALUE_PATTERNS[k]})" for k in _NUMERIC)
+    found = (may_have_email(c) & c.rlike(VALUE_PATTERNS["email"])) | (
+        may_have_number(c) & c.rlike(numbers)
+    )
+    return F.coalesce(found, F.lit(False))

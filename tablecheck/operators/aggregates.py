@@ -19,7 +19,7 @@ def rows() -> Column:
 
 def count_if(p: Column) -> Column:
     """Number of rows for which the predicate is true (null is not true)."""
-    return F.count_if(F.coalesce(p, F.lit(False)))
+    return F.count_if(p)
 
 
 def exact(c: Column, data_type: T.DataType) -> Column:

@@ -51,10 +51,24 @@ def redact(df: DataFrame, strategy: str = "mask") -> DataFrame:
 def pii_scan(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Matches and affected rows per text column and pattern, in one pass."""
     columns = list(columns or string_columns(df))
+    guarded = df.select(
+        *columns,
+        *[P.may_have_email(F.col(c)).alias(f"_e{i}") for i, c in enumerate(columns)],
+        *[P.may_have_number(F.col(c)).alias(f"_n{i}") for i, c in enumerate(columns)],
+    )
+    counted = guarded.select(
+        *[
+            P.count_matches(F.col(c), kind, F.col(f"_{'e' if kind == 'email' else 'n'}{i}")).alias(
+                f"c{i}_{kind}"
+            )
+            for i, c in enumerate(columns)
+            for kind in P.VALUE_PATTERNS
+        ]
+    )
     aggregates, lines = [], []
     for i, c in enumerate(columns):
         for kind in P.VALUE_PATTERNS:
-            n = P.count_matches(F.col(c), kind)
+            n = F.col(f"c{i}_{kind}")
             aggregates += [
                 F.coalesce(F.sum(n), F.lit(0)).alias(f"m{i}_{kind}"),
                 F.count_if(n > 0).alias(f"r{i}_{kind}"),
@@ -67,14 +81,13 @@ def pii_scan(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
                     F.col(f"r{i}_{kind}").alias("rows_affected"),
                 )
             )
-    return df.agg(*aggregates).select(F.inline(F.array(*lines)))
+    return counted.agg(*aggregates).select(F.inline(F.array(*lines)))
 
 
 def pii_rows(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     cond = F.lit(False)
     for c in columns or string_columns(df):
-        for pattern in P.VALUE_PATTERNS.values():
-            cond = cond | F.coalesce(F.col(c).rlike(pattern), F.lit(False))
+        cond = cond | P.has_match(F.col(c))
     return df.filter(cond)
 
 

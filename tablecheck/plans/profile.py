@@ -29,7 +29,9 @@ def profile(
     min, max, avg, stddev: one aggregate over all columns.
 
     Distinct counts are sketches (a few KB per column, merged like any partial
-    aggregate) unless asked for exactly, for all or for named columns.
+    aggregate) unless asked for exactly, for all or for named columns. An exact
+    count is a query of its own that reads only its column: several distinct
+    counts in one aggregate would multiply every row by the number of columns.
     """
     names = list(columns or df.columns)
     exact_for = set(names if exact_distinct is True else (exact_distinct or ()))
@@ -39,13 +41,13 @@ def profile(
         t = df.schema[name].dataType
         c = F.col(name)
         numeric, ordered = isinstance(t, _NUMERIC), not isinstance(t, _UNORDERED)
+        aggs.append(F.count(c).alias(f"p{i}_count"))
         distinct: Column = none
-        if ordered:
-            distinct = F.count_distinct(c) if name in exact_for else F.approx_count_distinct(c, rsd)
-        aggs += [
-            F.count(c).alias(f"p{i}_count"),
-            distinct.alias(f"p{i}_distinct") if ordered else F.max(none).alias(f"p{i}_distinct"),
-        ]
+        if ordered and name in exact_for:
+            distinct = df.agg(F.count_distinct(c).alias("d")).scalar()
+        elif ordered:
+            aggs.append(F.approx_count_distinct(c, rsd).alias(f"p{i}_distinct"))
+            distinct = F.col(f"p{i}_distinct")
         simple = ordered and not isinstance(t, (T.ArrayType, T.StructType))
         if simple:
             aggs += [F.min(c).alias(f"p{i}_min"), F.max(c).alias(f"p{i}_max")]
@@ -60,7 +62,7 @@ def profile(
                 F.col("n").alias("row_count"),
                 (F.col("n") - count).alias("null_count"),
                 F.when(F.col("n") > 0, (F.col("n") - count) / F.col("n")).cast("double").alias("null_rate"),
-                F.col(f"p{i}_distinct").cast("bigint").alias("distinct_count"),
+                distinct.cast("bigint").alias("distinct_count"),
                 (_text(F.col(f"p{i}_min"), t) if simple else none.cast("string")).alias("min"),
                 (_text(F.col(f"p{i}_max"), t) if simple else none.cast("string")).alias("max"),
                 (

@@ -24,7 +24,7 @@ from ..operators.payload import with_parsed
 from ..operators.privacy import redact
 from ..sources.local import local_frame
 from ..spec import RESULT_SCHEMA, Check, DatasetMeta, Suite
-from ..verdict import Measurement, RunContext, evaluate, union_all
+from ..verdict import Measurement, RunContext, analyse, evaluate, union_all
 from .budget import severity_rank
 from .registry import Env, measurement_of, violating_rows
 
@@ -122,7 +122,7 @@ def plan_suite(suite: Suite, env: Env, names: Sequence[str] | None = None) -> Pl
                 bases[key] = base_frame(check, env)
             base = bases[key]
             m = measurement_of(base, check, env)
-            evaluate([(check, m)])  # analyses the plan, runs nothing
+            analyse(m)
         except (PySparkException, ValueError, KeyError, TypeError, AttributeError) as e:
             not_run.append((check, "error", _message(e)))
             continue

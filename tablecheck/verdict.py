@@ -45,54 +45,75 @@ class RunContext:
     as_of: Any = None
 
 
-def _text(c: Column) -> Column:
-    return c.cast("string")
+def _sql_text(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _result_struct(check: Check, j: Judgement, ctx: RunContext) -> Column:
+def _line(check: Check, j: Judgement) -> Column:
+    """One check's part of the result. Types are settled once for all lines by
+    the array they go into and the cast after it, which keeps the number of
+    expressions per check small."""
     none = F.lit(None)
-    metrics = (
-        F.create_map(*[x for k, v in j.metrics.items() for x in (F.lit(k), _text(v))])
-        if j.metrics
-        else none
+    label = ", ".join(
+        f"'{k}', {_sql_text(getattr(check, a))}"
+        for k, a in (
+            ("test", "name"),
+            ("type", "type"),
+            ("dataset", "dataset"),
+            ("severity", "severity"),
+            ("gate", "gate"),
+        )
     )
-    values = {
-        "run_id": F.lit(ctx.run_id),
-        "suite": F.lit(ctx.suite),
-        "test": F.lit(check.name),
-        "type": F.lit(check.type),
-        "dataset": F.lit(check.dataset),
-        "severity": F.lit(check.severity),
-        "gate": F.lit(check.gate),
-        "status": F.when(F.coalesce(j.passed, F.lit(False)), "pass").otherwise("fail"),
-        "violations": j.violations,
-        "observed": none if j.observed is None else j.observed,
-        "expected": none if j.expected is None else j.expected,
-        "tolerance": none if j.tolerance is None else j.tolerance,
-        "metrics": metrics,
-        "error_message": none if j.message is None else j.message,
-        "as_of": moment(ctx.as_of),
-    }
+    metrics = [x for k, v in j.metrics.items() for x in (F.lit(k), v.cast("string"))]
     return F.struct(
-        *[values[f.name].cast(f.dataType).alias(f.name) for f in RESULT_SCHEMA.fields]
+        F.expr(f"named_struct({label})").alias("label"),
+        F.when(j.passed, "pass").otherwise("fail").alias("status"),
+        j.violations.cast("bigint").alias("violations"),
+        *[
+            (none if c is None else c).cast("double").alias(name)
+            for name, c in (
+                ("observed", j.observed),
+                ("expected", j.expected),
+                ("tolerance", j.tolerance),
+            )
+        ],
+        (F.create_map(*metrics) if metrics else none).cast("map<string,string>").alias("metrics"),
+        (none if j.message is None else j.message).cast("string").alias("error_message"),
     )
 
 
+def analyse(m: Measurement) -> None:
+    """Raises if the measures do not fit the frame; runs nothing."""
+    m.frame.agg(*[c.alias(name) for name, c in m.measures.items()])
+
+
 def evaluate(
     items: Sequence[tuple[Check, Measurement]], ctx: RunContext = RunContext()
 ) -> DataFrame:
     """Result rows for measurements that share one frame: one scan, one `agg`."""
     frame = items[0][1].frame
-    aggregates, structs = [], []
+    aggregates, lines = [], []
     for i, (check, m) in enumerate(items):
         if m.frame is not frame:
             raise ValueError("evaluate() needs measurements over one frame")
         aggregates += [c.alias(f"m{i}_{name}") for name, c in m.measures.items()]
-        structs.append(
-            _result_struct(check, m.judge(lambda name, i=i: F.col(f"m{i}_{name}")), ctx)
+        lines.append(_line(check, m.judge(lambda name, i=i: F.col(f"m{i}_{name}"))))
+    return (
+        frame.agg(*aggregates)
+        .select(F.inline(F.array(*lines)))
+        .select(
+            F.lit(ctx.run_id).alias("run_id"),
+            F.lit(ctx.suite).alias("suite"),
+            "label.*",
+            *[
+                f.name
+                for f in RESULT_SCHEMA.fields
+                if f.name
+                not in ("run_id", "suite", "test", "type", "dataset", "severity", "gate", "as_of")
+            ],
+            moment(ctx.as_of).alias("as_of"),
         )
-    row = frame.agg(*aggregates)
-    return row.select(F.inline(F.array(*structs)))
+    )
 
 
 def evaluate_one(check: Check, m: Measurement, ctx: RunContext = RunContext()) -> DataFrame:
