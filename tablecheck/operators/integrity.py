@@ -173,18 +173,33 @@ Dimension = tuple[Sequence[str], DataFrame, Sequence[str]]
 
 
 def coverage_frame(fact: DataFrame, dims: Sequence[Dimension]) -> DataFrame:
-    """One row per combination of reference values: `n` rows and a flag per
-    dimension. Copies of a combination collapse before anything is joined."""
-    columns = [c for cols, _, _ in dims for c in cols]
-    names = list(dict.fromkeys(columns))
-    frame = fact.groupBy(*names).agg(rows().alias("n"))
-    for i, (cols, dim, ref) in enumerate(dims):
-        keys = distinct_keys_flagged(dim, ref, i)
-        cond = reduce(
-            lambda a, b: a & b, [frame[c] == keys[f"d{i}_{j}"] for j, c in enumerate(cols)]
-        )
-        frame = frame.join(keys, cond, "left").drop(*[f"d{i}_{j}" for j in range(len(cols))])
-    return frame
+    """Fact rows as counted combinations: `n` and a flag `hit<i>` per dimension.
+
+    Dimensions below the broadcast threshold come first and cost no shuffle. For
+    every other one the fact is first reduced to the keys still needed and the
+    flags found so far: copies of a hot key collapse on the map side, before the
+    join, and each join leaves one key less.
+    """
+    small = [i for i, d in enumerate(dims) if joins.broadcastable(d[1])]
+    large = [i for i in range(len(dims)) if i not in small]
+    columns = list(dict.fromkeys(c for cols, _, _ in dims for c in cols))
+    frame = fact.select(*columns, F.lit(1).cast("bigint").alias("n"))
+    for i in small:
+        frame = _flag(frame, dims[i], i)
+    hits = [f"hit{i}" for i in small]
+    for at, i in enumerate(large):
+        needed = list(dict.fromkeys(c for k in large[at:] for c in dims[k][0]))
+        frame = frame.groupBy(*needed, *hits).agg(F.sum("n").alias("n"))
+        frame = _flag(frame, dims[i], i)
+        hits.append(f"hit{i}")
+    return frame.select("n", *hits)
+
+
+def _flag(frame: DataFrame, dim: Dimension, i: int) -> DataFrame:
+    cols, table, ref = dim
+    keys = distinct_keys_flagged(table, ref, i)
+    cond = reduce(lambda a, b: a & b, [frame[c] == keys[f"d{i}_{j}"] for j, c in enumerate(cols)])
+    return frame.join(keys, cond, "left").drop(*[f"d{i}_{j}" for j in range(len(cols))])
 
 
 def distinct_keys_flagged(dim: DataFrame, ref: Sequence[str], i: int) -> DataFrame:

@@ -11,7 +11,6 @@ gives the same answer; its width only sets how much one task sees.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
@@ -34,25 +33,24 @@ def prior_maximum(
     `bucket` must not decrease along `order`.
     """
     cut = df.withColumn("_bucket", bucket)
-    summary = cut.groupBy(*keys, "_bucket").agg(F.max(value).alias("_bucket_max"))
     earlier = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    summary = summary.select(
-        *[F.col(k).alias(f"_s_{k}") for k in keys],
-        F.col("_bucket").alias("_s_bucket"),
-        F.max("_bucket_max").over(earlier).alias("_before_bucket"),
-    )
-    cond = reduce(
-        lambda a, b: a & b,
-        [F.col(k).eqNullSafe(F.col(f"_s_{k}")) for k in keys],
-        F.col("_bucket").eqNullSafe(F.col("_s_bucket")),
+    # What a bucket inherits enters it as an extra first row, so the rows
+    # themselves are shuffled once, by (key, bucket), and joined with nothing.
+    inherited = (
+        cut.groupBy(*keys, "_bucket")
+        .agg(F.max(value).alias("_max"))
+        .select(*keys, "_bucket", F.max("_max").over(earlier).alias(value), F.lit(0).alias("_row"))
     )
+    both = cut.withColumn("_row", F.lit(1)).unionByName(inherited, allowMissingColumns=True)
     within = (
-        W.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+        W.partitionBy(*keys, "_bucket")
+        .orderBy("_row", *order)
+        .rowsBetween(W.unboundedPreceding, -1)
     )
     return (
-        cut.join(summary, cond, "left")
-        .withColumn(out, F.greatest(F.max(value).over(within), F.col("_before_bucket")))
-        .drop("_bucket", "_s_bucket", "_before_bucket", *[f"_s_{k}" for k in keys])
+        both.withColumn(out, F.max(value).over(within))
+        .filter(F.col("_row") == 1)
+        .drop("_bucket", "_row")
     )
 
 
@@ -97,11 +95,10 @@ def interval_frame(
         .groupBy(*keys, "start", "end", "open")
         .agg(rows().alias("n"))
     )
-    dated = base.filter(F.col("start").isNotNull())
+    # A row without a start has no place on the line: it ends nothing earlier.
+    dated = base.withColumn("_end", F.when(F.col("start").isNotNull(), F.col("end")))
     bucket = F.floor(F.col("start") / F.lit(bucket_width))
-    return prior_maximum(dated, keys, ["start", "end", "open"], "end", bucket).unionByName(
-        base.filter(F.col("start").isNull()).withColumn("prior_max", F.lit(None).cast("bigint"))
-    )
+    return prior_maximum(dated, keys, ["start", "end", "open"], "_end", bucket).drop("_end")
 
 
 def scd2_measurement(

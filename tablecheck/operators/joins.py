@@ -24,6 +24,14 @@ def all_present(columns: Sequence[str]) -> Column:
     return cond
 
 
+def broadcastable(df: DataFrame) -> bool:
+    """Whether Spark itself would broadcast this table: its estimated size, from
+    file sizes and statistics, against the session's threshold."""
+    limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return 0 < limit and int(size) <= limit
+
+
 def key_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Rows per complete key: columns k0.., n."""
     return (

@@ -179,9 +179,11 @@ def agg_match_frame(
         cond = reduce(
             lambda x, y: x & y, [F.col(f"a_{g}").eqNullSafe(F.col(f"b_{g}")) for g in group_by]
         )
+        joined = a.join(b, cond, "full_outer")
     else:
-        cond = F.col("_a") == F.col("_b")
-    joined = a.join(b, cond, "full_outer")
+        # Two single rows: put side by side by a maximum instead of a join.
+        stacked = a.unionByName(b, allowMissingColumns=True)
+        joined = stacked.agg(*[F.max(c).alias(c) for c in stacked.columns])
     both = F.col("_a").isNotNull() & F.col("_b").isNotNull()
     return joined.select(
         *[F.coalesce(F.col(f"a_{g}"), F.col(f"b_{g}")).alias(g) for g in group_by],

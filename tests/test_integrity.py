@@ -217,3 +217,17 @@ def test_unique_matches_python(spark, rows):
     assert (r.violations == 0) == (r.status == "pass")
     twice = result_of(integrity.check_unique(df.unionByName(df), ["k"]))
     assert twice.violations >= r.violations
+
+
+def test_coverage_without_broadcast(spark, frame):
+    """Large dimensions: the fact is reduced before each join; same answer."""
+    fact = frame([(1, 10)] * 50 + [(2, 10), (None, 10), (1, 99)], "a int, b int")
+    da, db = frame([(1,), (2,)], "id int"), frame([(10,)], "id int")
+    dims = [(["a"], da, ["id"]), (["b"], db, ["id"])]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        r = result_of(integrity.check_fact_coverage(fact, dims))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert (r.violations, r.metrics["total_rows"], r.metrics["missing.a"]) == (2, "53", "1")

@@ -97,10 +97,12 @@ def test_no_window_holds_a_whole_key(frame):
     """Every window over detail rows is partitioned by key AND bucket."""
     df = frame([(1, day(0), day(1))], SCHEMA)
     plan = intervals.interval_frame(df, "k", "f", "t")._jdf.queryExecution().executedPlan().toString()
-    windows = [x for x in plan.splitlines() if " Window [" in x or "- Window [" in x]
-    assert windows
-    detail = [w for w in windows if "_bucket_max" not in w]
-    assert detail and all("_bucket" in w.split("], [")[1] for w in detail)
+    windows = [x for x in plan.splitlines() if "- Window [" in x]
+    detail = [w for w in windows if "_row#" in w]
+    assert len(windows) == 2 and len(detail) == 1
+    assert "_bucket#" in detail[0].split("], [")[1]
+    summary = [x for x in plan.splitlines() if "HashAggregate(keys=[k#" in x and "partial_max(" in x]
+    assert summary, "buckets are reduced on the map side before the window over a key"
 
 
 def test_late_rate(frame):
