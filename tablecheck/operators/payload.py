@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import payloads as P
 from ..verdict import Judgement, Measurement, result, zero
@@ -465,11 +465,21 @@ def key_profile(df: DataFrame, payload: str) -> DataFrame:
             P.array_size(F.col("f.value"), "$").alias("length"),
         )
         .groupBy("key", "type")
-        .agg(rows().alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("length"))
+        .agg(
+            rows().alias("n"),
+            F.count("key").alias("keyed"),
+            F.coalesce(F.sum("length"), F.lit(0)).alias("length"),
+        )
+    )
+    # The subquery reads the same counts, and both conditions are on counted
+    # values, which no filter can move below the count: Spark counts once.
+    own = F.when(F.col("keyed") == 0, F.col("n") + F.col("length"))
+    total = counted.agg(F.max(own).alias("objects")).scalar()
+    return (
+        counted.withColumn("objects", total)
+        .filter(F.col("keyed") > 0)
+        .select("key", "type", "n", "length", "objects")
     )
-    # Few rows by now: one per key and type.
-    total = F.max(F.when(F.col("key").isNull(), F.col("n"))).over(W.partitionBy())
-    return counted.withColumn("objects", total).filter(F.col("key").isNotNull())
 
 
 def object_fields(v: Column) -> Column:

@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..sources.local import local_frame
 from ..spec import DatasetMeta, ForeignKey
@@ -240,14 +240,17 @@ def observed_columns(df: DataFrame, dataset: str, payload: str) -> DataFrame:
         F.max(F.when(real, F.col("type"))).alias("type"),
         F.count_if(real).alias("types"),
         F.sum(F.when(real, F.col("n")).otherwise(0)).alias("n"),
-        F.sum("n").alias("all"),
+        F.count("column").alias("keyed"),
+    )
+    # The entry without a column holds the dataset's row count. Both aggregates
+    # read the same counts, and the filter on a counted value stays above them,
+    # so Spark counts once.
+    totals = counted.groupBy(F.col("dataset").alias("_d")).agg(
+        F.sum(F.when(F.col("column").isNull(), F.col("n"))).alias("total")
     )
-    # The row without a column holds the dataset's row count. A dataset has as
-    # many rows here as it has columns.
-    total = F.max(F.when(F.col("column").isNull(), F.col("all"))).over(W.partitionBy("dataset"))
     return (
-        per_column.withColumn("total", total)
-        .filter(F.col("column").isNotNull())
+        per_column.join(totals, F.col("dataset").eqNullSafe(F.col("_d")))
+        .filter(F.col("keyed") > 0)
         .select(
             "dataset",
             "column",

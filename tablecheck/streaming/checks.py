@@ -133,6 +133,27 @@ def sessions(
     )
 
 
+def silence_alarms(
+    stream: DataFrame, ts: str, delay: str, sla: str, by: Sequence[str]
+) -> DataFrame:
+    """Freshness per key: one alarm whenever a key has been silent for `sla`.
+
+    A session with the SLA as its gap closes exactly then, so the timers are
+    Spark's own and rows of a hot key are merged before the shuffle where
+    spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition is on.
+    """
+    timed = with_event_time(stream, ts, delay)
+    out = timed.groupBy(F.session_window(EVENT_TIME, sla).alias("w"), *by).agg(
+        F.max(EVENT_TIME).alias("_last"), F.count(F.lit(1)).alias("n")
+    )
+    return out.select(
+        *by,
+        as_ntz(F.col("_last")).alias("last_seen"),
+        as_ntz(F.col("w.end")).alias("alarm_at"),
+        "n",
+    )
+
+
 def batch_lateness(
     stream: DataFrame,
     ts: str,

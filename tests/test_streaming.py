@@ -98,3 +98,11 @@ def test_late_counts(spark, feed, tmp_path):
     Z.update_to(frame, f"{tmp_path}/out", f"{tmp_path}/ck").awaitTermination()
     r = Z.latest(spark, f"{tmp_path}/out", ["window_start", "window_end"]).first()
     assert (r.n, r.late) == (2, 1)
+
+
+def test_silence(spark, feed, tmp_path):
+    stream = feed([(1, "a", at(0)), (2, "a", at(5)), (3, "b", at(500))], [(4, "b", at(501))])
+    frame = Z.silence_alarms(stream, "ts", "1 minute", "1 hour", ["k"])
+    Z.append_to(frame, f"{tmp_path}/out", f"{tmp_path}/ck").awaitTermination()
+    got = [tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").select("k", "last_seen", "alarm_at", "n").collect()]
+    assert got == [("a", at(5), at(65), 2)]

@@ -116,6 +116,21 @@ def stream_sessions(t: Tables) -> DataFrame:
     return _appended(t, Z.sessions(_stream(t), "ts", "1 hour", "8 hours", ["user_id"]))
 
 
+@query(
+    "stream_silence",
+    """
+    WITH g AS (SELECT event_type, user_id % 20 AS source, ts FROM events),
+         l AS (SELECT *, CASE WHEN ts - lag(ts) OVER w >= INTERVAL 3 HOUR OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM g WINDOW w AS (PARTITION BY event_type, source ORDER BY ts)),
+         s AS (SELECT *, sum(new) OVER (PARTITION BY event_type, source ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sid FROM l),
+         a AS (SELECT event_type, source, max(ts) AS last_seen, max(ts) + INTERVAL 3 HOUR AS alarm_at, count(*) AS n FROM s GROUP BY event_type, source, sid)
+    SELECT * FROM a WHERE alarm_at <= (SELECT date_trunc('millisecond', max(ts)) FROM events) - INTERVAL 1 HOUR
+    """,
+)
+def stream_silence(t: Tables) -> DataFrame:
+    s = _stream(t).withColumn("source", F.col("user_id") % 20)
+    return _appended(t, Z.silence_alarms(s, "ts", "1 hour", "3 hours", ["event_type", "source"]))
+
+
 @query(
     "stream_suite",
     """
