@@ -27,6 +27,16 @@ def with_parsed(df: DataFrame, payload: str) -> DataFrame:
     return df.withColumn(parsed_name(payload), v)
 
 
+def parsed_rows(df: DataFrame, payload: str) -> DataFrame:
+    """Like `with_parsed`, for results that may be filtered afterwards. A filter
+    moves below a projection and takes a copy of the parsing with it; it cannot
+    move below a generated column."""
+    if parsed_name(payload) in df.columns:
+        return df
+    v = P.variant(F.col(payload), df.schema[payload].dataType)
+    return df.select("*", F.explode(F.array(v)).alias(parsed_name(payload)))
+
+
 def parsed(df: DataFrame, payload: str) -> Column:
     if parsed_name(payload) in df.columns:
         return F.col(parsed_name(payload))
@@ -138,13 +148,16 @@ def check_json_type(
 
 
 def path_value_counts(df: DataFrame, payload: str, path: str) -> DataFrame:
-    """Rows per value of a path. VARIANT cannot be grouped, its text can."""
+    """Rows per value of a path. VARIANT cannot be grouped, its text can.
+
+    Rows without a value end up in one group with count 0: leaving them out with
+    a filter before the count would parse every payload a second time.
+    """
     value = P.at_as(parsed(df, payload), path, "string")
     return (
         df.select(value.alias("json_value"))
-        .filter(F.col("json_value").isNotNull())
         .groupBy("json_value")
-        .agg(rows().alias("duplicate_count"))
+        .agg(F.count("json_value").alias("duplicate_count"))
     )
 
 
@@ -573,7 +586,7 @@ def project_paths(
 ) -> DataFrame:
     """`{"user": ("$.user_id", "bigint")}` as typed columns; what is missing or
     does not convert is null."""
-    base = with_parsed(df.select(*keep, payload) if payload not in keep else df.select(*keep), payload)
+    base = parsed_rows(df.select(*dict.fromkeys([*keep, payload])), payload)
     v = F.col(parsed_name(payload))
     return base.select(
         *keep, *[P.at_as(v, path, t).alias(name) for name, (path, t) in mapping.items()]

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import payloads as P
 from ..functions.predicates import apply_filters, rule_predicate
 from ..spec import Filter
-from .payload import parsed_name, with_parsed
+from .payload import parsed_name, parsed_rows
 
 Mapping_ = Mapping[str, tuple[str, str]]
 
@@ -34,7 +34,7 @@ class TxSpec:
 def apply_txspec(df: DataFrame, spec: TxSpec) -> DataFrame:
     """The transformed table; with rules also `broken_rules`, the names of the
     rules a row breaks."""
-    base = with_parsed(df.select(*dict.fromkeys([*spec.keep, spec.payload])), spec.payload)
+    base = parsed_rows(df.select(*dict.fromkeys([*spec.keep, spec.payload])), spec.payload)
     v = F.col(parsed_name(spec.payload))
     columns = [*spec.keep, *[P.at_as(v, p, t).alias(c) for c, (p, t) in spec.mapping.items()]]
     if spec.explode is None:

@@ -63,12 +63,15 @@ def _plain_frame(spark: SparkSession, ctx: RunContext, rows: Sequence[tuple]) ->
 
 @dataclass
 class Planned:
-    """Measurements that share a frame, and checks that could not be planned."""
+    """Result frames with the checks they answer, and checks that do not run."""
 
-    groups: list[list[tuple[Check, Measurement]]]
+    groups: list[tuple[list[tuple[Check, Measurement]], DataFrame]]
     not_run: list[tuple[Check, str, str | None]]
 
 
+_PLAN_ERRORS = (PySparkException, ValueError, KeyError, TypeError, AttributeError)
+
+
 def base_frame(check: Check, env: Env) -> DataFrame:
     df = env.table(check.dataset)
     meta = env.meta(check.dataset)
@@ -102,9 +105,16 @@ def _rows_key(check: Check, env: Env) -> tuple:
     )
 
 
-def plan_suite(suite: Suite, env: Env, names: Sequence[str] | None = None) -> Planned:
-    """Build every check on its own first: one that does not resolve becomes an
-    error row and cannot spoil the shared aggregate."""
+def plan_suite(
+    suite: Suite,
+    env: Env,
+    ctx: RunContext,
+    names: Sequence[str] | None = None,
+    fuse: bool = True,
+) -> Planned:
+    """Measurements over one frame go into one aggregate. If that does not
+    resolve, its checks are analysed one by one, so that a broken check becomes
+    an error row and the others still share their scan."""
     bases: dict[tuple, DataFrame] = {}
     fused: dict[int, list[tuple[Check, Measurement]]] = {}
     groups: list[list[tuple[Check, Measurement]]] = []
@@ -122,18 +132,31 @@ def plan_suite(suite: Suite, env: Env, names: Sequence[str] | None = None) -> Pl
                 bases[key] = base_frame(check, env)
             base = bases[key]
             m = measurement_of(base, check, env)
-            analyse(m)
-        except (PySparkException, ValueError, KeyError, TypeError, AttributeError) as e:
+        except _PLAN_ERRORS as e:
             not_run.append((check, "error", _message(e)))
             continue
-        if m.frame is base:
+        if fuse and m.frame is base:
             if id(base) not in fused:
                 fused[id(base)] = []
                 groups.append(fused[id(base)])
             fused[id(base)].append((check, m))
         else:
             groups.append([(check, m)])
-    return Planned(groups, not_run)
+    planned = Planned([], not_run)
+    for group in groups:
+        try:
+            planned.groups.append((group, evaluate(group, ctx)))
+        except _PLAN_ERRORS:
+            good = []
+            for check, m in group:
+                try:
+                    analyse(m)
+                    good.append((check, m))
+                except _PLAN_ERRORS as e:
+                    not_run.append((check, "error", _message(e)))
+            if good:
+                planned.groups.append((good, evaluate(good, ctx)))
+    return planned
 
 
 def _message(e: Exception) -> str:
@@ -158,11 +181,8 @@ def run_suite(
     as_of = as_of or now()
     env = Env(tables, metas or {}, as_of)
     ctx = _context(suite, run_id, as_of)
-    planned = plan_suite(suite, env, names)
-    frames = []
-    for group in planned.groups:
-        for part in [group] if fuse else [[item] for item in group]:
-            frames.append(evaluate(part, ctx))
+    planned = plan_suite(suite, env, ctx, names, fuse)
+    frames = [frame for _, frame in planned.groups]
     if planned.not_run:
         frames.append(_plain_frame(spark, ctx, [_plain_row(c, ctx, s, m) for c, s, m in planned.not_run]))
     return union_all(frames)
@@ -186,8 +206,10 @@ def validate_suite(
     metas: Mapping[str, DatasetMeta] | None = None,
 ) -> DataFrame:
     """Dry run: analyse every check, run none. (test, type, dataset, valid, message)"""
-    planned = plan_suite(suite, Env(tables, metas or {}, as_of or now()))
-    rows = [(c.name, c.type, c.dataset, True, None) for g in planned.groups for c, _ in g]
+    as_of = as_of or now()
+    env = Env(tables, metas or {}, as_of)
+    planned = plan_suite(suite, env, _context(suite, "dry-run", as_of))
+    rows = [(c.name, c.type, c.dataset, True, None) for g, _ in planned.groups for c, _ in g]
     rows += [(c.name, c.type, c.dataset, s == "skip", m) for c, s, m in planned.not_run]
     return local_frame(
         spark, rows, "test string, type string, dataset string, valid boolean, message string"
@@ -195,13 +217,13 @@ def validate_suite(
 
 
 def _run_group(
-    spark: SparkSession, group: list[tuple[Check, Measurement]], ctx: RunContext
+    group: list[tuple[Check, Measurement]], frame: DataFrame, ctx: RunContext
 ) -> Iterator[tuple]:
     """Results of one group; a group that fails while running is run check by
     check, so that only the broken one is an error."""
     started = time.time()
     try:
-        rows = evaluate(group, ctx).collect()
+        rows = frame.collect()
     except PySparkException as e:
         if len(group) == 1:
             check = group[0][0]
@@ -209,7 +231,7 @@ def _run_group(
             yield (*row, ctx.as_of, int((time.time() - started) * 1000))
             return
         for item in group:
-            yield from _run_group(spark, [item], ctx)
+            yield from _run_group([item], evaluate([item], ctx), ctx)
         return
     ms = int((time.time() - started) * 1000)
     for r in rows:
@@ -237,9 +259,9 @@ def execute_suite(
         as_of = dt.datetime.fromisoformat(as_of)
     env = Env(tables, metas or {}, as_of)
     ctx = _context(suite, run_id, as_of)
-    planned = plan_suite(suite, env, names)
+    planned = plan_suite(suite, env, ctx, names)
     order = {"blocker": 0, "major": 1, "minor": 2}
-    groups = sorted(planned.groups, key=lambda g: min(order[c.severity] for c, _ in g))
+    groups = sorted(planned.groups, key=lambda g: min(order[c.severity] for c, _ in g[0]))
     out = [
         (*_plain_row(c, ctx, s, m), ctx.as_of, 0) for c, s, m in planned.not_run
     ]
@@ -247,13 +269,13 @@ def execute_suite(
     spark.addTag(tag)
     started = time.time()
     try:
-        for group in groups:
+        for group, frame in groups:
             if budget_seconds is not None and time.time() - started > budget_seconds:
                 out += [
                     (*_plain_row(c, ctx, "skip", "time budget used up"), ctx.as_of, 0) for c, _ in group
                 ]
                 continue
-            out += list(_run_group(spark, group, ctx))
+            out += list(_run_group(group, frame, ctx))
     finally:
         spark.removeTag(tag)
     schema = StructType([*RESULT_SCHEMA.fields, StructField("duration_ms", LongType())])

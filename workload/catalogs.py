@@ -100,7 +100,7 @@ def schema_drift(t: Tables) -> DataFrame:
     """,
 )
 def schema_contract(t: Tables) -> DataFrame:
-    parsed = J_with_payload(t)
+    observed = _readable(t)
     contract = K.contract_frame(
         t.spark,
         [
@@ -111,14 +111,13 @@ def schema_contract(t: Tables) -> DataFrame:
             ("batch", "STRING", False),
         ],
     )
-    r = result("schema", schema_measurement(parsed.drop("dataset"), contract))
+    r = result("schema", schema_measurement(observed.drop("dataset"), contract))
     return verdict(r, missing="bigint", extra="bigint", type="bigint", nullable="bigint")
 
 
-def J_with_payload(t: Tables) -> DataFrame:
-    from tablecheck.operators.payload import with_parsed
-
-    e = with_parsed(_events(t), "payload").filter("_v_payload IS NOT NULL AND event_id % 43 <> 0")
+def _readable(t: Tables) -> DataFrame:
+    """Columns of the readable payloads, as one dataset."""
+    e = _events(t).filter("payload IS NOT NULL AND event_id % 41 <> 0 AND event_id % 43 <> 0")
     return K.observed_columns(e.withColumn("ds", F.lit("events")), "ds", "payload")
 
 
