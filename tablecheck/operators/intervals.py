@@ -1,16 +1,18 @@
 """Order-dependent checks: validity intervals and late arrivals.
 
 A plain `Window.partitionBy(key)` would put all rows of a hot key into one task.
-Running maxima are therefore computed in two levels: rows are cut into buckets
-that follow the sort order, each bucket is reduced to one summary row (combined
-on the map side), the summaries of a key get a prefix maximum, and only rows of
-one (key, bucket) meet in a task.  Any bucket that grows with the sort order
-gives the same answer; its width only sets how much one task sees.
+Hot keys (more than HOT_ROWS rows) are therefore cut into buckets along the sort
+order. Each bucket is reduced to one summary row (combined on the map side), the
+summaries of a key get a prefix maximum, and only rows of one (key, bucket) meet
+in a task. All other keys have a single bucket and no summary, so data without
+hot keys pays for one narrow count per key. Where the cuts lie never changes the
+answer.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
@@ -20,28 +22,76 @@ from ..verdict import Judgement, Measurement, result, zero
 from .aggregates import count_if, rows
 
 
-def prior_maximum(
+# A key with fewer rows is sorted within one task; there can be at most
+# (rows / HOT_ROWS) hot keys, 100,000 in a trillion rows, so their list is
+# broadcast.
+HOT_ROWS = 10_000_000
+BUCKET_ROWS = 1_000_000
+
+
+def with_bucket(
     df: DataFrame,
     keys: Sequence[str],
+    position: str,
+    hot_rows: int = HOT_ROWS,
+    bucket_rows: int = BUCKET_ROWS,
+) -> DataFrame:
+    """Adds `_bucket`, which never decreases along `position` (a number) within a
+    key, and `_hot`. Built from exact counts and ranges, so every branch of a
+    plan cuts alike."""
+    hot = (
+        df.groupBy(*[F.col(k).alias(f"_h_{k}") for k in keys])
+        .agg(
+            rows().alias("_n"), F.min(position).alias("_lo"), F.max(position).alias("_hi")
+        )
+        .filter(F.col("_n") > hot_rows)
+    )
+    parts = F.ceil(F.col("_n") / F.lit(bucket_rows))
+    hot = hot.select(
+        *[f"_h_{k}" for k in keys],
+        "_lo",
+        F.greatest(F.lit(1), F.ceil((F.col("_hi") - F.col("_lo") + 1) / parts)).alias("_width"),
+    )
+    cond = reduce(
+        lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_h_{k}")) for k in keys]
+    )
+    is_hot = F.col("_width").isNotNull()
+    bucket = F.floor((F.col(position) - F.col("_lo")) / F.col("_width"))
+    return (
+        df.join(F.broadcast(hot), cond, "left")
+        .withColumn("_hot", is_hot)
+        .withColumn("_bucket", F.when(is_hot, bucket).otherwise(F.lit(0)))
+        .drop("_lo", "_width", *[f"_h_{k}" for k in keys])
+    )
+
+
+def inherited_maximum(cut: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """One row per bucket of a hot key with the largest value before it."""
+    earlier = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    return (
+        cut.filter("_hot")
+        .groupBy(*keys, "_bucket")
+        .agg(F.max(value).alias("_max"))
+        .select(*keys, "_bucket", F.max("_max").over(earlier).alias(value))
+    )
+
+
+def prior_maximum(
+    cut: DataFrame,
+    inherited: DataFrame,
+    keys: Sequence[str],
     order: Sequence[str],
     value: str,
-    bucket: Column,
     out: str = "prior_max",
 ) -> DataFrame:
-    """Largest `value` of the rows before this one in its key group, by `order`.
+    """Largest `value` of the rows before this one in its key, by `order`.
 
-    `bucket` must not decrease along `order`.
+    What a bucket inherits enters it as an extra first row, so the rows are
+    shuffled once, by (key, bucket), and joined with nothing.
     """
-    cut = df.withColumn("_bucket", bucket)
-    earlier = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    # What a bucket inherits enters it as an extra first row, so the rows
-    # themselves are shuffled once, by (key, bucket), and joined with nothing.
-    inherited = (
-        cut.groupBy(*keys, "_bucket")
-        .agg(F.max(value).alias("_max"))
-        .select(*keys, "_bucket", F.max("_max").over(earlier).alias(value), F.lit(0).alias("_row"))
+    both = cut.withColumn("_row", F.lit(1)).unionByName(
+        inherited.withColumn("_row", F.lit(0)), allowMissingColumns=True
     )
-    both = cut.withColumn("_row", F.lit(1)).unionByName(inherited, allowMissingColumns=True)
     within = (
         W.partitionBy(*keys, "_bucket")
         .orderBy("_row", *order)
@@ -50,7 +100,7 @@ def prior_maximum(
     return (
         both.withColumn(out, F.max(value).over(within))
         .filter(F.col("_row") == 1)
-        .drop("_bucket", "_row")
+        .drop("_bucket", "_row", "_hot")
     )
 
 
@@ -78,27 +128,27 @@ def interval_frame(
     valid_from: str,
     valid_to: str,
     current: str | None = None,
-    bucket_width: int = 30 * 86_400_000_000,
+    hot_rows: int = HOT_ROWS,
+    bucket_rows: int = BUCKET_ROWS,
 ) -> DataFrame:
     """Distinct intervals per key with their row count `n`, the furthest end seen
     before them (`prior_max`) and whether they are open. An end of null is open.
-    `bucket_width` is in microseconds (or in the column's own unit if numeric)."""
+    Copies of an interval collapse before they are sorted."""
     keys = [key] if isinstance(key, str) else list(key)
     flag = F.col(valid_to).isNull() if current is None else F.col(current).cast("boolean")
-    base = (
-        df.select(
-            *keys,
-            _instant(df, valid_from).alias("start"),
-            F.coalesce(_instant(df, valid_to), F.lit(_FOREVER)).alias("end"),
-            F.coalesce(flag, F.lit(False)).alias("open"),
-        )
-        .groupBy(*keys, "start", "end", "open")
-        .agg(rows().alias("n"))
+    lines = df.select(
+        *keys,
+        _instant(df, valid_from).alias("start"),
+        F.coalesce(_instant(df, valid_to), F.lit(_FOREVER)).alias("end"),
+        F.coalesce(flag, F.lit(False)).alias("open"),
     )
     # A row without a start has no place on the line: it ends nothing earlier.
-    dated = base.withColumn("_end", F.when(F.col("start").isNotNull(), F.col("end")))
-    bucket = F.floor(F.col("start") / F.lit(bucket_width))
-    return prior_maximum(dated, keys, ["start", "end", "open"], "_end", bucket).drop("_end")
+    reach = F.when(F.col("start").isNotNull(), F.col("end"))
+    cut = with_bucket(lines, keys, "start", hot_rows, bucket_rows).withColumn("_end", reach)
+    distinct = cut.groupBy(*keys, "_bucket", "start", "end", "open", "_end").agg(rows().alias("n"))
+    return prior_maximum(
+        distinct, inherited_maximum(cut, keys, "_end"), keys, ["start", "end", "open"], "_end"
+    ).drop("_end")
 
 
 def scd2_measurement(
@@ -107,10 +157,11 @@ def scd2_measurement(
     valid_from: str,
     valid_to: str,
     current: str | None = None,
-    bucket_width: int = 30 * 86_400_000_000,
+    hot_rows: int = HOT_ROWS,
+    bucket_rows: int = BUCKET_ROWS,
 ) -> Measurement:
     keys = [key] if isinstance(key, str) else list(key)
-    frame = interval_frame(df, keys, valid_from, valid_to, current, bucket_width)
+    frame = interval_frame(df, keys, valid_from, valid_to, current, hot_rows, bucket_rows)
     start, end, prior, n = (F.col(c) for c in ("start", "end", "prior_max", "n"))
     copies_overlap = F.when(end > start, n - 1).otherwise(F.lit(0))
     overlaps = F.when(prior > start, n).otherwise(copies_overlap)
@@ -161,10 +212,11 @@ def check_scd2(
     valid_from: str,
     valid_to: str,
     current: str | None = None,
-    bucket_width: int = 30 * 86_400_000_000,
+    hot_rows: int = HOT_ROWS,
+    bucket_rows: int = BUCKET_ROWS,
     **label: Any,
 ) -> DataFrame:
-    m = scd2_measurement(df, key, valid_from, valid_to, current, bucket_width)
+    m = scd2_measurement(df, key, valid_from, valid_to, current, hot_rows, bucket_rows)
     return result("scd2", m, **label)
 
 
@@ -227,12 +279,12 @@ def behind_running_max(
     arrival_order: str,
     partition: str | Sequence[str],
     sla_seconds: int = 0,
-    bucket_width: int = 100_000,
+    hot_rows: int = HOT_ROWS,
+    bucket_rows: int = BUCKET_ROWS,
 ) -> DataFrame:
     """Late rows when only the order of arrival is known: the event lies more
     than the SLA behind the newest event that arrived before it from the same
-    partition. `bucket_width` is in units of `arrival_order` (seconds for
-    timestamps); rows with equal arrival order are ordered by event time."""
+    partition. Rows with equal arrival order are ordered by event time."""
     keys = [partition] if isinstance(partition, str) else list(partition)
     order_type = df.schema[arrival_order].dataType
     position = (
@@ -240,20 +292,16 @@ def behind_running_max(
         if isinstance(order_type, (T.TimestampNTZType, T.TimestampType))
         else F.col(arrival_order).cast("bigint")
     )
-    timed = df.withColumn("_us", epoch_micros(F.col(event_ts)))
+    timed = df.withColumns({"_us": epoch_micros(F.col(event_ts)), "_pos": position})
+    cut = with_bucket(timed, keys, "_pos", hot_rows, bucket_rows)
     out = prior_maximum(
-        timed,
-        keys,
-        [arrival_order, "_us"],
-        "_us",
-        F.floor(position / F.lit(bucket_width)),
-        "_newest",
+        cut, inherited_maximum(cut, keys, "_us"), keys, [arrival_order, "_us"], "_us", "_newest"
     )
     behind = F.col("_newest") - F.col("_us")
     return (
         out.withColumn("late", F.coalesce(behind > sla_seconds * 1_000_000, F.lit(False)))
         .withColumn("seconds_behind", F.greatest(F.lit(0), behind) / 1_000_000)
-        .drop("_us", "_newest")
+        .drop("_us", "_pos", "_newest")
     )
 
 
@@ -264,9 +312,12 @@ def running_late_measurement(
     partition: str | Sequence[str],
     sla_seconds: int = 0,
     max_rate: float = 0.0,
-    bucket_width: int = 100_000,
+    hot_rows: int = HOT_ROWS,
+    bucket_rows: int = BUCKET_ROWS,
 ) -> Measurement:
-    frame = behind_running_max(df, event_ts, arrival_order, partition, sla_seconds, bucket_width)
+    frame = behind_running_max(
+        df, event_ts, arrival_order, partition, sla_seconds, hot_rows, bucket_rows
+    )
     return Measurement(
         frame,
         {"late": F.count_if("late"), "total": rows()},
@@ -281,10 +332,11 @@ def check_late_by_order(
     partition: str | Sequence[str],
     sla_seconds: int = 0,
     max_rate: float = 0.0,
-    bucket_width: int = 100_000,
+    hot_rows: int = HOT_ROWS,
+    bucket_rows: int = BUCKET_ROWS,
     **label: Any,
 ) -> DataFrame:
     m = running_late_measurement(
-        df, event_ts, arrival_order, partition, sla_seconds, max_rate, bucket_width
+        df, event_ts, arrival_order, partition, sla_seconds, max_rate, hot_rows, bucket_rows
     )
     return result("late_arrivals", m, **label)

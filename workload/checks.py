@@ -637,7 +637,7 @@ def late_running_max(t: Tables) -> DataFrame:
         F.expr("ts - make_dt_interval(0, CASE WHEN event_id % 13 = 0 THEN 2 ELSE 0 END, 0, 0) AS ets"),
     )
     return intervals.behind_running_max(
-        e, "ets", "event_id", "event_type", sla_seconds=3600, bucket_width=1000
+        e, "ets", "event_id", "event_type", sla_seconds=3600
     ).select("event_id", "event_type", "late")
 
 
