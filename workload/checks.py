@@ -371,18 +371,24 @@ def array_length_invariant(t: Tables) -> DataFrame:
 # ------------------------------------------------------------------ references
 
 
+def _renumbered(t: Tables) -> DataFrame:
+    """Orders, some under another key, so that line items lose their parent."""
+    return t.orders.withColumn(
+        "o_orderkey", F.expr("CASE WHEN o_orderkey % 7 = 0 THEN -1 - o_orderkey ELSE o_orderkey END")
+    )
+
+
 @query(
     "fk_orphans",
     f"""
     WITH x AS (SELECT l_orderkey FROM lineitem WHERE l_orderkey IS NOT NULL AND
-               l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 7 <> 0)),
+               l_orderkey NOT IN (SELECT CASE WHEN o_orderkey % 7 = 0 THEN -1 - o_orderkey ELSE o_orderkey END FROM orders)),
          a AS (SELECT count(*) AS n, count(DISTINCT l_orderkey) AS k FROM x)
     SELECT {status_sql("n > 0")}, n AS violations, n AS orphan_rows, k AS orphan_keys FROM a
     """,
 )
 def fk_orphans(t: Tables) -> DataFrame:
-    parent = t.orders.filter("o_orderkey % 7 <> 0")
-    r = integrity.check_foreign_key(t.lineitem, ["l_orderkey"], parent, ["o_orderkey"])
+    r = integrity.check_foreign_key(t.lineitem, ["l_orderkey"], _renumbered(t), ["o_orderkey"])
     return verdict(r, orphan_rows="bigint", orphan_keys="bigint")
 
 
@@ -408,7 +414,7 @@ def fk_composite(t: Tables) -> DataFrame:
     "fact_coverage",
     f"""
     WITH j AS (SELECT o_orderkey IS NOT NULL AS a, p_partkey IS NOT NULL AS b, s_suppkey IS NOT NULL AS c FROM lineitem
-               LEFT JOIN (SELECT o_orderkey FROM orders WHERE o_orderkey % 7 <> 0) o ON l_orderkey = o_orderkey
+               LEFT JOIN (SELECT CASE WHEN o_orderkey % 7 = 0 THEN -1 - o_orderkey ELSE o_orderkey END AS o_orderkey FROM orders) o ON l_orderkey = o_orderkey
                LEFT JOIN (SELECT p_partkey FROM part WHERE p_size <> 9) p ON l_partkey = p_partkey
                LEFT JOIN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0) s ON l_suppkey = s_suppkey),
          g AS (SELECT count(*) AS n, count(*) FILTER (a AND b AND c) AS ok, count(*) FILTER (NOT a) AS na,
@@ -421,7 +427,7 @@ def fact_coverage(t: Tables) -> DataFrame:
     r = integrity.check_fact_coverage(
         t.lineitem,
         [
-            (["l_orderkey"], t.orders.filter("o_orderkey % 7 <> 0"), ["o_orderkey"]),
+            (["l_orderkey"], _renumbered(t), ["o_orderkey"]),
             (["l_partkey"], t.part.filter("p_size <> 9"), ["p_partkey"]),
             (["l_suppkey"], t.supplier.filter("s_acctbal > 0"), ["s_suppkey"]),
         ],
@@ -566,19 +572,20 @@ def category_psi(t: Tables) -> DataFrame:
     return _psi(r)
 
 
-_BIN = "CAST(greatest(-1, least(10, floor((v - (SELECT min(o_totalprice) FROM orders WHERE o_orderkey % 2 = 0)) / (SELECT max(o_totalprice) - min(o_totalprice) FROM orders WHERE o_orderkey % 2 = 0) * 10))) AS BIGINT)"
+_BIN = "CAST(greatest(-1, least(10, floor((v - (SELECT min(o_totalprice) FROM orders WHERE o_orderdate < TIMESTAMP '1995-06-01')) / (SELECT max(o_totalprice) - min(o_totalprice) FROM orders WHERE o_orderdate < TIMESTAMP '1995-06-01') * 10))) AS BIGINT)"
 
 
 @query(
     "numeric_psi",
     _psi_sql(
-        f"SELECT {_BIN} AS k FROM (SELECT o_totalprice * 1.3 AS v FROM orders WHERE o_orderkey % 2 = 1)",
-        f"SELECT {_BIN} AS k FROM (SELECT o_totalprice AS v FROM orders WHERE o_orderkey % 2 = 0)",
+        f"SELECT {_BIN} AS k FROM (SELECT o_totalprice * 1.3 AS v FROM orders WHERE o_orderdate >= TIMESTAMP '1995-06-01')",
+        f"SELECT {_BIN} AS k FROM (SELECT o_totalprice AS v FROM orders WHERE o_orderdate < TIMESTAMP '1995-06-01')",
     ),
 )
 def numeric_psi(t: Tables) -> DataFrame:
-    base = t.orders.filter("o_orderkey % 2 = 0").select(F.col("o_totalprice").alias("v"))
-    cur = t.orders.filter("o_orderkey % 2 = 1").select((F.col("o_totalprice") * F.lit(1.3)).alias("v"))
+    cut = "timestamp_ntz'1995-06-01 00:00:00'"
+    base = t.orders.filter(f"o_orderdate < {cut}").select(F.col("o_totalprice").alias("v"))
+    cur = t.orders.filter(f"o_orderdate >= {cut}").select((F.col("o_totalprice") * F.lit(1.3)).alias("v"))
     r = drift.check_category_drift(cur, base, "v", bins=10)
     return _psi(r)
 
@@ -678,10 +685,9 @@ def scd2_intervals(t: Tables) -> DataFrame:
 # -------------------------------------------------------------------- snapshots
 
 _SNAP_CUR = """
-c AS (SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN o_custkey + 1 ELSE o_custkey END AS o_custkey,
+c AS (SELECT CASE WHEN o_orderkey % 11 = 0 THEN o_orderkey + 1000000000 ELSE o_orderkey END AS o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN o_custkey + 1 ELSE o_custkey END AS o_custkey,
              CASE WHEN o_orderkey % 5 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, o_totalprice
-      FROM orders WHERE o_orderkey % 11 <> 0
-      UNION ALL SELECT o_orderkey + 1000000000, o_custkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey % 13 = 0),
+      FROM orders),
 p AS (SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders)
 """
 
@@ -689,14 +695,16 @@ p AS (SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders)
 def _snapshots(t: Tables) -> tuple[DataFrame, DataFrame]:
     cols = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"]
     prev = t.orders.select(*cols)
-    kept = prev.filter("o_orderkey % 11 <> 0").withColumns(
+    cur = prev.withColumns(
         {
+            "o_orderkey": F.expr(
+                "CASE WHEN o_orderkey % 11 = 0 THEN o_orderkey + 1000000000 ELSE o_orderkey END"
+            ),
             "o_custkey": F.expr("CASE WHEN o_orderkey % 7 = 0 THEN o_custkey + 1 ELSE o_custkey END"),
             "o_orderstatus": F.expr("CASE WHEN o_orderkey % 5 = 0 THEN 'X' ELSE o_orderstatus END"),
         }
     )
-    added = prev.filter("o_orderkey % 13 = 0").withColumn("o_orderkey", F.col("o_orderkey") + 1000000000)
-    return kept.unionByName(added), prev
+    return cur, prev
 
 
 @query(

@@ -110,7 +110,7 @@ def evidence_batches(t: Tables) -> DataFrame:
     "evidence_keys",
     f"""
     WITH s AS (SELECT sha256(CAST(o_orderkey + CASE WHEN o_orderkey % 50 = 0 THEN 1000000000 ELSE 0 END AS VARCHAR)) AS k FROM orders WHERE o_orderstatus = 'P'),
-         a AS (SELECT count(DISTINCT k) AS n FROM s WHERE k NOT IN (SELECT sha256(CAST(o_orderkey AS VARCHAR)) FROM orders WHERE o_orderkey % 20 <> 3))
+         a AS (SELECT count(DISTINCT k) AS n FROM s WHERE k NOT IN (SELECT sha256(CAST(o_orderkey AS VARCHAR)) FROM orders WHERE o_orderpriority <> '5-LOW'))
     SELECT {status_sql("n > 0")}, n AS violations, n AS missing_keys FROM a
     """,
 )
@@ -120,7 +120,7 @@ def evidence_keys(t: Tables) -> DataFrame:
             "sha2(CAST(o_orderkey + CASE WHEN o_orderkey % 50 = 0 THEN 1000000000 ELSE 0 END AS STRING), 256) AS key"
         )
     )
-    table = t.orders.filter("o_orderkey % 20 <> 3")
+    table = t.orders.filter("o_orderpriority <> '5-LOW'")
     return verdict(E.check_evidence_keys(table, "o_orderkey", sample, masked=True), missing_keys="bigint")
 
 

@@ -80,12 +80,12 @@ def window_batch_(t: Tables) -> DataFrame:
     return window_batch(t.documents, "source", "src3").select("doc_id", "lang", "n_chars")
 
 
-_CUST = "(SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey % 3 <> 0)"
+_CUST = "(SELECT c_custkey, c_mktsegment FROM customer WHERE c_acctbal > 2000)"
 
 
 def _ir_join(t: Tables, how: str) -> DataFrame:
-    orders = t.orders.filter("o_custkey % 5 <> 1").select("o_orderkey", "o_custkey")
-    cust = t.customer.filter("c_custkey % 3 <> 0").select("c_custkey", "c_mktsegment")
+    orders = t.orders.filter("o_orderstatus <> 'P'").select("o_orderkey", "o_custkey")
+    cust = t.customer.filter("c_acctbal > 2000").select("c_custkey", "c_mktsegment")
     return joins.ir_join(orders, cust, "PREP.ORDERS.o_custkey", "DIM.CUSTOMER.c_custkey", how)
 
 
@@ -94,7 +94,7 @@ for _how, _sql in (("inner", "INNER"), ("left", "LEFT"), ("right", "RIGHT"), ("f
         f"ir_join_{_how}",
         f"""
         SELECT o_orderkey, o_custkey, c_custkey, c_mktsegment
-        FROM (SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey % 5 <> 1)
+        FROM (SELECT o_orderkey, o_custkey FROM orders WHERE o_orderstatus <> 'P')
         {_sql} JOIN {_CUST} ON o_custkey = c_custkey
         """,
     )(lambda t, how=_how: _ir_join(t, how))
@@ -126,8 +126,8 @@ def anti_join_rows(t: Tables) -> DataFrame:
 @query(
     "key_compare",
     """
-    WITH a AS (SELECT o_orderkey, o_totalprice AS v FROM orders WHERE o_orderkey % 4 <> 0),
-         b AS (SELECT o_orderkey, CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE o_totalprice END AS v FROM orders WHERE o_orderkey % 5 <> 0)
+    WITH a AS (SELECT o_orderkey, o_totalprice AS v FROM orders WHERE o_orderstatus <> 'P'),
+         b AS (SELECT o_orderkey, CASE WHEN o_totalprice > 300000 THEN NULL ELSE o_totalprice END AS v FROM orders WHERE o_orderpriority <> '5-LOW')
     SELECT coalesce(a.o_orderkey, b.o_orderkey) AS o_orderkey,
            CASE WHEN b.o_orderkey IS NULL THEN 'left' WHEN a.o_orderkey IS NULL THEN 'right'
                 WHEN a.v IS NOT DISTINCT FROM b.v THEN 'same' ELSE 'differs' END AS side,
@@ -136,9 +136,9 @@ def anti_join_rows(t: Tables) -> DataFrame:
     """,
 )
 def key_compare(t: Tables) -> DataFrame:
-    a = t.orders.filter("o_orderkey % 4 <> 0").select("o_orderkey", F.col("o_totalprice").alias("v"))
-    b = t.orders.filter("o_orderkey % 5 <> 0").select(
-        "o_orderkey", F.expr("CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE o_totalprice END AS v")
+    a = t.orders.filter("o_orderstatus <> 'P'").select("o_orderkey", F.col("o_totalprice").alias("v"))
+    b = t.orders.filter("o_orderpriority <> '5-LOW'").select(
+        "o_orderkey", F.expr("CASE WHEN o_totalprice > 300000 THEN NULL ELSE o_totalprice END AS v")
     )
     return joins.key_compare(a, b, ["o_orderkey"], ["v"])
 
