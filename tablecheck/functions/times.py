@@ -10,7 +10,7 @@ from __future__ import annotations
 import datetime as dt
 from typing import Any
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 
 def moment(value: Any = None) -> Column:
@@ -51,6 +51,23 @@ def from_epoch_micros(us: Column) -> Column:
     )
 
 
+def instant_micros(c: Column, data_type: T.DataType) -> Column:
+    """Position on the UTC time line, whatever kind of time the column holds.
+    Numbers are taken as they are."""
+    if isinstance(data_type, T.TimestampNTZType):
+        return epoch_micros(c)
+    if isinstance(data_type, T.TimestampType):
+        return F.unix_micros(c)
+    if isinstance(data_type, T.DateType):
+        return F.unix_date(c).cast("bigint") * 86_400_000_000
+    return c.cast("bigint")
+
+
+def utc(c: Column, data_type: T.DataType) -> Column:
+    """A `timestamp` column as NTZ in UTC; other columns unchanged."""
+    return from_epoch_micros(F.unix_micros(c)) if isinstance(data_type, T.TimestampType) else c
+
+
 def hours_crossed(earlier: Column, later: Column) -> Column:
     """Number of hour boundaries between two times (00:59 to 01:01 is 1)."""
     return epoch_hours(later) - epoch_hours(earlier)

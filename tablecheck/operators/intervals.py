@@ -15,9 +15,9 @@ from collections.abc import Sequence
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..functions.times import epoch_micros, epoch_seconds
+from ..functions.times import epoch_micros, instant_micros
 from ..verdict import Judgement, Measurement, result, zero
 from .aggregates import count_if, rows
 
@@ -110,16 +110,7 @@ _FOREVER = 9_223_372_036_854_775_807
 
 
 def _instant(df: DataFrame, column: str) -> Column:
-    """Position on the time line as a number, whatever the column's type."""
-    t = df.schema[column].dataType
-    c = F.col(column)
-    if isinstance(t, T.TimestampNTZType):
-        return epoch_micros(c)
-    if isinstance(t, T.TimestampType):
-        return F.unix_micros(c)
-    if isinstance(t, T.DateType):
-        return F.unix_date(c).cast("bigint") * 86_400_000_000
-    return c.cast("bigint")
+    return instant_micros(F.col(column), df.schema[column].dataType)
 
 
 def interval_frame(
@@ -236,24 +227,24 @@ def lateness_judgement(late: Column, total: Column, max_rate: float) -> Judgemen
     )
 
 
-def is_late(event_ts: Column, arrival_ts: Column, sla_seconds: int) -> Column:
-    return epoch_micros(arrival_ts) - epoch_micros(event_ts) > F.lit(sla_seconds * 1_000_000)
+def is_late(event_us: Column, arrival_us: Column, sla_seconds: int) -> Column:
+    return arrival_us - event_us > F.lit(sla_seconds * 1_000_000)
 
 
 def late_rows(df: DataFrame, event_ts: str, arrival_ts: str, sla_seconds: int) -> DataFrame:
-    return df.filter(is_late(F.col(event_ts), F.col(arrival_ts), sla_seconds))
+    return df.filter(is_late(_instant(df, event_ts), _instant(df, arrival_ts), sla_seconds))
 
 
 def late_measurement(
     df: DataFrame,
     event_ts: str | Column,
-    arrival_ts: str | Column,
+    arrival_ts: str,
     sla_seconds: int,
     max_rate: float = 0.0,
 ) -> Measurement:
-    e = F.col(event_ts) if isinstance(event_ts, str) else event_ts
-    a = F.col(arrival_ts) if isinstance(arrival_ts, str) else arrival_ts
-    late = is_late(e, a, sla_seconds)
+    """`event_ts` may be an NTZ expression, e.g. a time read from a payload."""
+    e = _instant(df, event_ts) if isinstance(event_ts, str) else epoch_micros(event_ts)
+    late = is_late(e, _instant(df, arrival_ts), sla_seconds)
     return Measurement(
         df,
         {"late": count_if(late), "total": F.count_if(late.isNotNull())},
@@ -286,13 +277,8 @@ def behind_running_max(
     than the SLA behind the newest event that arrived before it from the same
     partition. Rows with equal arrival order are ordered by event time."""
     keys = [partition] if isinstance(partition, str) else list(partition)
-    order_type = df.schema[arrival_order].dataType
-    position = (
-        epoch_seconds(F.col(arrival_order))
-        if isinstance(order_type, (T.TimestampNTZType, T.TimestampType))
-        else F.col(arrival_order).cast("bigint")
-    )
-    timed = df.withColumns({"_us": epoch_micros(F.col(event_ts)), "_pos": position})
+    position = _instant(df, arrival_order)
+    timed = df.withColumns({"_us": _instant(df, event_ts), "_pos": position})
     cut = with_bucket(timed, keys, "_pos", hot_rows, bucket_rows)
     out = prior_maximum(
         cut, inherited_maximum(cut, keys, "_us"), keys, [arrival_order, "_us"], "_us", "_newest"

@@ -440,7 +440,7 @@ def json_late_measurement(
 ) -> Measurement:
     df = with_parsed(df, payload)
     return late_measurement(
-        df, path_time(df, payload, path), F.col(arrival_ts), sla_seconds, max_rate
+        df, path_time(df, payload, path), arrival_ts, sla_seconds, max_rate
     )
 
 

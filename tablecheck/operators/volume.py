@@ -8,7 +8,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.times import hours_crossed, hours_elapsed, moment
+from ..functions.times import hours_crossed, hours_elapsed, moment, utc
 from ..verdict import Judgement, Measurement, result, zero
 from .aggregates import ir_aggregate, rows
 
@@ -40,10 +40,11 @@ def fresh_measurement(
 ) -> Measurement:
     hours = 24 if last_hours is None else last_hours
     c = F.col(ts) if isinstance(ts, str) else ts
+    kind = df.schema[ts].dataType if isinstance(ts, str) else df.select(ts).schema[0].dataType
     return Measurement(
         df,
         {"newest": F.max(c), "total": rows()},
-        lambda m: freshness_judgement(m("newest"), m("total"), hours, as_of, elapsed),
+        lambda m: freshness_judgement(utc(m("newest"), kind), m("total"), hours, as_of, elapsed),
     )
 
 

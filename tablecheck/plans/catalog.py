@@ -214,50 +214,55 @@ def catalog_from_tables(
     )
 
 
-def observed_columns(df: DataFrame, dataset: str, payload: str) -> DataFrame:
+def observed_columns(
+    df: DataFrame, dataset: str | None, payload: str, name: str = "payload"
+) -> DataFrame:
     """Columns of the datasets that share one payload table: the JSON keys seen
     per dataset with their type class; a key that some rows lack, or hold as
     JSON null, is nullable. One pass, reduced per (dataset, key, type) on the map
-    side; rows without a readable object count as lacking every key."""
+    side; rows without a readable object count as lacking every key. `dataset`
+    is the column that tells datasets apart; None if all rows are one, `name`.
+    """
     from ..functions import payloads as P
     from ..operators.payload import object_fields, parsed_name, with_parsed
 
+    by = [] if dataset is None else ["dataset"]
     v = F.col(parsed_name(payload))
     lone = F.array(
         F.struct(F.lit(None).cast("string").alias("key"), F.lit(None).cast("variant").alias("value"))
     )
+    source = df.select(*[F.col(dataset).alias(b) for b in by], payload)
     counted = (
-        with_parsed(df.select(F.col(dataset).alias("dataset"), payload), payload)
-        .select("dataset", F.explode(F.coalesce(object_fields(v), lone)).alias("f"))
-        .select(
-            "dataset", F.col("f.key").alias("column"), P.type_class(F.col("f.value")).alias("type")
-        )
-        .groupBy("dataset", "column", "type")
+        with_parsed(source, payload)
+        .select(*by, F.explode(F.coalesce(object_fields(v), lone)).alias("f"))
+        .select(*by, F.col("f.key").alias("column"), P.type_class(F.col("f.value")).alias("type"))
+        .groupBy(*by, "column", "type")
         .agg(F.count(F.lit(1)).alias("n"))
     )
     real = F.col("type") != "NULL"
-    per_column = counted.groupBy("dataset", "column").agg(
+    per_column = counted.groupBy(*by, "column").agg(
         F.max(F.when(real, F.col("type"))).alias("type"),
         F.count_if(real).alias("types"),
         F.sum(F.when(real, F.col("n")).otherwise(0)).alias("n"),
         F.count("column").alias("keyed"),
     )
-    # The entry without a column holds the dataset's row count. Both aggregates
-    # read the same counts, and the filter on a counted value stays above them,
-    # so Spark counts once.
-    totals = counted.groupBy(F.col("dataset").alias("_d")).agg(
-        F.sum(F.when(F.col("column").isNull(), F.col("n"))).alias("total")
-    )
-    return (
-        per_column.join(totals, F.col("dataset").eqNullSafe(F.col("_d")))
-        .filter(F.col("keyed") > 0)
-        .select(
-            "dataset",
-            "column",
-            F.when(F.col("types") > 1, "VARIANT").otherwise(F.col("type")).alias("type"),
-            (F.col("n") < F.col("total")).alias("nullable"),
-            F.lit(None).cast("string").alias("description"),
+    # The entry without a column holds the number of rows. Both aggregates read
+    # the same counts, and the filter on a counted value stays above them, so
+    # Spark counts once.
+    all_rows = F.sum(F.when(F.col("column").isNull(), F.col("n"))).alias("total")
+    if by:
+        totals = counted.groupBy(F.col("dataset").alias("_d")).agg(all_rows)
+        joined = per_column.join(totals, F.col("dataset").eqNullSafe(F.col("_d")))
+    else:
+        joined = per_column.withColumns(
+            {"total": counted.agg(all_rows).scalar(), "dataset": F.lit(name)}
         )
+    return joined.filter(F.col("keyed") > 0).select(
+        "dataset",
+        "column",
+        F.when(F.col("types") > 1, "VARIANT").otherwise(F.col("type")).alias("type"),
+        (F.col("n") < F.col("total")).alias("nullable"),
+        F.lit(None).cast("string").alias("description"),
     )
 
 

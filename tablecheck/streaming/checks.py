@@ -12,7 +12,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from ..functions.times import epoch_micros, from_epoch_micros
+from ..functions.times import epoch_micros, from_epoch_micros, instant_micros
 from ..plans.suite import run_suite
 from ..sources.local import local_frame
 from ..spec import Suite
@@ -112,7 +112,8 @@ def late_counts(
     """Rows and late rows per window of arrival time."""
     from ..operators.intervals import is_late
 
-    late = F.count_if(is_late(F.col(event_ts), F.col(arrival_ts), sla_seconds))
+    us = [instant_micros(F.col(c), stream.schema[c].dataType) for c in (event_ts, arrival_ts)]
+    late = F.count_if(is_late(*us, sla_seconds))
     return window_counts(stream, arrival_ts, delay, length, by=by, measures={"late": late})
 
 
@@ -169,7 +170,7 @@ def batch_lateness(
 
     def each(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        us = epoch_micros(F.col(ts))
+        us = instant_micros(F.col(ts), batch.schema[ts].dataType)
         seen = 0
         if batch_id > 0:
             row = (

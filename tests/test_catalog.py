@@ -214,3 +214,10 @@ def test_tolerance(frame):
 def test_list_datasets(frame):
     d = K.catalog_from_tables({n: frame([], "id int") for n in ("b.X", "a.x", "c.y")}).datasets
     assert [r.dataset for r in K.list_datasets(d, "X", "table", 1, 1).collect()] == ["b.X"]
+
+
+def test_profile_of_unusual_columns(spark):
+    df = spark.sql("select array(1,2) as a, map('k',1) as m, parse_json('{\"x\":1}') as v, true as b, date'2024-01-01' as d, named_struct('z',1) as s")
+    got = {r.column: r for r in profile(df).collect()}
+    assert got["a"].distinct_count == 1 and got["m"].distinct_count is None and got["v"].null_count == 0
+    assert (got["b"].min, got["d"].max, got["s"].min) == ("true", "2024-01-01", None)

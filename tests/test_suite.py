@@ -284,3 +284,26 @@ def test_auto_sample(spark):
 
 def test_run_check(spark, tables):
     assert result_of(S.run_check(spark, Check("n", "not_null", "orders", keys=["id"]), tables, AS_OF)).status == "pass"
+
+
+def test_names_with_quotes(spark, tables):
+    name = "it's a \\ \"name\""
+    got = by_name(S.run_suite(spark, Suite("s'", [Check(name, "not_null", "orders", keys=["id"])]), tables, AS_OF, "r'1"))
+    assert (got[name].suite, got[name].run_id) == ("s'", "r'1")
+
+
+def test_zone_of_timestamps(spark, frame):
+    """`timestamp` columns are compared in UTC in every session zone."""
+    from tablecheck.operators import intervals, volume
+
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        df = spark.sql("select timestamp'2024-03-10 00:30:00-05:00' as a, timestamp'2024-03-10 03:30:00-04:00' as b")
+        r = result_of(volume.check_fresh(df, "b", 0, "2024-03-10 08:00:00"))
+        assert r.observed == 1.0  # 07:30 UTC
+        late = result_of(intervals.check_late_arrivals(df, "a", "b", 7199, 0.0))
+        assert late.violations == 1  # two hours apart, in spite of the clock change
+        assert result_of(intervals.check_late_arrivals(df, "a", "b", 7200, 0.0)).violations == 0
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)

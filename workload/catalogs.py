@@ -119,7 +119,7 @@ def schema_contract(t: Tables) -> DataFrame:
 def _readable(t: Tables) -> DataFrame:
     """Columns of the readable payloads, as one dataset."""
     e = _events(t).filter(is_valid_json(F.col("payload")))
-    return K.observed_columns(e.withColumn("ds", F.lit("events")), "ds", "payload")
+    return K.observed_columns(e, None, "payload", "events")
 
 
 # --------------------------------------------------------------------- lineage
