@@ -1,6 +1,6 @@
 """All registered queries of the subpackage."""
 
-from . import mixing, packing, quality  # noqa: F401
+from . import mixing, packing, quality, sharding  # noqa: F401
 from .base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
