@@ -1,6 +1,6 @@
 """All registered queries of the subpackage."""
 
-from . import chat, fingerprints, mixing, packing, quality, sharding  # noqa: F401
+from . import chat, fingerprints, html, mixing, packing, quality, sharding  # noqa: F401
 from .base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
