@@ -1,6 +1,6 @@
 """All registered queries of the subpackage."""
 
-from . import chat, fingerprints, html, mixing, neardup, packing, quality, sharding, substrings  # noqa: F401
+from . import chat, fingerprints, html, language, mixing, neardup, packing, quality, sharding, substrings  # noqa: F401
 from .base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
