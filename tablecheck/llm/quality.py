@@ -146,6 +146,19 @@ def apply_rules(
     )
 
 
+def keep_good(docs: DataFrame, host: str = "source", max_rate: float = MAX_HOST_RATE) -> DataFrame:
+    """The rows of `docs` that apply_rules keeps, with the same columns. Only host and
+    failures are written for the hosts' counts; texts are measured a second time
+    instead of being copied."""
+    rules = base_rules()
+    measured = docs.select(F.col(host).alias("__host"), measures(F.col("text")).alias("__m")).select("__host", "__m.*")
+    scored = cut(measured.select("__host", *[v.alias(r) for r, v in rules.items()]))
+    hosts = host_verdicts(scored, "__host", list(rules), max_rate).where("host_failed").select("host")
+    rows = docs.select(F.struct("*").alias("__d"), F.col(host).alias("__host"), measures(F.col("text")).alias("__m"))
+    good = rows.select("__d", "__host", "__m.*").where(~(rules["few_words"] | rules["repeats"]))
+    return good.join(hosts, F.col("__host") == F.col("host"), "left_anti").select("__d.*")
+
+
 def _prior_sql(rule: str) -> str:
     m, q = f"(sum({rule}) / sum(n))", f"(sum({rule} * {rule} / n) / sum(n))"
     spread = f"({q} - {m} * {m} - {m} * (1 - {m}) * count(*) / sum(n))"

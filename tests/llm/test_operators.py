@@ -91,6 +91,8 @@ def test_quality_rejects_a_bad_host(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     kept = {r.doc_id for r in quality.apply_rules(docs).where("kept").collect()}
     assert kept == set(range(500)) | {2001}
+    stage = quality.keep_good(docs)
+    assert stage.columns == docs.columns and {r.doc_id for r in stage.collect()} == kept
 
 
 def test_chat_edges(spark):
