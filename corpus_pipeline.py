@@ -12,13 +12,13 @@ from tablecheck.llm.base import cut, table
 from tablecheck.llm.mixing import mix
 from tablecheck.llm.neardup import deduplicate
 from tablecheck.llm.packing import pack
-from tablecheck.llm.quality import apply_rules
+from tablecheck.llm.quality import keep_good
 from tablecheck.llm.substrings import remove_repeats
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the rules go, or whose source fails them too often."""
-    return apply_rules(docs, "source", docs.columns).where("kept").select(docs.columns)
+    return keep_good(docs, "source")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
