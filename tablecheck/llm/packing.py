@@ -155,7 +155,8 @@ def pack(
     totals = tokens.groupBy("part").agg(F.sum("n").alias("total"))
     # One row per task of the first pass; the sum before it is the second pass.
     ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select("part", F.coalesce(F.sum("total").over(ahead), F.lit(0)).alias("ahead"))
+    # Written, so that its size is known when the join is planned: tokens stay put.
+    totals = cut(totals.select("part", F.coalesce(F.sum("total").over(ahead), F.lit(0)).alias("ahead")))
     fields = (
         "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
         "sequence_id long, offset long, boundary boolean"
