@@ -24,17 +24,18 @@ def row_text(columns: Sequence[str | Column]) -> Column:
 def checksum(columns: Sequence[str | Column]) -> Column:
     """Aggregate: order-free checksum over the given columns, as text.
 
-    Sums 60-bit slices of a row hash in decimal(38,0), so copies count (unlike
-    XOR) and the result does not depend on partitioning.
+    Sums 60-bit slices of a row hash in decimal(38,0) (ten digits above those of
+    the summands), so copies count (unlike XOR) and the result does not depend on
+    partitioning.
     """
     part = F.conv(F.substring(F.md5(row_text(columns)), 1, 15), 16, 10)
-    return F.coalesce(F.sum(part.cast("decimal(20,0)")), F.lit(0)).cast("string")
+    return F.coalesce(F.sum(part.cast("decimal(28,0)")), F.lit(0)).cast("string")
 
 
 def fast_checksum(columns: Sequence[str | Column]) -> Column:
     """Aggregate: cheaper Spark-only variant for comparing two Spark tables."""
     h = F.xxhash64(*columns)
-    return F.concat_ws("-", F.bit_xor(h), F.sum(h.cast("decimal(20,0)")), F.count(F.lit(1)))
+    return F.concat_ws("-", F.bit_xor(h), F.sum(h.cast("decimal(28,0)")), F.count(F.lit(1)))
 
 
 def sample_bucket(columns: Sequence[str | Column], buckets: int, seed: int = 42) -> Column:

@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..spec import Check, Filter, Window
 from .times import interval, moment
 
+# Relative error of a difference of doubles, with room for one rounding on each side.
+ROUNDING = 1e-15
+
 _OPERATORS: dict[str, Callable[[Column, Any], Column]] = {
     "equals": lambda c, v: c == v,
     "not_equals": lambda c, v: c != v,
@@ -107,7 +110,7 @@ def exceeds(diff: Column, scale: Column, abs_tol: float, pct: float | None = Non
     exactly the tolerance may come out a few ulps above it; the slack keeps such
     rows inside.
     """
-    slack = F.lit(1e-9) * (F.lit(1.0) + F.abs(scale))
+    slack = F.lit(ROUNDING) * (F.lit(float(abs_tol)) + F.abs(scale))
     out = diff > F.lit(float(abs_tol)) + slack
     if pct is not None:
         out = out & (diff * 100 > F.lit(float(pct)) * F.abs(scale) + slack)

@@ -8,6 +8,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.predicates import ROUNDING
 from ..functions.times import hours_crossed, hours_elapsed, moment, utc
 from ..verdict import Judgement, Measurement, result, zero
 from .aggregates import ir_aggregate, rows
@@ -112,7 +113,7 @@ def within(actual: Column, expected: Column, abs_tol: float, pct: float | None)
     """Close enough by the absolute or, if given, by the percentage tolerance.
     Equal nulls agree; one missing side never does."""
     diff = F.abs(actual - expected)
-    ok = diff <= F.lit(float(abs_tol)) + F.lit(1e-9) * (F.lit(1.0) + F.abs(expected))
+    ok = diff <= F.lit(float(abs_tol)) + F.lit(ROUNDING) * (F.lit(float(abs_tol)) + F.abs(expected))
     if pct is not None:
         ok = ok | ((expected != 0) & (diff * 100 <= F.lit(float(pct)) * F.abs(expected)))
     return F.when(actual.isNull() & expected.isNull(), True).otherwise(

@@ -160,7 +160,7 @@ def plan_suite(
 
 
 def _message(e: Exception) -> str:
-    return str(e.args[0] if isinstance(e, KeyError) and e.args else e).split("\n")[0][:500]
+    return str(e.args[0] if isinstance(e, KeyError) and e.args else e).split("\n")[0]
 
 
 def _context(suite: Suite, run_id: str | None, as_of: Any) -> RunContext:

@@ -265,7 +265,7 @@ def _order_totals(t: Tables) -> DataFrame:
     "rule_total",
     f"""
     WITH {_ORDER_TOTALS},
-         d AS (SELECT abs(o_totalprice - items) AS diff, abs(o_totalprice - items) > 0.01 + 1e-9 * (1 + abs(items)) AS bad FROM o),
+         d AS (SELECT abs(o_totalprice - items) AS diff, abs(o_totalprice - items) > 0.01 + 1e-15 * (0.01 + abs(items)) AS bad FROM o),
          a AS (SELECT count(*) FILTER (bad) AS n, count(*) AS total,
                       CAST(sum(CASE WHEN bad THEN CAST(diff AS DECIMAL(18,4)) END) AS DOUBLE) AS s FROM d)
     SELECT {status_sql("n > 0")}, n AS violations, s / n AS avg_difference, total AS total_rows FROM a
