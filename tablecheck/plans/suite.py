@@ -30,6 +30,8 @@ from .registry import Env, measurement_of, violating_rows
 
 Tables = Mapping[str, DataFrame]
 
+OUT_OF_TIME = "time budget used up"
+
 
 def now() -> dt.datetime:
     return dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
@@ -272,7 +274,7 @@ def execute_suite(
         for group, frame in groups:
             if budget_seconds is not None and time.time() - started > budget_seconds:
                 out += [
-                    (*_plain_row(c, ctx, "skip", "time budget used up"), ctx.as_of, 0) for c, _ in group
+                    (*_plain_row(c, ctx, "skip", OUT_OF_TIME), ctx.as_of, 0) for c, _ in group
                 ]
                 continue
             out += list(_run_group(group, frame, ctx))
@@ -328,22 +330,27 @@ def sample_violations(
 def gate(results: DataFrame) -> DataFrame:
     """Suite verdict per run: a failing or erroneous check with gate `fail` fails
     it, failing `warn` checks only warn; `worst` is the gravest severity that
-    failed. Skipped checks do not count."""
+    failed. Checks that the time budget left out make the verdict "incomplete"
+    unless something fails; other skipped checks do not count."""
     bad = F.col("status").isin("fail", "error")
     stops = bad & (F.col("gate") == "fail")
     warns = bad & (F.col("gate") == "warn")
     worst = F.min(F.when(bad, severity_rank(F.col("severity"))))
+    told = "error_message" in results.columns
+    left_out = (F.col("status") == "skip") & (F.col("error_message") == OUT_OF_TIME) if told else F.lit(False)
     return (
         results.groupBy("run_id", "suite")
         .agg(
             F.count_if(stops).alias("failures"),
             F.count_if(warns).alias("warnings"),
+            F.count_if(left_out).alias("_left_out"),
             worst.alias("_worst"),
         )
         .select(
             "run_id",
             "suite",
             F.when(F.col("failures") > 0, "fail")
+            .when(F.col("_left_out") > 0, "incomplete")
             .when(F.col("warnings") > 0, "warn")
             .otherwise("pass")
             .alias("verdict"),
