@@ -51,7 +51,9 @@ def in_any_subset(term: Column) -> Column:
 def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
     """term, subsets for the terms in the band that lie in some subset."""
     n = docs.count()
-    terms = docs.select(F.explode(terms_of(F.coalesce("text", F.lit("")))).alias("term")).where(in_any_subset(F.col("term")))
+    # explode_outer, because Spark would evaluate the terms of explode again in a filter.
+    terms = docs.select(F.explode_outer(terms_of(F.coalesce("text", F.lit("")))).alias("term"))
+    terms = terms.where(F.col("term").isNotNull() & in_any_subset(F.col("term")))
     counts = terms.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     band = counts.where((F.col("n") >= max(LEAST_DOCUMENTS, low * n)) & (F.col("n") <= high * n))
     return cut(band.select("term", subsets_of(F.col("term")).alias("subsets")))
@@ -137,7 +139,7 @@ def fingerprints(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataF
         "kind",
         "info",
         F.xxhash64(F.sort_array("terms")).alias("all"),
-        F.explode(F.concat(F.array(F.lit("")), F.col("terms"))).alias("term"),
+        F.explode_outer(F.concat(F.array(F.lit("")), F.col("terms"))).alias("term"),
     ).where((F.col("term") == "") | in_any_subset(F.col("term")))
     first = F.col("term") == ""
     listed = listed.select(
