@@ -17,6 +17,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,7 @@ BUCKETS = 1 << 15
 SEQUENCES, STEPS, BATCH, RATE = 4000, 250, 64, 0.05
 LEXICON_SHARE = 0.8
 CACHE_WORDS = 400_000
+NEW_WORDS = 10_000
 GROUP_CELLS = 300_000
 UNKNOWN = "und"
 WORD = re.compile(r"[^\W\d_]+")
@@ -39,14 +41,19 @@ def words_of(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
+@lru_cache(1 << 17)
+def _bucket(name: str) -> int:
+    return zlib.crc32(name.encode()) % BUCKETS
+
+
 def features(word: str, lexicon: dict[str, int]) -> list[int]:
     """Numbers of a word's features below BUCKETS, then one per lexicon."""
-    names = [f"w{word}"]
+    names = []
     for n in (1, 2, 3):
         names += [f"p{word[:n]}", f"s{word[-n:]}"]
     edged = f"^{word[:40]}$"
     names += ["g" + edged[i : i + 3] for i in range(len(edged) - 2)]
-    found = [zlib.crc32(n.encode()) % BUCKETS for n in names]
+    found = [zlib.crc32(b"w" + word.encode()) % BUCKETS, *map(_bucket, names)]
     if word in lexicon:
         found.append(BUCKETS + lexicon[word])
     return found
@@ -83,8 +90,11 @@ class Model:
     def __init__(self, labels: list[str], lexicon: dict[str, int], weights: np.ndarray, move: np.ndarray) -> None:
         self.labels, self.lexicon, self.weights, self.move = labels, lexicon, weights, move
 
-    def score(self, word: str) -> np.ndarray:
-        return self.weights[features(word, self.lexicon)].sum(axis=0)
+    def scores(self, words: list[str]) -> np.ndarray:
+        """One row of label scores for each word."""
+        found = [features(w, self.lexicon) for w in words]
+        starts = np.cumsum([0] + [len(f) for f in found[:-1]])
+        return np.add.reduceat(self.weights[[i for f in found for i in f]], starts, axis=0)
 
 
 def _sequences(docs: list[tuple[list[str], int]], rng: np.random.Generator) -> list[list[tuple[str, int]]]:
@@ -180,19 +190,23 @@ def _labelled(model: Model):
 
         def numbers(words: list[str]) -> list[int]:
             nonlocal table_
-            for w in {w for w in words if w not in known}:
-                if len(known) == len(table_):
+            fresh = sorted(set(words).difference(known))
+            for at in range(0, len(fresh), NEW_WORDS):
+                part = fresh[at : at + NEW_WORDS]
+                while len(known) + len(part) > len(table_):
                     table_ = np.concatenate([table_, np.zeros_like(table_)])
-                table_[len(known)] = model.score(w)
-                known[w] = len(known)
-            return [known[w] for w in words]
+                table_[len(known) : len(known) + len(part)] = model.scores(part)
+                known.update(zip(part, range(len(known), len(known) + len(part))))
+            return list(map(known.__getitem__, words))
 
         for batch in batches:
             for start in range(0, batch.num_rows, 1024):
                 part = batch.slice(start, 1024)
                 if len(known) > CACHE_WORDS:
                     known.clear()
-                coded = [np.array(numbers(words_of(t or "")), np.int32) for t in part.column(2).to_pylist()]
+                split = [words_of(t or "") for t in part.column(2).to_pylist()]
+                flat = np.array(numbers([w for words in split for w in words]), np.int32)
+                coded = np.split(flat, np.cumsum([len(words) for words in split])[:-1])
                 labels, scores = [UNKNOWN] * len(coded), [0.0] * len(coded)
                 if model.labels:
                     for i, share in _shares(coded, table_, model.move):
