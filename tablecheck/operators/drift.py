@@ -84,11 +84,12 @@ def check_profile_drift(
     return result("drift", profile_drift_measurement(profile, baseline, **limits), **(label or {}))
 
 
-def _category(df: DataFrame, baseline: DataFrame, column: str, bins: int) -> Column:
-    """The category of a row: the value itself, or for fractional numbers the
-    equal-width bin between the baseline's minimum and maximum."""
+def _category(baseline: DataFrame, column: str, bins: int | None) -> Column:
+    """The category of a row: for numbers the equal-width bin between the baseline's
+    minimum and maximum, otherwise (or with bins=None) the value itself. Null is a
+    category of its own."""
     c = F.col(column)
-    if not isinstance(baseline.schema[column].dataType, (T.DoubleType, T.FloatType, T.DecimalType)):
+    if bins is None or not isinstance(baseline.schema[column].dataType, T.NumericType):
         return c.cast("string")
     edges = baseline.agg(
         F.struct(
@@ -97,15 +98,18 @@ def _category(df: DataFrame, baseline: DataFrame, column: str, bins: int) -> Col
     ).scalar()
     lo, hi = edges["lo"], edges["hi"]
     step = F.floor((c.cast("double") - lo) / (hi - lo) * bins)
-    return F.when(hi > lo, F.greatest(F.lit(-1), F.least(F.lit(bins), step))).otherwise(0).cast("string")
+    bin_ = F.when(hi > lo, F.greatest(F.lit(-1), F.least(F.lit(bins), step))).otherwise(0)
+    return F.when(c.isNotNull(), bin_).cast("string")
 
 
 def category_shares(
-    df: DataFrame, baseline: DataFrame, column: str, bins: int = 10
+    df: DataFrame, baseline: DataFrame, column: str, bins: int | None = 10
 ) -> DataFrame:
-    """Counts per category on both sides: (category, current, base)."""
-    cur = df.select(_category(df, baseline, column, bins).alias("category"), F.lit(1).alias("c"), F.lit(0).alias("b"))
-    base = baseline.select(_category(baseline, baseline, column, bins).alias("category"), F.lit(0).alias("c"), F.lit(1).alias("b"))
+    """Counts per category on both sides: (category, current, base). bins=None takes
+    numbers as categories."""
+    category = _category(baseline, column, bins).alias("category")
+    cur = df.select(category, F.lit(1).alias("c"), F.lit(0).alias("b"))
+    base = baseline.select(category, F.lit(0).alias("c"), F.lit(1).alias("b"))
     return (
         cur.unionByName(base)
         .groupBy("category")
@@ -118,7 +122,7 @@ def category_drift_measurement(
     baseline: DataFrame,
     column: str,
     threshold: float = 0.2,
-    bins: int = 10,
+    bins: int | None = 10,
     floor: float = 1e-4,
 ) -> Measurement:
     """Population stability index; empty shares count as `floor`."""
@@ -158,7 +162,7 @@ def check_category_drift(
     baseline: DataFrame,
     column: str,
     threshold: float = 0.2,
-    bins: int = 10,
+    bins: int | None = 10,
     floor: float = 1e-4,
     **label: Any,
 ) -> DataFrame:

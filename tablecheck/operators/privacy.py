@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from typing import Any
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import privacy as P
 from ..verdict import Judgement, Measurement, result, zero
@@ -23,28 +24,45 @@ def pii_columns(df: DataFrame) -> DataFrame:
     return table_schema(df).filter(P.is_pii_name(F.col("column"))).select("column", "type")
 
 
+_TELLING = re.compile("|".join(f"(?:{p})" for p in P.NAME_PATTERNS), re.IGNORECASE)
+
+
 def named_pii(df: DataFrame) -> list[str]:
     """The same names as a list, from metadata alone."""
-    import re
-
-    found = re.compile("|".join(f"(?:{p})" for p in P.NAME_PATTERNS), re.IGNORECASE)
-    return [c for c in df.columns if found.search(c)]
+    return [c for c in df.columns if _TELLING.search(c)]
+
+
+def _holds_text(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return any(_TELLING.search(f.name) or _holds_text(f.dataType) for f in kind.fields)
+    if isinstance(kind, T.ArrayType):
+        return _holds_text(kind.elementType)
+    if isinstance(kind, T.MapType):
+        return _holds_text(kind.valueType)
+    return isinstance(kind, T.StringType)
+
+
+def _redacted(c: Column, name: str, kind: T.DataType, strategy: str) -> Column:
+    if _TELLING.search(name):
+        return P.hide(c.cast("string"), strategy)
+    if not _holds_text(kind):
+        return c
+    if isinstance(kind, T.StructType):
+        fields = [_redacted(c.getField(f.name), f.name, f.dataType, strategy).alias(f.name) for f in kind.fields]
+        return F.when(c.isNotNull(), F.struct(*fields))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(c, lambda x: _redacted(x, "", kind.elementType, strategy))
+    if isinstance(kind, T.MapType):
+        return F.transform_values(c, lambda k, v: _redacted(v, "", kind.valueType, strategy))
+    return P.redact_values(c)
 
 
 def redact(df: DataFrame, strategy: str = "mask") -> DataFrame:
-    """Columns with a telling name are hidden by `strategy` whatever their type;
-    other text columns have matching values replaced; everything else stays."""
-    named = set(named_pii(df))
-    text = set(string_columns(df))
+    """Columns and struct fields with a telling name are hidden by `strategy` whatever
+    their type; other text, also inside structs, arrays and map values, has matching
+    values replaced; everything else, map keys included, stays."""
     return df.select(
-        *[
-            P.hide(F.col(c).cast("string"), strategy).alias(c)
-            if c in named
-            else P.redact_values(F.col(c)).alias(c)
-            if c in text
-            else F.col(c)
-            for c in df.columns
-        ]
+        *[_redacted(F.col(f.name), f.name, f.dataType, strategy).alias(f.name) for f in df.schema.fields]
     )
 
 

@@ -13,18 +13,18 @@ PROFILES = ("smoke", "standard", "deep", "custom")
 # Which check is proposed for which layer, how sure the proposal is
 # and which profiles ask for it. Columns: layer, prefix of the check name, type,
 # severity, gate, confidence, profiles that include it, profiles that may accept
-# it without review, what the dataset needs, rationale.
+# it without review, what the dataset needs; the rationale is our own wording.
 RULES = (
-    ("RAW", "pk_uniqueness", "uniqueness", "blocker", "fail", 0.95, "smoke,standard,deep,custom", "standard,deep", "key", "Primary key uniqueness is critical for data integrity"),
-    ("RAW", "not_null_key", "not_null", "blocker", "fail", 0.90, "smoke,standard,deep,custom", "standard,deep", "key", "Key columns should never be null"),
-    ("RAW", "freshness", "freshness", "major", "warn", 0.80, "standard,deep", "", "any", "Data should be fresh within SLA"),
-    ("RAW", "row_count_stability", "row_count", "major", "warn", 0.70, "deep", "", "any", "Row count should be stable within expected range"),
-    ("PREP", "schema_contract", "schema", "blocker", "fail", 0.95, "smoke,standard,deep,custom", "smoke,standard,deep,custom", "any", "Schema should match expected contract"),
-    ("PREP", "total_consistency", "rule", "major", "fail", 0.85, "smoke,standard,deep,custom", "deep", "order", "Order totals should equal sum of components"),
-    ("PREP", "fk_integrity", "reconciliation", "major", "fail", 0.80, "smoke,standard,deep,custom", "", "reference", "Foreign key references should be valid"),
-    ("MART", "dim_completeness", "not_null", "major", "fail", 0.90, "smoke,standard,deep,custom", "smoke,standard,deep,custom", "dimension", "Dimension business keys should be complete"),
-    ("MART", "fact_dim_coverage", "reconciliation", "major", "fail", 0.85, "smoke,standard,deep,custom", "", "fact", "Fact records should have valid dimension references"),
-    ("MART", "agg_consistency", "reconciliation", "major", "fail", 0.75, "deep", "", "any", "Aggregated values should match source totals"),
+    ("RAW", "pk_uniqueness", "uniqueness", "blocker", "fail", 0.95, "smoke,standard,deep,custom", "standard,deep", "key", "A key that repeats makes every later join count rows twice"),
+    ("RAW", "not_null_key", "not_null", "blocker", "fail", 0.90, "smoke,standard,deep,custom", "standard,deep", "key", "A null in a key matches nothing"),
+    ("RAW", "freshness", "freshness", "major", "warn", 0.80, "standard,deep", "", "any", "Late input makes everything built on it late"),
+    ("RAW", "row_count_stability", "row_count", "major", "warn", 0.70, "deep", "", "any", "A jump in the number of rows points to a lost or doubled load"),
+    ("PREP", "schema_contract", "schema", "blocker", "fail", 0.95, "smoke,standard,deep,custom", "smoke,standard,deep,custom", "any", "Consumers rely on the agreed columns and types"),
+    ("PREP", "total_consistency", "rule", "major", "fail", 0.85, "smoke,standard,deep,custom", "deep", "order", "The parts of an order must add up to its total"),
+    ("PREP", "fk_integrity", "reconciliation", "major", "fail", 0.80, "smoke,standard,deep,custom", "", "reference", "A reference without its parent row is lost in joins"),
+    ("MART", "dim_completeness", "not_null", "major", "fail", 0.90, "smoke,standard,deep,custom", "smoke,standard,deep,custom", "dimension", "Facts cannot be attributed to a dimension row without a key"),
+    ("MART", "fact_dim_coverage", "reconciliation", "major", "fail", 0.85, "smoke,standard,deep,custom", "", "fact", "Facts without their dimension drop out of reports"),
+    ("MART", "agg_consistency", "reconciliation", "major", "fail", 0.75, "deep", "", "any", "Sums must survive the way from the source to the report"),
 )
 
 # Name prefixes of the layers.

@@ -154,6 +154,16 @@ def test_category_drift(frame):
     assert (r.status, r.metrics["appeared"], r.metrics["vanished"]) == ("fail", "1", "1")
 
 
+def test_drift_of_whole_numbers(frame):
+    base = frame([(i,) for i in range(0, 1000, 2)] + [(None,)], "c bigint")
+    odd = frame([(i,) for i in range(1, 1000, 2)] + [(None,)], "c bigint")
+    r = result_of(drift.check_category_drift(odd, base, "c"))
+    assert (r.status, r.metrics["appeared"]) == ("pass", "0")  # the last bin holds the maximum and all above
+    assert result_of(drift.check_category_drift(odd, base, "c", bins=None)).status == "fail"
+    shares = {x.category: x.base for x in drift.category_shares(odd, base, "c").collect()}
+    assert shares[None] == 1
+
+
 def test_snapshots_with_copies(frame):
     prev = frame([(1, "a"), (2, "b"), (2, "b"), (3, "c"), (4, None)], "k int, v string")
     cur = frame([(1, "x"), (2, "b"), (5, "e"), (4, None)], "k int, v string")

@@ -92,6 +92,18 @@ def test_no_pii(frame):
     assert result_of(R.check_no_pii(df.select("name"), df)).violations == 1
 
 
+def test_redact_nested(frame):
+    schema = "s struct<note:string,phone:string,n:int>, a array<struct<t:string>>, m map<string,string>, z array<int>"
+    df = frame([(("a@b.com", "555-1234567", 1), [("x@y.org",), None], {"k": "c@d.com"}, [1]), (None, None, None, None)], schema)
+    full, empty = R.redact(df).collect()
+    if full.s is None:
+        full, empty = empty, full
+    assert "a@b.com" not in full.s.note and "1234" not in full.s.phone and full.s.n == 1
+    assert "x@y.org" not in full.a[0].t and full.a[1] is None
+    assert "c@d.com" not in full.m["k"] and full.z == [1]
+    assert tuple(empty) == (None, None, None, None)
+
+
 def test_redaction_stays_in_the_jvm(frame):
     plan = R.redact(frame([("x",)], "note string"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan

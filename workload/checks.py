@@ -590,6 +590,23 @@ def numeric_psi(t: Tables) -> DataFrame:
     return _psi(r)
 
 
+def _whole_bin(base: str) -> str:
+    return f"CAST(greatest(-1, least(10, floor((event_id - (SELECT min(event_id) FROM {base})) / (SELECT max(event_id) - min(event_id) FROM {base}) * 10))) AS BIGINT)"
+
+
+@query(
+    "whole_number_psi",
+    _psi_sql(
+        f"SELECT {_whole_bin('(SELECT event_id FROM events WHERE user_id % 2 = 0)')} AS k FROM events WHERE user_id % 2 = 1",
+        f"SELECT {_whole_bin('(SELECT event_id FROM events WHERE user_id % 2 = 0)')} AS k FROM events WHERE user_id % 2 = 0",
+    ),
+)
+def whole_number_psi(t: Tables) -> DataFrame:
+    """Users with even against users with odd numbers; ids are binned, not categories."""
+    r = drift.check_category_drift(t.events.filter("user_id % 2 = 1"), t.events.filter("user_id % 2 = 0"), "event_id")
+    return _psi(r)
+
+
 @query(
     "category_psi_lang",
     _psi_sql(

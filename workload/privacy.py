@@ -46,6 +46,22 @@ def redact_documents(t: Tables) -> DataFrame:
     return R.redact(t.documents.select("doc_id", "text", "lang"))
 
 
+@query("redact_nested", f"SELECT doc_id, {_redact_sql('text')} AS inner_text, {_redact_sql('text')} AS item, {_redact_sql('lang')} AS value FROM documents")
+def redact_nested(t: Tables) -> DataFrame:
+    nested = t.documents.select(
+        "doc_id",
+        F.struct(F.col("text").alias("body")).alias("wrapped"),
+        F.array("text").alias("items"),
+        F.create_map(F.lit("k"), F.col("lang")).alias("entries"),
+    )
+    return R.redact(nested).select(
+        "doc_id",
+        F.col("wrapped.body").alias("inner_text"),
+        F.col("items")[0].alias("item"),
+        F.col("entries")["k"].alias("value"),
+    )
+
+
 @query("redact_text", f"SELECT page_id, {_text_sql('html')} AS html FROM pages")
 def redact_text(t: Tables) -> DataFrame:
     return t.pages.select("page_id", P.redact_text(F.col("html")).alias("html"))
