@@ -17,7 +17,6 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,56 +33,74 @@ CACHE_WORDS = 400_000
 NEW_WORDS = 10_000
 GROUP_CELLS = 300_000
 UNKNOWN = "und"
-WORD = re.compile(r"[^\W\d_]+")
+MIX, SHIFT = np.uint32(0x85EBCA6B), np.uint32(15)
+WORD = re.compile(r"[^\W\d_]{1,64}")  # a longer run of letters is several words
 
 
 def words_of(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
-@lru_cache(1 << 17)
-def _bucket(name: str) -> int:
-    return zlib.crc32(name.encode()) % BUCKETS
-
-
-def features(word: str, lexicon: dict[str, int]) -> list[int]:
-    """Numbers of a word's features below BUCKETS, then one per lexicon."""
-    names = []
-    for n in (1, 2, 3):
-        names += [f"p{word[:n]}", f"s{word[-n:]}"]
-    edged = f"^{word[:40]}$"
-    names += ["g" + edged[i : i + 3] for i in range(len(edged) - 2)]
-    found = [zlib.crc32(b"w" + word.encode()) % BUCKETS, *map(_bucket, names)]
-    if word in lexicon:
-        found.append(BUCKETS + lexicon[word])
-    return found
-
-
-def forward_backward(emit: np.ndarray, move: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Marginals (n, t, labels), summed pair marginals (labels, labels) and log
-    normalisers, for scores `emit`, transition scores `move` and a mask of words."""
+def _mixed(codes: np.ndarray, kind: int) -> np.ndarray:
+    """One bucket for each row of code points along the last axis; `kind` tells
+    prefixes, suffixes and n-grams apart."""
+    h = np.full(codes.shape[:-1], kind, np.uint32)
+    for i in range(codes.shape[-1]):
+        h = (h ^ codes[..., i]) * MIX
+        h ^= h >> SHIFT
+    return (h % np.uint32(BUCKETS)).astype(np.int32)
+
+
+def features(words: list[str], lexicon: dict[str, int]) -> np.ndarray:
+    """One row per word with the numbers of its features below BUCKETS, then one per
+    lexicon; -1 where there is none."""
+    n = len(words)
+    lengths = np.fromiter(map(len, words), np.int64, n)
+    rows, width = np.arange(n)[:, None], int(lengths.max())
+    padded = "".join("\0\0\0" + w.ljust(width + 3, "\0") for w in words).encode("utf-32-le")
+    codes = np.frombuffer(padded, np.uint32).reshape(n, width + 6)
+    edged = codes.copy()
+    edged[:, 2], edged[rows[:, 0], lengths + 3] = ord("^"), ord("$")
+    found = [np.fromiter((zlib.crc32(w.encode()) % BUCKETS for w in words), np.int32, n)[:, None]]
+    for size in (1, 2, 3):
+        found.append(_mixed(codes[:, 3 : 3 + size], size)[:, None])
+        found.append(_mixed(codes[rows, lengths[:, None] + np.arange(3 - size, 3)], 3 + size)[:, None])
+    grams = _mixed(np.lib.stride_tricks.sliding_window_view(edged[:, 2 : width + 4], 3, axis=1), 7)
+    found.append(np.where(np.arange(width) < lengths[:, None], grams, -1))
+    listed = np.fromiter((lexicon.get(w, -1) for w in words), np.int32, n)
+    found.append(np.where(listed < 0, -1, listed + BUCKETS)[:, None])
+    return np.concatenate(found, axis=1)
+
+
+def forward_backward(emit: np.ndarray, move: np.ndarray, mask: np.ndarray, count: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Marginals (n, t, labels) and summed pair marginals (labels, labels; zeros
+    without `count`) for scores `emit`, transition scores `move` and a mask of words,
+    which lie at the front of each row."""
     n, steps, labels = emit.shape
-    top = emit.max(axis=2, keepdims=True)
-    e, m = np.exp(emit - top), np.exp(move)
-    ahead, scale = np.empty_like(e), np.ones((n, steps))
-    now = e[:, 0] / labels
+    emit, mask = np.ascontiguousarray(emit.transpose(1, 0, 2)), mask.T
+    e, m = np.exp(emit - emit.max(axis=2, keepdims=True)), np.exp(move)
+    whole = mask.all(axis=1)
+    ahead, scale = np.empty_like(e), np.ones((steps, n, 1))
     for t in range(steps):
-        if t:
-            now = np.where(mask[:, t, None], (ahead[:, t - 1] @ m) * e[:, t], ahead[:, t - 1])
-        scale[:, t] = now.sum(axis=1)
-        ahead[:, t] = now / scale[:, t, None]
+        now = ahead[t - 1] @ m * e[t] if t else e[t] / labels
+        now /= (total := now @ np.ones((labels, 1)))
+        if t and not whole[t]:
+            now, total = np.where(mask[t, :, None], now, ahead[t - 1]), np.where(mask[t, :, None], total, 1)
+        ahead[t], scale[t] = now, total
     behind = np.ones((n, labels))
-    marginal, pairs = np.empty_like(e), np.zeros((labels, labels))
+    marginal, pairs = ahead, np.zeros((labels, labels))
     for t in range(steps - 1, -1, -1):
-        both = ahead[:, t] * behind
-        marginal[:, t] = both / both.sum(axis=1, keepdims=True)
+        before = ahead[t - 1].copy() if t and count else None
+        marginal[t] *= behind
         if t:
-            right = e[:, t] * behind / scale[:, t, None]
-            used = mask[:, t]
-            pairs += m * (ahead[used, t - 1].T @ right[used])
-            behind = np.where(mask[:, t, None], right @ m.T, behind)
-    logz = (np.log(scale) * mask).sum(axis=1) + (top[:, :, 0] * mask).sum(axis=1)
-    return marginal, pairs, logz
+            right = e[t] * behind / scale[t]
+            if count:
+                used = mask[t]
+                pairs += m * (before[used].T @ right[used])
+            right = right @ m.T
+            behind = right if whole[t] else np.where(mask[t, :, None], right, behind)
+    marginal /= marginal.sum(axis=2, keepdims=True)
+    return marginal.transpose(1, 0, 2), pairs
 
 
 class Model:
@@ -92,9 +109,12 @@ class Model:
 
     def scores(self, words: list[str]) -> np.ndarray:
         """One row of label scores for each word."""
-        found = [features(w, self.lexicon) for w in words]
-        starts = np.cumsum([0] + [len(f) for f in found[:-1]])
-        return np.add.reduceat(self.weights[[i for f in found for i in f]], starts, axis=0)
+        found = features(words, self.lexicon)
+        total = np.zeros((len(words), len(self.labels)))
+        for at in range(found.shape[1]):
+            here = found[:, at]
+            total += np.where(here[:, None] < 0, 0, self.weights[here])
+        return total
 
 
 def _sequences(docs: list[tuple[list[str], int]], rng: np.random.Generator) -> list[list[tuple[str, int]]]:
@@ -132,11 +152,13 @@ def train(rows: list[tuple[str, str]], seed: int = 7) -> Model:
     # Documents of each label are drawn alike, however many there are.
     by_label = [[d for d in docs if d[1] == i] for i in range(k)]
     docs = [by_label[i % k][i // k % len(by_label[i % k])] for i in range(k * SAMPLE) if by_label[i % k]]
-    sequences, known = _sequences(docs, rng), {}
+    sequences = _sequences(docs, rng)
+    words = sorted({w for sequence in sequences for w, _ in sequence})
+    known = {w: f[f >= 0] for w, f in zip(words, features(words, lexicon))}
     state = [[np.zeros_like(p), np.zeros_like(p)] for p in (weights, move)]
     for step in range(1, STEPS + 1):
         batch = [sequences[i] for i in rng.integers(len(sequences), size=BATCH)]
-        grads = _gradient(batch, weights, move, lexicon, known)
+        grads = _gradient(batch, weights, move, known)
         for p, g, (m, v) in zip((weights, move), grads, state):
             m += 0.1 * (g - m)
             v += 0.001 * (g * g - v)
@@ -144,22 +166,21 @@ def train(rows: list[tuple[str, str]], seed: int = 7) -> Model:
     return Model(labels, lexicon, weights, move)
 
 
-def _gradient(batch, weights, move, lexicon, known) -> tuple[np.ndarray, np.ndarray]:
+def _gradient(batch, weights, move, known) -> tuple[np.ndarray, np.ndarray]:
     k, steps = move.shape[0], max(len(s) for s in batch)
     mask = np.zeros((len(batch), steps), bool)
     truth = np.zeros((len(batch), steps, k))
     flat, owner = [], []
     for i, sequence in enumerate(batch):
         for t, (w, label) in enumerate(sequence):
-            if w not in known:
-                known[w] = features(w, lexicon)
-            flat += known[w]
-            owner += [i * steps + t] * len(known[w])
+            flat.append(known[w])
+            owner.append(i * steps + t)
             mask[i, t], truth[i, t, label] = True, 1
-    flat, owner = np.array(flat), np.array(owner)
+    owner = np.repeat(owner, [len(f) for f in flat])
+    flat = np.concatenate(flat)
     cells = len(batch) * steps
     emit = np.stack([np.bincount(owner, weights[flat, j], cells) for j in range(k)], axis=1).reshape(-1, steps, k)
-    marginal, pairs, _ = forward_backward(emit, move, mask)
+    marginal, pairs = forward_backward(emit, move, mask)
     miss = ((truth - marginal) * mask[:, :, None]).reshape(-1, k)
     by_feature = np.stack([np.bincount(flat, miss[owner, j], len(weights)) for j in range(k)], axis=1)
     seen = np.einsum("nta,ntb->ab", truth[:, :-1], truth[:, 1:])
@@ -190,7 +211,7 @@ def _labelled(model: Model):
 
         def numbers(words: list[str]) -> list[int]:
             nonlocal table_
-            fresh = sorted(set(words).difference(known))
+            fresh = sorted(set(words).difference(known), key=len)
             for at in range(0, len(fresh), NEW_WORDS):
                 part = fresh[at : at + NEW_WORDS]
                 while len(known) + len(part) > len(table_):
@@ -234,7 +255,7 @@ def _shares(coded: list[np.ndarray], table_: np.ndarray, move: np.ndarray) -> It
         for row, i in enumerate(group):
             mask[row, : len(coded[i])] = True
             emit[row, : len(coded[i])] = table_[coded[i]]
-        marginal, _, _ = forward_backward(emit, move, mask)
+        marginal, _ = forward_backward(emit, move, mask, count=False)
         means = (marginal * mask[:, :, None]).sum(axis=1) / mask.sum(axis=1, keepdims=True)
         yield from zip(group, means)
 

@@ -205,7 +205,7 @@ def test_forward_backward_by_enumeration():
         p: np.exp(sum(emit[0, t, p[t]] for t in range(4)) + sum(move[a, b] for a, b in zip(p, p[1:])))
         for p in product(range(3), repeat=4)
     }
-    marginal, pairs, _ = language.forward_backward(emit, move, np.ones((1, 4), bool))
+    marginal, pairs = language.forward_backward(emit, move, np.ones((1, 4), bool))
     total = sum(weight.values())
     for t in range(4):
         for k in range(3):
