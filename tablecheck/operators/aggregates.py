@@ -34,8 +34,31 @@ def exact_sum(df: DataFrame, column: str) -> Column:
     return F.sum(exact(F.expr(column), type_of(df, column)))
 
 
+def total(c: Column, data_type: T.DataType) -> Column:
+    """Sum as a double; the same whatever the order in which partitions are combined.
+
+    Binary floats below 1e20 are summed as decimals of 18 places, whole part and
+    fraction apart, so that neither 1e15 nor 0.00001 is lost. Larger ones, infinities
+    and NaN have no such form and are added as doubles.
+    """
+    if not isinstance(data_type, (T.DoubleType, T.FloatType)):
+        return F.sum(c).cast("double")
+    small = F.abs(c) < 1e20
+    fixed = F.when(small, c).cast("decimal(38,18)")
+    whole = F.floor(fixed).cast("decimal(28,0)")
+    part = (fixed - whole).cast("decimal(28,18)")
+    wholes, parts = F.sum(whole), F.sum(part)
+    # Below 1e17 both fit one decimal: a single rounding to double.
+    joined = F.when(
+        F.abs(wholes) < F.lit(10**17).cast("decimal(38,0)"),
+        (wholes.try_cast("decimal(20,0)") + parts.try_cast("decimal(37,17)")).cast("double"),
+    ).otherwise(wholes.cast("double") + parts.cast("double"))
+    rest = F.sum(F.when(~small, c.cast("double")))
+    return F.when(rest.isNull(), joined).otherwise(rest + F.coalesce(joined, F.lit(0.0)))
+
+
 def exact_avg(df: DataFrame, column: str) -> Column:
-    return exact_sum(df, column).cast("double") / F.count(F.expr(column))
+    return total(F.expr(column), type_of(df, column)) / F.count(F.expr(column))
 
 
 def aggregate_column(df: DataFrame, fn: str, column: str) -> Column:
@@ -44,7 +67,7 @@ def aggregate_column(df: DataFrame, fn: str, column: str) -> Column:
     if fn == "count_distinct":
         return F.count_distinct(F.expr(column))
     if fn == "sum":
-        return exact_sum(df, column).cast("double")
+        return total(F.expr(column), type_of(df, column))
     if fn == "avg":
         return exact_avg(df, column)
     if fn in ("min", "max"):

@@ -14,7 +14,7 @@ from ..functions.predicates import (
     rule_sides,
 )
 from ..verdict import Judgement, Measurement, result, zero
-from .aggregates import count_if, exact, rows
+from .aggregates import count_if, total, rows
 
 
 def rule_rows(
@@ -36,7 +36,7 @@ def rule_measurement(
             "bad": count_if(bad),
             "unknown": F.count_if(bad.isNull()),
             "total": rows(),
-            "diff": F.sum(F.when(bad, exact(diff, diff_type))).cast("double"),
+            "diff": total(F.when(bad, diff), diff_type),
         }
     else:
         bad = rule_predicate(expression)
