@@ -98,7 +98,9 @@ def _category(baseline: DataFrame, column: str, bins: int | None) -> Column:
     ).scalar()
     lo, hi = edges["lo"], edges["hi"]
     step = F.floor((c.cast("double") - lo) / (hi - lo) * bins)
-    bin_ = F.when(hi > lo, F.greatest(F.lit(-1), F.least(F.lit(bins), step))).otherwise(0)
+    # A baseline of one value has one bin; what lies below or above it stays apart.
+    single = F.when(c < lo, -1).when(c > lo, bins).otherwise(0)
+    bin_ = F.when(hi > lo, F.greatest(F.lit(-1), F.least(F.lit(bins), step))).otherwise(single)
     return F.when(c.isNotNull(), bin_).cast("string")
 
 
