@@ -13,7 +13,7 @@ from tablecheck.llm.mixing import mix
 from tablecheck.llm.neardup import deduplicate
 from tablecheck.llm.packing import pack
 from tablecheck.llm.quality import keep_good
-from tablecheck.llm.substrings import remove_repeats
+from tablecheck.llm.substrings import WORDS, remove_repeats
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,8 +27,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Strings of 400 bytes or more that occur again are cut out of the texts."""
-    out = remove_repeats(docs, docs.columns, keep_text=True).withColumn("text", F.col("kept_text"))
+    """Passages of over 50 words, and strings of 400 bytes or more, that occur again
+    are cut out of the texts."""
+    out = remove_repeats(docs, docs.columns, keep_text=True, words=WORDS).withColumn("text", F.col("kept_text"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(docs.columns)

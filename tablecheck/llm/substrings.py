@@ -15,6 +15,9 @@ one position:
    tasks that hold whole intervals; intervals too large for that are counted window
    by window in a shuffle.
 
+Passages of words are found in the same way, with a hash for each word in place of
+each byte, so their length in bytes does not matter.
+
 No Burrows-Wheeler transform is built: see README.
 """
 
@@ -32,6 +35,7 @@ from .shingles import BASE, mix, powers
 
 LENGTH = 400
 GRAM = 32
+WORDS, WORD_GRAM = 51, 10
 CHUNK = 1 << 20
 LARGE_INTERVAL = 4096
 BATCH_BYTES = 1 << 21
@@ -66,6 +70,29 @@ class Rolling:
         return (self.sums[end] - self.sums[start]) * self.inverse[start]
 
 
+def word_places(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First byte of every word and the byte after it; words as in `base.WORD`."""
+    space = (raw == 32) | ((raw >= 9) & (raw <= 13))
+    edges = np.flatnonzero(np.diff(np.concatenate(([True], space, [True])).astype(np.int8)))
+    return edges[::2], edges[1::2]
+
+
+def _word_hashes(raw: np.ndarray) -> np.ndarray:
+    starts, ends = word_places(raw)
+    out = np.zeros(len(starts), np.uint64)
+    step = CHUNK // 8
+    for begin in range(0, len(starts), step):
+        lo, hi = starts[begin : begin + step], ends[begin : begin + step]
+        part = Rolling(raw[lo[0] : hi[-1]], BASE)
+        out[begin : begin + step] = mix(part(lo - lo[0], hi - lo[0]) + (hi - lo).astype(np.uint64) * np.uint64(D))
+    return out
+
+
+def _sequence(text: str | None, words: bool) -> np.ndarray:
+    raw = np.frombuffer((text or "").encode(), np.uint8)
+    return _word_hashes(raw) if words else raw
+
+
 def _sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     """Least value of every `width` consecutive ones, from running minima of blocks."""
     n = len(values)
@@ -103,7 +130,7 @@ def segments(raw: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> list[np
 SEGMENT = "tk binary, anchor long, c1 long, c2 long, lo long, hi long, shift int"
 
 
-def _segmented(length: int, gram: int):
+def _segmented(length: int, gram: int, words: bool):
     names = ["tk", "anchor", "c1", "c2", "lo", "hi", "shift"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,10 +138,10 @@ def _segmented(length: int, gram: int):
             for start in range(0, batch.num_rows, 256):
                 keys, found = [], []
                 for text in batch.column(0).slice(start, 256).to_pylist():
-                    raw = (text or "").encode()
-                    if len(raw) >= length:
-                        got = segments(np.frombuffer(raw, np.uint8), length, gram)
-                        keys += [hashlib.sha256(raw).digest()[:16]] * len(got[0])
+                    sequence = _sequence(text, words)
+                    if len(sequence) >= length:
+                        got = segments(sequence, length, gram)
+                        keys += [hashlib.sha256(text.encode()).digest()[:16]] * len(got[0])
                         found.append(got)
                 if found:
                     columns = [np.concatenate(c) for c in zip(*found)]
@@ -125,11 +152,11 @@ def _segmented(length: int, gram: int):
     return work
 
 
-def _windows(rows: list[dict], length: int) -> tuple[np.ndarray, ...]:
+def _windows(rows: list[dict], length: int, words: bool) -> tuple[np.ndarray, ...]:
     """Two keys of every window of some contexts, the context's number and the
     window's place in it."""
-    raw = np.frombuffer(b"".join(r["context"] for r in rows), np.uint8)
-    sizes = np.array([len(r["context"]) for r in rows])
+    raw = np.frombuffer(b"".join(r["context"] for r in rows), np.uint64 if words else np.uint8)
+    sizes = np.array([len(r["context"]) for r in rows]) // raw.itemsize
     counts = sizes - length + 1
     owner = np.repeat(np.arange(len(rows)), counts)
     place = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
@@ -163,12 +190,12 @@ def _marks(rows: list[tuple[bytes, int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, names=["tk", "lo", "hi"])
 
 
-def _solved(length: int):
+def _solved(length: int, words: bool):
     """Repeated windows of contexts that occur once. Rows come ordered by anchor;
     whole intervals are taken together."""
 
     def solve(rows: list[dict]) -> pa.RecordBatch:
-        one, two, owner, place = _windows(rows, length)
+        one, two, owner, place = _windows(rows, length, words)
         weight = np.array([min(r["n"], 2) for r in rows])[owner]
         order = np.lexsort((two, one))
         one, two, owner, place, weight = (x[order] for x in (one, two, owner, place, weight))
@@ -194,14 +221,14 @@ def _solved(length: int):
     return work
 
 
-def _counted(length: int):
+def _counted(length: int, words: bool):
     """All windows of contexts as rows: k1, k2, n, tk, start."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 rows = batch.slice(start, 512).to_pylist()
-                one, two, owner, place = _windows(rows, length)
+                one, two, owner, place = _windows(rows, length, words)
                 lo, n = (np.array([r[c] for r in rows], np.int64)[owner] for c in ("lo", "n"))
                 tk = pa.array([r["tk"] for r in rows], pa.binary()).take(pa.array(owner))
                 columns = [pa.array(x.view(np.int64)) for x in (one, two, n)] + [tk, pa.array(lo + place)]
@@ -213,17 +240,18 @@ def _counted(length: int):
 CONTEXT = "tk binary, anchor long, c1 long, c2 long, lo long, shift int, n long, m long, context binary"
 
 
-def _contexts(length: int):
-    """The bytes of the wanted contexts of each text."""
+def _contexts(length: int, words: bool):
+    """The bytes, or hashes of words, of the wanted contexts of each text."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 128):
                 rows = []
                 for r in batch.slice(start, 128).to_pylist():
-                    raw = r["text"].encode()
+                    sequence = _sequence(r["text"], words)
                     for w in r["wanted"]:
-                        rows.append({"tk": r["tk"], **w, "context": raw[w["lo"] : w["hi"] + length]})
+                        context = sequence[w["lo"] : w["hi"] + length].tobytes()
+                        rows.append({"tk": r["tk"], **w, "context": context})
                 names = [c.split()[0] for c in CONTEXT.split(", ")]
                 kinds = {"binary": pa.binary(), "long": pa.int64(), "int": pa.int32()}
                 types = [kinds[c.split()[1]] for c in CONTEXT.split(", ")]
@@ -235,11 +263,16 @@ def _contexts(length: int):
 
 
 def repeated_windows(
-    docs: DataFrame, length: int = LENGTH, gram: int = GRAM, large_interval: int = LARGE_INTERVAL
+    docs: DataFrame,
+    length: int = LENGTH,
+    gram: int = GRAM,
+    large_interval: int = LARGE_INTERVAL,
+    words: bool = False,
 ) -> DataFrame:
-    """(tk, lo, hi): runs of starts of repeated strings, per distinct text."""
+    """(tk, lo, hi): runs of starts of repeated strings, per distinct text. With
+    `words`, all lengths and places count words instead of bytes."""
     texts = docs.select("text")
-    found = cut(texts.mapInArrow(_segmented(length, gram), SEGMENT))
+    found = cut(texts.mapInArrow(_segmented(length, gram, words), SEGMENT))
     key = ["anchor", "c1", "c2"]
     contexts = found.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
     anchors = contexts.groupBy("anchor").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("all")).where(
@@ -254,19 +287,19 @@ def repeated_windows(
         F.collect_list(F.struct("anchor", "c1", "c2", "lo", "hi", "shift", "n", "m")).alias("wanted")
     )
     source = docs.select(text_key(F.col("text")).alias("tk"), F.coalesce("text", F.lit("")).alias("text"))
-    read = source.join(wanted, "tk").select("tk", "text", "wanted").mapInArrow(_contexts(length), CONTEXT)
+    read = source.join(wanted, "tk").select("tk", "text", "wanted").mapInArrow(_contexts(length, words), CONTEXT)
     read = cut(read)
     small = read.where(F.col("m") <= large_interval).dropDuplicates(key)
     small = small.repartition("anchor").sortWithinPartitions("anchor")
-    marks = whole.unionByName(small.mapInArrow(_solved(length), "tk binary, lo long, hi long"))
+    marks = whole.unionByName(small.mapInArrow(_solved(length, words), "tk binary, lo long, hi long"))
     large = read.where(F.col("m") > large_interval).dropDuplicates(key)
-    rows = large.mapInArrow(_counted(length), "k1 long, k2 long, n long, tk binary, lo long")
+    rows = large.mapInArrow(_counted(length, words), "k1 long, k2 long, n long, tk binary, lo long")
     again = rows.groupBy("k1", "k2").agg(F.sum("n").alias("s")).where("s > 1").select("k1", "k2")
     spread = rows.where("n = 1").join(again, ["k1", "k2"]).select("tk", "lo", F.col("lo").alias("hi"))
     return cut(marks.unionByName(spread))
 
 
-def _removed(length: int, keep_text: bool):
+def _removed(length: int, words: int | None, keep_text: bool):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
@@ -275,7 +308,7 @@ def _removed(length: int, keep_text: bool):
                 for text, runs in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     raw = (text or "").encode()
                     kept, at, spans = [], 0, 0
-                    for lo, hi in _merged(runs or [], length):
+                    for lo, hi in _merged(_ranges(raw, runs or [], length, words)):
                         kept.append(raw[at:lo])
                         at, spans = hi, spans + 1
                     rest = b"".join([*kept, raw[at:]])
@@ -293,10 +326,21 @@ def _removed(length: int, keep_text: bool):
     return work
 
 
-def _merged(runs: list[dict], length: int) -> list[tuple[int, int]]:
-    """Byte ranges covered by strings that start within the runs."""
+def _ranges(raw: bytes, runs: list[dict], length: int, words: int | None) -> list[tuple[int, int]]:
+    """Byte ranges covered by strings that start within the runs. A passage of words
+    goes with the space up to the next word."""
+    out = [(r["lo"], r["hi"] + length) for r in runs if not r["words"]]
+    passages = [r for r in runs if r["words"]]
+    if passages:
+        starts = np.append(word_places(np.frombuffer(raw, np.uint8))[0], len(raw))
+        out += [(int(starts[r["lo"]]), int(starts[r["hi"] + words])) for r in passages]
+    return out
+
+
+def _merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Overlapping and touching ranges as one."""
     out: list[tuple[int, int]] = []
-    for lo, hi in sorted((r["lo"], r["hi"] + length) for r in runs):
+    for lo, hi in sorted(ranges):
         if out and lo <= out[-1][1]:
             out[-1] = (out[-1][0], max(hi, out[-1][1]))
         else:
@@ -311,12 +355,15 @@ def remove_repeats(
     gram: int = GRAM,
     large_interval: int = LARGE_INTERVAL,
     keep_text: bool = False,
+    words: int | None = None,
 ) -> DataFrame:
     """n_bytes, n_removed, n_spans, kept_sha256, with keep_text kept_text (code points
     that a cut splits are left out), and the columns `keep` of every row.
 
     A byte goes if it is covered by a string of `length` bytes that also starts
-    elsewhere in the table, in the same text or another; all occurrences go. Null
+    elsewhere in the table, in the same text or another; all occurrences go. With
+    `words`, so does every run of that many words that also starts elsewhere, whatever
+    its bytes and the space between its words. Null
     text: empty. Repeated rows of at least `length` bytes repeat each other. Texts
     are compared as UTF-8 and never across rows. An empty table gives no rows.
     Columns of `keep` that share a name with an added one give way to it.
@@ -324,8 +371,11 @@ def remove_repeats(
     keep = ["doc_id"] if keep is None else keep
     added = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"][: 5 if keep_text else 4]
     names = [c for c in keep if c not in added]
-    marks = repeated_windows(docs, length, gram, large_interval)
-    runs = marks.groupBy("tk").agg(F.collect_list(F.struct("lo", "hi")).alias("__runs"))
+    marks = repeated_windows(docs, length, gram, large_interval).withColumn("words", F.lit(False))
+    if words:
+        passages = repeated_windows(docs, words, min(WORD_GRAM, words), large_interval, True)
+        marks = marks.unionByName(passages.withColumn("words", F.lit(True)))
+    runs = marks.groupBy("tk").agg(F.collect_list(F.struct("lo", "hi", "words")).alias("__runs"))
     kept = [F.col(f"`{c}`").alias(f"__k{i}") for i, c in enumerate(names)]
     source = docs.select(text_key(F.col("text")).alias("tk"), F.col("text").alias("__text"), *kept)
     joined = source.join(runs, "tk", "left").select("__text", "__runs", *[f"__k{i}" for i in range(len(names))])
@@ -333,7 +383,7 @@ def remove_repeats(
     schema = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     schema += ", kept_text string" if keep_text else ""
     schema += "".join(f", __k{i} {t}" for i, t in enumerate(types))
-    out = joined.mapInArrow(_removed(length, keep_text), schema)
+    out = joined.mapInArrow(_removed(length, words, keep_text), schema)
     return out.select(*[F.col(f"__k{i}").alias(c) for i, c in enumerate(names)], *added)
 
 

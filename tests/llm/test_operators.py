@@ -270,6 +270,38 @@ def test_repeats_over_chunks(monkeypatch, spark):
     assert Counter((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == want
 
 
+@pytest.mark.parametrize("large", [4096, 1])
+def test_repeated_words(spark, large):
+    rng = np.random.default_rng(5)
+
+    def made(n):
+        return ["".join(map(chr, rng.integers(97, 123, rng.integers(1, 9)))) for _ in range(n)]
+
+    shared = {n: made(n) for n in (50, 51, 54, 65)}
+    texts = [[*made(40), *shared[n], *made(i)] for i in (0, 3, 70) for n in shared]
+    texts += [made(7) + shared[65][5:60] + shared[51], [], made(51)]
+    rows = [(i, " ".join(t) if i % 2 else "\n\t".join(t) + " ") for i, t in enumerate(texts)]
+    assert all(len(" ".join(t)) < 400 for t in shared.values())
+    docs = spark.createDataFrame([*rows, (None, None)], "doc_id long, text string")
+    got = substrings.remove_repeats(docs, ["doc_id"], large_interval=large, keep_text=True, words=51).collect()
+    count = Counter(tuple(t[i : i + 51]) for t in texts for i in range(len(t) - 50))
+    for r in got:
+        t = texts[r.doc_id] if r.doc_id is not None else []
+        gone = {i + k for i in range(len(t) - 50) if count[tuple(t[i : i + 51])] > 1 for k in range(51)}
+        assert (r.kept_text or "").split() == [w for i, w in enumerate(t) if i not in gone]
+
+
+def test_pipeline_catches_passages_of_over_50_words(spark):
+    import corpus_pipeline
+
+    rows, passages = [], [[f"{i}q{n}" for i in range(n)] for n in (51, 65)]
+    for i, passage in enumerate(passages * 2):
+        rows.append((i, " ".join([f"{i}a{k}own" for k in range(90)] + passage + [f"{i}b{k}own" for k in range(90)])))
+    assert all(len(" ".join(p)) < 400 for p in passages)
+    got = corpus_pipeline.repeated_passages(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert len(got) == 4 and all("q" not in r.text and r.text.count("own") == 180 for r in got)
+
+
 def test_html():
     page = (
         "<html><head><title>T</title></head><body><nav><a>home</a></nav><div class='ad x'>buy</div><article>"
