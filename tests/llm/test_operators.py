@@ -321,6 +321,34 @@ def test_html_hosts(spark):
     assert got[9] == "Home About Contact Imprint Login Help\nalone" and got[10] == got[11] == ""
 
 
+def test_html_prose_without_article_on_a_large_host(spark):
+    rng = np.random.default_rng(11)
+    phrases = [" ".join(f"v{w}" for w in rng.integers(0, 300, 6)) for _ in range(200)]
+    quote = " ".join(f"quoted{i}" for i in range(30))
+    menu, legal = "Home About Contact", " ".join(f"legal{i}" for i in range(40))
+    prose = [" ".join(phrases[k] for k in rng.integers(0, 200, 12)) for _ in range(3000)]
+    prose = [f"{p} {quote}" if i < 50 else p for i, p in enumerate(prose)]
+    want = {i: f"Notes\n{p}" if i < 50 else p for i, p in enumerate(prose)}
+    rows = [
+        (i, "http://h/", f"<div>{menu}</div>{'<h2>Notes</h2>' if i < 50 else ''}<p>{p}</p><div>{legal} {i}</div>")
+        for i, p in enumerate(prose)
+    ]
+    rows += [(10_000 + i, u, h) for i, u, h in rows[:500] for _ in range(2)]  # copies
+    rows += [(20_000 + i, "http://copies/", "<p>the same page under many names</p>") for i in range(50)]
+    rows += [(30_000 + i, "http://small/", f"<p>{quote}</p><p>page {i}</p>") for i in range(2)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = html.extract(pages).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        if r.page_id < 20_000:
+            i = r.page_id % 10_000
+            assert r.text == f"{want[i]}\n{i}"
+        elif r.page_id < 30_000:
+            assert r.text == "the same page under many names"
+        else:
+            assert r.text == f"{quote}\npage {r.page_id - 30_000}"
+
+
 def brute_components(docs, words):
     sets = {}
     for r in docs.collect():
