@@ -5,11 +5,10 @@ rare that one edit creates or destroys them nor so common that they tell nothing
 fingerprint consists of one hash per lexicon subset: the document's distinct terms
 in that subset, sorted, hashed. Subsets have several densities, so that short and
 long documents each have some that keep a few of their terms; subsets of one density
-are disjoint. The likeness of two fingerprints is the share of equal hashes among
+are disjoint, and those of the first hold the whole band. The likeness of two fingerprints is the share of equal hashes among
 the subsets that either document touches.
 
-The lexicon is at most (distinct terms per document) x (share of terms in any
-subset) / LOW, whatever the number of documents, and is sent to all tasks only after
+The lexicon is at most (distinct terms per document) / LOW, whatever the number of documents, and is sent to all tasks only after
 its size is checked.
 """
 
@@ -21,8 +20,8 @@ from .base import cut, query, table
 
 TERM = r"[\p{L}\p{N}]+"
 LOW, HIGH, LEAST_DOCUMENTS = 0.0005, 0.1, 2
-DENSITIES = (32, 128, 512, 2048)  # a subset of a density holds one term in so many
-SUBSETS = 8  # of each density
+DENSITIES = (8, 32, 128, 512, 2048)  # a subset of a density holds one term in so many
+SUBSETS = 8  # of each density; as many as the first, so that no term is left out
 BROADCAST_TERMS = 1_000_000
 BUCKET_ROWS, KNOTS = 4000, 64
 
@@ -41,19 +40,12 @@ def subsets_of(term: Column) -> Column:
     return F.array_compact(F.array(*found))
 
 
-def in_any_subset(term: Column) -> Column:
-    hit = F.lit(False)
-    for i, density in enumerate(DENSITIES):
-        hit = hit | (F.pmod(F.xxhash64(term, F.lit(i)), F.lit(density)) < SUBSETS)
-    return hit
-
-
 def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
-    """term, subsets for the terms in the band that lie in some subset."""
+    """term, subsets for the terms in the band."""
     n = docs.count()
     # explode_outer, because Spark would evaluate the terms of explode again in a filter.
     terms = docs.select(F.explode_outer(terms_of(F.coalesce("text", F.lit("")))).alias("term"))
-    terms = terms.where(F.col("term").isNotNull() & in_any_subset(F.col("term")))
+    terms = terms.where(F.col("term").isNotNull())
     counts = terms.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     band = counts.where((F.col("n") >= max(LEAST_DOCUMENTS, low * n)) & (F.col("n") <= high * n))
     return cut(band.select("term", subsets_of(F.col("term")).alias("subsets")))
@@ -109,7 +101,7 @@ def fingerprints(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataF
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited,
     near_next for every document.
 
-    A document without a lexicon term in any subset has, under subset -1, the hash
+    A document without a lexicon term has, under subset -1, the hash
     of all its terms. Null text: empty. Equal texts have equal fingerprints; repeated
     rows are documents of their own. An empty table gives no rows. Extra columns are
     ignored. Terms stay in the task that holds their document, so after the texts'
@@ -140,7 +132,7 @@ def fingerprints(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataF
         "info",
         F.xxhash64(F.sort_array("terms")).alias("all"),
         F.explode_outer(F.concat(F.array(F.lit("")), F.col("terms"))).alias("term"),
-    ).where((F.col("term") == "") | in_any_subset(F.col("term")))
+    )
     first = F.col("term") == ""
     listed = listed.select(
         "bucket", "place", "kind", "term", F.when(first, F.struct("info", "all")).alias("head")

@@ -155,6 +155,20 @@ def test_fingerprints(spark, edge, real):
     assert sum(x > 0 for x in near) > 0.7 * len(near)
 
 
+def test_fingerprints_of_short_texts(spark):
+    rng = np.random.default_rng(7)
+    texts = [" ".join(f"t{w}" for w in rng.choice(400, rng.integers(5, 31), False)) for _ in range(400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    band = {r.term for r in fingerprints.lexicon(docs).collect()}
+    df = Counter(t for x in texts for t in set(x.split()))
+    assert band == {t for t, n in df.items() if 2 <= n <= 40}
+    rows = fingerprints.fingerprints(docs).collect()
+    kept = {r.doc_id: frozenset(band & set(texts[r.doc_id].split())) for r in rows}
+    assert all(r.fingerprint[:2] != "00" for r in rows)
+    assert len({r.fingerprint for r in rows}) == len(set(kept.values()))
+    assert sum(r.near_edited > 0 for r in rows) > 0.8 * len(rows)
+
+
 def test_fingerprint_hashes_by_brute_force(real):
     import regex
     import xxhash
