@@ -21,8 +21,3 @@ def frame(spark):
 
     return make
 
-
-def result_of(df):
-    rows = df.collect()
-    assert len(rows) == 1
-    return rows[0]

@@ -2,7 +2,7 @@ import hashlib
 import json
 
 import pytest
-from conftest import result_of
+from single_row import result_of
 
 from tablecheck.operators import contracts, drift, snapshots
 from tablecheck.plans import catalog as K, lineage as L, proposals as T

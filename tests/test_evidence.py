@@ -1,7 +1,7 @@
 import datetime as dt
 
 import pytest
-from conftest import result_of
+from single_row import result_of
 
 from tablecheck.functions.hashing import checksum, fast_checksum
 from tablecheck.operators import evidence as E

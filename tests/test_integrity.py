@@ -1,7 +1,7 @@
 import datetime as dt
 
 import pytest
-from conftest import result_of
+from single_row import result_of
 from hypothesis import HealthCheck, given, settings, strategies as st
 
 from tablecheck.operators import integrity, rules, volume

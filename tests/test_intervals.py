@@ -2,7 +2,7 @@ import datetime as dt
 import random
 
 import pytest
-from conftest import result_of
+from single_row import result_of
 from pyspark.sql import functions as F
 
 from tablecheck.operators import intervals

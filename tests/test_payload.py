@@ -1,5 +1,5 @@
 import pytest
-from conftest import result_of
+from single_row import result_of
 from pyspark.sql import functions as F
 
 from tablecheck.functions import payloads as P

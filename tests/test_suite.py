@@ -1,7 +1,7 @@
 import datetime as dt
 
 import pytest
-from conftest import result_of
+from single_row import result_of
 from pyspark.sql import functions as F
 
 from tablecheck.functions.predicates import Filter as Flt, apply_filters, scope, window_last, window_range
