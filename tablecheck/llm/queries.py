@@ -1,6 +1,18 @@
 """All registered queries of the subpackage."""
 
-from . import chat, fingerprints, html, language, mixing, neardup, packing, quality, sharding, substrings  # noqa: F401
+from . import (  # noqa: F401
+    chat,
+    fingerprints,
+    html,
+    language,
+    mixing,
+    neardup,
+    packing,
+    quality,
+    sharding,
+    substrings,
+    tries,
+)
 from .base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
