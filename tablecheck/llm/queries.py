@@ -7,6 +7,7 @@ from . import (  # noqa: F401
     language,
     mixing,
     neardup,
+    neighbours,
     packing,
     quality,
     sharding,
