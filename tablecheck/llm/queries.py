@@ -2,6 +2,7 @@
 
 from . import (  # noqa: F401
     chat,
+    collocations,
     fingerprints,
     html,
     language,
