@@ -165,16 +165,46 @@ def route_of(rows: np.ndarray, words: int, routes: int) -> np.ndarray:
 
 
 def packed(rows: np.ndarray, counts: np.ndarray) -> bytes:
-    """Rows by columns, as 32-bit numbers where they fit."""
-    both = np.column_stack([rows, counts])
-    small = len(both) == 0 or (both.min() >= 0 and both.max() < 1 << 31)
-    return (b"s" if small else b"l") + both.T.astype("<i4" if small else "<i8").tobytes()
-
-
-def unpacked(raw: bytes) -> np.ndarray:
+    """Combined rows, each without the words it shares with the row before it."""
+    length = (rows != 0).sum(1)
+    shared = np.zeros(len(rows), np.int64)
+    shared[1:] = np.logical_and.accumulate(rows[1:] == rows[:-1], axis=1).sum(1)
+    at = np.arange(LONGEST)
+    words = rows[(at >= shared[:, None]) & (at < length[:, None])]
+    many = counts[counts != 1].astype("<i8")
+    flags = (shared | length << 3 | (counts != 1) << 6).astype(np.uint8)
+    small = words.min() >= 0 and words.max() < 1 << 24
+    # Low and high bytes apart, as the high ones of frequent words are alike.
+    planes = [(words & 0xFFFF).astype("<u2"), (words >> 16).astype(np.uint8)] if small else [words.astype("<i8")]
+    raw = b"".join(x.tobytes() for x in (flags, many, *planes))
+    head = struct.pack("<?qqqq", small, len(flags), len(many), len(words), len(raw))
+    return head + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unpacked(blob: bytes) -> np.ndarray:
     """Rows of LONGEST words and a count."""
-    kind = "<i4" if raw[:1] == b"s" else "<i8"
-    return np.frombuffer(raw, kind, offset=1).reshape(LONGEST + 1, -1).T.astype(np.int64)
+    head = struct.calcsize("<?qqqq")
+    small, n, n_many, n_words, size = struct.unpack("<?qqqq", blob[:head])
+    raw = pa.decompress(blob[head:], size, codec="zstd", asbytes=True)
+    flags = np.frombuffer(raw, np.uint8, n).astype(np.int64)
+    shared, length = flags & 7, flags >> 3 & 7
+    out = np.zeros((n, LONGEST + 1), np.int64)
+    out[:, LONGEST] = 1
+    out[flags >> 6 == 1, LONGEST] = np.frombuffer(raw, "<i8", n_many, n)
+    start = n + 8 * n_many
+    if small:
+        words = np.frombuffer(raw, "<u2", n_words, start).astype(np.int64)
+        words |= np.frombuffer(raw, np.uint8, n_words, start + 2 * n_words).astype(np.int64) << 16
+    else:
+        words = np.frombuffer(raw, "<i8", n_words, start)
+    at = np.arange(LONGEST)
+    own = (at >= shared[:, None]) & (at < length[:, None])
+    out[:, :LONGEST][own] = words
+    rows = np.arange(n)
+    for j in range(LONGEST):
+        source = np.maximum.accumulate(np.where(j >= shared, rows, 0))
+        out[:, j] = out[source, j]
+    return out
 
 
 def routed(rows: np.ndarray, counts: np.ndarray, words: int, routes: int) -> Iterator[pa.RecordBatch]:
@@ -308,7 +338,7 @@ def frequent_phrases(
     places = (words if numbers.whole else counts).agg(F.sum("f").alias("n")).first().n or 0
     routes = max(int(spark.conf.get("spark.sql.shuffle.partitions")), places // route + 1)
     shared = spark.sparkContext.broadcast(numbers)
-    parts = cut(texts_of(docs).mapInArrow(_suffixes(shared, routes), ROUTED))
+    parts = cut(texts_of(docs).mapInArrow(_suffixes(shared, routes), ROUTED), "uncompressed")
     found, known = [], 2
     while True:
         full = parts.groupBy("route").agg(F.sum("rows").alias("n")).where(F.col("n") > 4 * route).select("route")
@@ -325,7 +355,7 @@ def frequent_phrases(
         if known == LONGEST:
             break
         known += 1
-        parts = cut(parts.mapInArrow(_rerouted(known, routes), ROUTED))
+        parts = cut(parts.mapInArrow(_rerouted(known, routes), ROUTED), "uncompressed")
     phrases = found[0]
     for more in found[1:]:
         phrases = phrases.unionByName(more)

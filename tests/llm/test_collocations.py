@@ -93,6 +93,19 @@ def test_three_way_counts_every_prefix():
     assert got == {p: n for p, n in want.items() if n >= 8 and len(p) > 1}
 
 
+@pytest.mark.parametrize("low, high", [(0, 3), (0, 1 << 20), (-(2**62), 2**62)])
+def test_packets_round_trip(low, high):
+    rng = np.random.default_rng(2)
+    rows = rng.integers(low, high, (3000, 5))
+    rows[:, :2] = rng.choice([low + 1, high - 1, 1], (3000, 2))
+    rows[rng.random((3000, 5)) < 0.1] = 0
+    rows[:, 0] |= 1
+    rows[np.logical_or.accumulate(rows == 0, axis=1)] = 0
+    rows, counts = c.combined(rows, rng.choice([1, 1, 1, 7, 2**40], 3000))
+    assert (c.unpacked(c.packed(rows, counts)) == np.column_stack([rows, counts])).all()
+    assert c.unpacked(c.packed(rows[:1], counts[:1])).shape == (1, 6)
+
+
 def test_hash_of_a_word_is_that_of_spark(frame):
     df = frame([("en", "wörd"), ("und", "x")], "lang string, word string")
     for r in df.select("lang", "word", c.hashed(7).alias("id")).collect():
