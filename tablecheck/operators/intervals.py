@@ -1,12 +1,13 @@
 """Order-dependent checks: validity intervals and late arrivals.
 
 A plain `Window.partitionBy(key)` would put all rows of a hot key into one task.
-Hot keys (more than HOT_ROWS rows) are therefore cut into buckets along the sort
-order. Each bucket is reduced to one summary row (combined on the map side), the
-summaries of a key get a prefix maximum, and only rows of one (key, bucket) meet
-in a task. All other keys have a single bucket and no summary, so data without
-hot keys pays for one narrow count per key. Where the cuts lie never changes the
-answer.
+Hot keys (more than HOT_ROWS rows) are therefore cut into buckets along the full
+order of their rows, at quantiles, so that neither an outlier nor a position that
+most rows share fills one bucket. Each bucket is reduced to one summary row
+(combined on the map side), the summaries of a key get a prefix maximum, and only
+rows of one (key, bucket) meet in a task. All other keys have a single bucket and
+no summary, so data without hot keys pays for one narrow count per key. Where the
+cuts lie never changes the answer.
 """
 
 from __future__ import annotations
@@ -22,47 +23,93 @@ from ..verdict import Judgement, Measurement, result, zero
 from .aggregates import count_if, rows
 
 
-# A key with fewer rows is sorted within one task; there can be at most
-# (rows / HOT_ROWS) hot keys, 100,000 in a trillion rows, so their list is
-# broadcast.
+# A key with fewer rows is sorted within one task. At most HOT_KEYS keys, the
+# largest, are cut; every other key then holds at most rows / HOT_KEYS rows. Their
+# cuts, at most rows / bucket_rows, are broadcast: 24 MB in a trillion rows.
 HOT_ROWS = 10_000_000
 BUCKET_ROWS = 1_000_000
+HOT_KEYS = 100_000
+# Rows of a sample per bucket: sizes then vary by an eighth.
+SAMPLED = 64
+# A bucket of copies is cut further; its parts are numbered within it.
+PARTS = 1 << 24
+
+
+def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int) -> DataFrame:
+    """The largest keys with more than `hot_rows` rows, as `_h_<key>`, and their rows `_n`."""
+    names = [f"_h_{k}" for k in keys]
+    counts = df.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names)]).agg(rows().alias("_n"))
+    return counts.filter(F.col("_n") > hot_rows).orderBy(F.desc("_n"), *names).limit(HOT_KEYS)
+
+
+def hot_cuts(
+    df: DataFrame, keys: Sequence[str], position: str, tie: str, hot_rows: int, bucket_rows: int
+) -> DataFrame:
+    """Per hot key the ascending `_cuts` (p, t, parts): where its buckets begin.
+
+    Rows equal in position and tie are counted, then sampled by a hash of their
+    values with a chance in proportion to the count, so all branches of a plan see
+    the same sample. A value with as many rows as a bucket begins one of its own and
+    so does what follows it; `parts` is the number of buckets that it fills.
+    """
+    hot = F.broadcast(hot_keys(df, keys, hot_rows))
+    names = [f"_h_{k}" for k in keys]
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names)])
+    values = df.join(hot, same).groupBy(*names, F.col(position).alias("p"), F.col(tie).alias("t"))
+    step = max(1, bucket_rows // SAMPLED)
+    n = F.col("n")
+    drawn = F.pmod(F.xxhash64(*names, "p", "t"), F.lit(step)) < n
+    sample = values.agg(rows().alias("n")).filter(drawn).withColumn("w", F.greatest(n, F.lit(step)))
+    order = W.partitionBy(*names).orderBy("p", "t")
+    before = F.sum("w").over(order.rowsBetween(W.unboundedPreceding, -1))
+    own = n >= bucket_rows
+    marked = sample.withColumn("_at", F.floor(F.coalesce(before, F.lit(0)) / bucket_rows)).withColumn("_own", own)
+    first = F.col("_at") > F.coalesce(F.lag("_at").over(order), F.lit(0))
+    after = F.coalesce(F.lag("_own").over(order), F.lit(False))
+    parts = F.when(F.col("_own"), F.ceil(n / F.lit(bucket_rows))).otherwise(F.lit(1)).cast("int").alias("parts")
+    cuts = marked.withColumn("_cut", first | F.col("_own") | after).select(*names, "_cut", F.struct("p", "t", parts).alias("c"))
+    kept = F.array_sort(F.collect_list(F.when(F.col("_cut"), F.col("c"))))
+    return cuts.groupBy(*names).agg(kept.alias("_cuts"))
+
+
+def place_among(cuts: Column, value: Column) -> Column:
+    """How many of the ascending `cuts` are at most `value`: by halving steps."""
+    steps = F.array(*[F.lit(1 << i) for i in range(24, -1, -1)])
+
+    def step(at: Column, size: Column) -> Column:
+        there = F.get(cuts, at + size - 1)
+        reached = (at + size <= F.size(cuts)) & (F.struct(there["p"], there["t"]) <= value)
+        return F.when(F.coalesce(reached, F.lit(False)), at + size).otherwise(at)
+
+    return F.aggregate(steps, F.lit(0), step)
 
 
 def with_bucket(
     df: DataFrame,
     keys: Sequence[str],
     position: str,
+    tie: str,
     hot_rows: int = HOT_ROWS,
     bucket_rows: int = BUCKET_ROWS,
+    split_copies: bool = False,
 ) -> DataFrame:
-    """Adds `_bucket`, which never decreases along `position` (a number) within a
-    key, and `_hot`. Built from exact counts and ranges, so every branch of a
-    plan cuts alike."""
-    hot = (
-        df.groupBy(*[F.col(k).alias(f"_h_{k}") for k in keys])
-        .agg(
-            rows().alias("_n"), F.min(position).alias("_lo"), F.max(position).alias("_hi")
-        )
-        .filter(F.col("_n") > hot_rows)
-    )
-    parts = F.ceil(F.col("_n") / F.lit(bucket_rows))
-    hot = hot.select(
-        *[f"_h_{k}" for k in keys],
-        "_lo",
-        F.greatest(F.lit(1), F.ceil((F.col("_hi") - F.col("_lo") + 1) / parts)).alias("_width"),
-    )
-    cond = reduce(
-        lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_h_{k}")) for k in keys]
-    )
-    is_hot = F.col("_width").isNotNull()
-    bucket = F.floor((F.col(position) - F.col("_lo")) / F.col("_width"))
-    return (
-        df.join(F.broadcast(hot), cond, "left")
-        .withColumn("_hot", is_hot)
-        .withColumn("_bucket", F.when(is_hot, bucket).otherwise(F.lit(0)))
-        .drop("_lo", "_width", *[f"_h_{k}" for k in keys])
-    )
+    """Adds `_bucket`, which never decreases along (`position`, `tie`), two numbers,
+    within a key, and `_hot`. Rows equal in both stay together unless `split_copies`;
+    then it must not matter to the caller which of them comes first."""
+    names = [f"_h_{k}" for k in keys]
+    cuts = F.broadcast(hot_cuts(df, keys, position, tie, hot_rows, bucket_rows))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names)])
+    value = F.struct(F.col(position), F.col(tie))
+    joined = df.join(cuts, same, "left").withColumn("_hot", F.col("_cuts").isNotNull())
+    joined = joined.withColumn("_place", F.when(F.col("_hot"), place_among(F.col("_cuts"), value)).otherwise(F.lit(0)))
+    bucket = F.col("_place").cast("bigint") * PARTS
+    if split_copies:
+        cut = F.get("_cuts", F.col("_place") - 1)
+        many = F.coalesce(cut["parts"] > 1, F.lit(False))
+        copy = cut["p"].eqNullSafe(F.col(position)) & cut["t"].eqNullSafe(F.col(tie))
+        part = F.when(copy, F.pmod(F.monotonically_increasing_id(), cut["parts"])).otherwise(cut["parts"])
+        bucket = bucket + F.when(many, part).otherwise(F.lit(0))
+    return joined.withColumn("_bucket", bucket).drop("_cuts", "_place", *names)
 
 
 def inherited_maximum(cut: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -135,7 +182,7 @@ def interval_frame(
     )
     # A row without a start has no place on the line: it ends nothing earlier.
     reach = F.when(F.col("start").isNotNull(), F.col("end"))
-    cut = with_bucket(lines, keys, "start", hot_rows, bucket_rows).withColumn("_end", reach)
+    cut = with_bucket(lines, keys, "start", "end", hot_rows, bucket_rows).withColumn("_end", reach)
     distinct = cut.groupBy(*keys, "_bucket", "start", "end", "open", "_end").agg(rows().alias("n"))
     return prior_maximum(
         distinct, inherited_maximum(cut, keys, "_end"), keys, ["start", "end", "open"], "_end"
@@ -279,7 +326,7 @@ def behind_running_max(
     keys = [partition] if isinstance(partition, str) else list(partition)
     position = _instant(df, arrival_order)
     timed = df.withColumns({"_us": _instant(df, event_ts), "_pos": position})
-    cut = with_bucket(timed, keys, "_pos", hot_rows, bucket_rows)
+    cut = with_bucket(timed, keys, "_pos", "_us", hot_rows, bucket_rows, split_copies=True)
     out = prior_maximum(
         cut, inherited_maximum(cut, keys, "_us"), keys, [arrival_order, "_us"], "_us", "_newest"
     )

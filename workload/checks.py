@@ -645,15 +645,15 @@ def late_rate(t: Tables) -> DataFrame:
     return verdict(r, late_rows="bigint", total_rows="bigint", late_rate="double")
 
 
-@query(
-    "late_running_max",
-    """
-    WITH e AS (SELECT event_id, event_type, ts - CASE WHEN event_id % 13 = 0 THEN INTERVAL 2 HOUR ELSE INTERVAL 0 HOUR END AS ets FROM events),
-         w AS (SELECT *, max(ets) OVER (PARTITION BY event_type ORDER BY event_id
-                         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS newest FROM e)
-    SELECT event_id, event_type, coalesce(newest - ets > INTERVAL 1 HOUR, false) AS late FROM w
-    """,
-)
+_RUNNING_MAX = """
+WITH e AS (SELECT event_id, event_type, ts - CASE WHEN event_id % 13 = 0 THEN INTERVAL 2 HOUR ELSE INTERVAL 0 HOUR END AS ets FROM events),
+     w AS (SELECT *, max(ets) OVER (PARTITION BY event_type ORDER BY event_id
+                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS newest FROM e)
+SELECT event_id, event_type, coalesce(newest - ets > INTERVAL 1 HOUR, false) AS late FROM w
+"""
+
+
+@query("late_running_max", _RUNNING_MAX)
 def late_running_max(t: Tables) -> DataFrame:
     e = t.events.select(
         "event_id",
@@ -665,23 +665,34 @@ def late_running_max(t: Tables) -> DataFrame:
     ).select("event_id", "event_type", "late")
 
 
-@query(
-    "scd2_intervals",
-    f"""
-    WITH b AS (SELECT o_custkey AS k, o_orderdate AS s,
-                      CASE WHEN o_orderkey % 50 = 0 THEN NULL
-                           ELSE o_orderdate + to_days(CAST(o_orderkey % 400 AS INTEGER)) END AS e FROM orders),
-         f AS (SELECT k, s, e, coalesce(e, TIMESTAMP '9999-12-31') AS x FROM b),
-         w AS (SELECT *, max(x) OVER (PARTITION BY k ORDER BY s, x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pm FROM f),
-         o AS (SELECT count(*) AS m FROM (SELECT k FROM f WHERE e IS NULL GROUP BY k HAVING count(*) > 1)),
-         a AS (SELECT count(*) FILTER (pm > s) AS lap, count(*) FILTER (pm < s) AS gaps, count(*) FILTER (s >= x) AS inverted,
-                      (SELECT m FROM o) AS multi, count(*) AS n FROM w)
-    SELECT {status_sql("lap + gaps + inverted + multi > 0")}, lap + gaps + inverted + multi AS violations,
-           lap AS "overlaps", gaps, inverted, multi AS keys_with_several_open_rows, n AS total_rows FROM a
-    """,
-)
-def scd2_intervals(t: Tables) -> DataFrame:
-    history = t.orders.select(
+@query("late_running_max_cut", _RUNNING_MAX)
+def late_running_max_cut(t: Tables) -> DataFrame:
+    """The same with event types cut into buckets."""
+    e = t.events.select(
+        "event_id",
+        "event_type",
+        F.expr("ts - make_dt_interval(0, CASE WHEN event_id % 13 = 0 THEN 2 ELSE 0 END, 0, 0) AS ets"),
+    )
+    out = intervals.behind_running_max(e, "ets", "event_id", "event_type", 3600, hot_rows=100, bucket_rows=50)
+    return out.select("event_id", "event_type", "late")
+
+
+_SCD2 = f"""
+WITH b AS (SELECT o_custkey AS k, o_orderdate AS s,
+                  CASE WHEN o_orderkey % 50 = 0 THEN NULL
+                       ELSE o_orderdate + to_days(CAST(o_orderkey % 400 AS INTEGER)) END AS e FROM orders),
+     f AS (SELECT k, s, e, coalesce(e, TIMESTAMP '9999-12-31') AS x FROM b),
+     w AS (SELECT *, max(x) OVER (PARTITION BY k ORDER BY s, x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pm FROM f),
+     o AS (SELECT count(*) AS m FROM (SELECT k FROM f WHERE e IS NULL GROUP BY k HAVING count(*) > 1)),
+     a AS (SELECT count(*) FILTER (pm > s) AS lap, count(*) FILTER (pm < s) AS gaps, count(*) FILTER (s >= x) AS inverted,
+                  (SELECT m FROM o) AS multi, count(*) AS n FROM w)
+SELECT {status_sql("lap + gaps + inverted + multi > 0")}, lap + gaps + inverted + multi AS violations,
+       lap AS "overlaps", gaps, inverted, multi AS keys_with_several_open_rows, n AS total_rows FROM a
+"""
+
+
+def _history(t: Tables) -> DataFrame:
+    return t.orders.select(
         F.col("o_custkey").alias("k"),
         F.col("o_orderdate").alias("s"),
         F.expr(
@@ -689,8 +700,11 @@ def scd2_intervals(t: Tables) -> DataFrame:
             "ELSE o_orderdate + make_dt_interval(CAST(o_orderkey % 400 AS INT), 0, 0, 0) END AS e"
         ),
     )
+
+
+def _scd2(t: Tables, **cuts: int) -> DataFrame:
     return verdict(
-        intervals.check_scd2(history, "k", "s", "e"),
+        intervals.check_scd2(_history(t), "k", "s", "e", **cuts),
         overlaps="bigint",
         gaps="bigint",
         inverted="bigint",
@@ -699,6 +713,17 @@ def scd2_intervals(t: Tables) -> DataFrame:
     )
 
 
+@query("scd2_intervals", _SCD2)
+def scd2_intervals(t: Tables) -> DataFrame:
+    return _scd2(t)
+
+
+@query("scd2_intervals_cut", _SCD2)
+def scd2_intervals_cut(t: Tables) -> DataFrame:
+    """The same with customers of more than five orders cut into buckets."""
+    return _scd2(t, hot_rows=5, bucket_rows=4)
+
+
 # -------------------------------------------------------------------- snapshots
 
 _SNAP_CUR = """
