@@ -22,41 +22,56 @@ def count_if(p: Column) -> Column:
     return F.count_if(p)
 
 
-def exact(c: Column, data_type: T.DataType) -> Column:
-    """Binary floats as decimal(18,4): their sum is then exact and does not
-    depend on the order in which partitions are combined."""
-    if isinstance(data_type, (T.DoubleType, T.FloatType)):
-        return c.cast("decimal(18,4)")
-    return c
+# Below it every double is a whole number of bigint plus a fraction.
+_WHOLE = float(1 << 53)
+_PLACES, _HALF, _UPPER = 10**15, 10**8, 10**7
 
 
-def exact_sum(df: DataFrame, column: str) -> Column:
-    return F.sum(exact(F.expr(column), type_of(df, column)))
+def _div(a: Column, b: int) -> Column:
+    return F.call_function("div", a, F.lit(b).cast("bigint"))
 
 
 def total(c: Column, data_type: T.DataType) -> Column:
-    """Sum as a double; the same whatever the order in which partitions are combined.
+    """Sum as a double, whatever the order in which partitions are combined: of values
+    below 1e28 exact, with 15 places, and rounded once.
 
-    Binary floats below 1e20 are summed as decimals of 18 places, whole part and
-    fraction apart, so that neither 1e15 nor 0.00001 is lost. Larger ones, infinities
-    and NaN have no such form and are added as doubles.
+    Whole part and fraction of a binary float are summed as bigint halves of at most
+    eight digits, which stay compiled and hold 10^10 rows; from 2^53 on as decimals.
+    Larger values, infinities and NaN are added as doubles. Other types are summed as
+    they are.
     """
     if not isinstance(data_type, (T.DoubleType, T.FloatType)):
         return F.sum(c).cast("double")
-    small = F.abs(c) < 1e20
-    fixed = F.when(small, c).cast("decimal(38,18)")
-    whole = F.floor(fixed).cast("decimal(28,0)")
-    part = (fixed - whole).cast("decimal(28,18)")
-    wholes, parts = F.sum(whole), F.sum(part)
+    c = c.cast("double")
+    small, exact = F.abs(c) < _WHOLE, F.abs(c) < 1e28
+    near = F.when(small, c)
+    whole = F.floor(near)
+    part = F.rint((near - whole) * float(_PLACES)).cast("bigint")
+
+    def added(v: Column) -> Column:
+        return F.coalesce(F.sum(v), F.lit(0).cast("bigint"))
+
+    low = added(part % _HALF)
+    high = added(_div(part, _HALF)) + _div(low, _HALF)
+    units = (high % _UPPER) * _HALF + low % _HALF
+    fraction = units.cast("decimal(15,0)") * F.lit("0.000000000000001").cast("decimal(15,15)")
+    wholes = added(_div(whole, _HALF)).cast("decimal(20,0)") * F.lit(_HALF).cast("decimal(9,0)")
+    wholes = wholes + (added(whole % _HALF) + _div(high, _UPPER)).cast("decimal(20,0)")
+    far = F.sum(F.when(~small & exact, c).cast("decimal(38,0)"))
+    wholes = wholes.cast("decimal(38,0)") + F.coalesce(far, F.lit(0).cast("decimal(38,0)"))
     # Below 1e17 both fit one decimal: a single rounding to double.
-    joined = F.when(
-        F.abs(wholes) < F.lit(10**17).cast("decimal(38,0)"),
-        (wholes.try_cast("decimal(20,0)") + parts.try_cast("decimal(37,17)")).cast("double"),
-    ).otherwise(wholes.cast("double") + parts.cast("double"))
-    rest = F.sum(F.when(~small, c.cast("double")))
+    narrow = (wholes.try_cast("decimal(18,0)") + fraction).cast("double")
+    joined = F.when(F.count_if(exact) > 0, F.coalesce(narrow, wholes.cast("double")))
+    rest = F.sum(F.when(~exact, c))
     return F.when(rest.isNull(), joined).otherwise(rest + F.coalesce(joined, F.lit(0.0)))
 
 
+def number_sum(df: DataFrame, column: str) -> Column:
+    """SUM of a column: of floats as `total`, of other numbers in their own type."""
+    kind = type_of(df, column)
+    return total(F.expr(column), kind) if isinstance(kind, (T.DoubleType, T.FloatType)) else F.sum(F.expr(column))
+
+
 def exact_avg(df: DataFrame, column: str) -> Column:
     return total(F.expr(column), type_of(df, column)) / F.count(F.expr(column))
 

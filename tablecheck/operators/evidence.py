@@ -14,7 +14,7 @@ from ..functions import payloads as P
 from ..functions.hashing import checksum
 from ..functions.predicates import window_range
 from ..verdict import Judgement, Measurement, result, zero
-from .aggregates import exact_sum, rows, type_of
+from .aggregates import number_sum, rows, type_of
 from .contracts import schema_differences
 from .payload import parsed
 
@@ -56,7 +56,7 @@ def total_column(df: DataFrame, key: str) -> Column:
         return F.expr(key)
     fn, column = found.group(1).upper(), found.group(2) or found.group(3)
     if fn == "SUM":
-        return exact_sum(df, column)
+        return number_sum(df, column)
     if fn == "DISTINCT":
         return F.count_distinct(F.col(column))
     return F.min(column) if fn == "MIN" else F.max(column)

@@ -7,7 +7,9 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from ..operators.aggregates import exact, rows
+from ..operators.aggregates import rows, total
+from ..operators.distinct import distinct_counts
+from ..sources.local import local_frame
 
 _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 _FLOATS = (T.FloatType, T.DoubleType)
@@ -15,7 +17,11 @@ _UNORDERED = (T.MapType, T.VariantType)
 
 
 def _text(c: Column, t: T.DataType) -> Column:
-    return (c.cast("decimal(18,4)") if isinstance(t, _FLOATS) else c).cast("string")
+    """Numbers in plain notation with all their places, as far as 38 digits hold them."""
+    if not isinstance(t, _FLOATS):
+        return c.cast("string")
+    plain = c.cast("string").try_cast("decimal(38,18)").cast("string")
+    return F.coalesce(F.regexp_replace(plain, r"\.?0+$", ""), c.cast("string"))
 
 
 def profile(
@@ -29,14 +35,16 @@ def profile(
     min, max, avg, stddev: one aggregate over all columns.
 
     Distinct counts are sketches (a few KB per column, merged like any partial
-    aggregate) unless asked for exactly, for all or for named columns. An exact
-    count is a query of its own that reads only its column: several distinct
-    counts in one aggregate would multiply every row by the number of columns.
+    aggregate) unless asked for exactly, for all or for named columns. The exact
+    ones are one more pass over the named columns, reduced to distinct (column,
+    value) pairs inside each task.
     """
     names = list(columns or df.columns)
     exact_for = set(names if exact_distinct is True else (exact_distinct or ()))
     none = F.lit(None)
     aggs, lines = [rows().alias("n")], []
+    wanted = [n for n in names if n in exact_for and not isinstance(df.schema[n].dataType, _UNORDERED)]
+    counted = distinct_counts(df, {n: F.col(n) for n in wanted}).scalar() if wanted else none
     for i, name in enumerate(names):
         t = df.schema[name].dataType
         c = F.col(name)
@@ -44,7 +52,7 @@ def profile(
         aggs.append(F.count(c).alias(f"p{i}_count"))
         distinct: Column = none
         if ordered and name in exact_for:
-            distinct = df.agg(F.count_distinct(c).alias("d")).scalar()
+            distinct = F.coalesce(F.element_at(F.col("_counts"), name), F.lit(0))
         elif ordered:
             aggs.append(F.approx_count_distinct(c, rsd).alias(f"p{i}_distinct"))
             distinct = F.col(f"p{i}_distinct")
@@ -52,7 +60,7 @@ def profile(
         if simple:
             aggs += [F.min(c).alias(f"p{i}_min"), F.max(c).alias(f"p{i}_max")]
         if numeric:
-            aggs += [F.sum(exact(c, t)).alias(f"p{i}_sum"), F.stddev(c).alias(f"p{i}_dev")]
+            aggs += [total(c, t).alias(f"p{i}_sum"), F.stddev(c).alias(f"p{i}_dev")]
         count = F.col(f"p{i}_count")
         lines.append(
             F.struct(
@@ -66,14 +74,17 @@ def profile(
                 (_text(F.col(f"p{i}_min"), t) if simple else none.cast("string")).alias("min"),
                 (_text(F.col(f"p{i}_max"), t) if simple else none.cast("string")).alias("max"),
                 (
-                    F.when(count > 0, F.col(f"p{i}_sum").cast("double") / count)
+                    F.when(count > 0, F.col(f"p{i}_sum") / count)
                     if numeric
                     else none.cast("double")
                 ).alias("avg"),
                 (F.col(f"p{i}_dev") if numeric else none.cast("double")).alias("stddev"),
             )
         )
-    return df.agg(*aggs).select(F.inline(F.array(*lines)))
+    measured = df.agg(*aggs)
+    if wanted:
+        measured = measured.withColumn("_counts", counted)
+    return measured.select(F.inline(F.array(*lines)))
 
 
 def last_updated(df: DataFrame, watermark: str) -> DataFrame:
@@ -87,21 +98,15 @@ def table_stats(df: DataFrame) -> DataFrame:
 def propose_keys(df: DataFrame, dataset: str = "-", candidates: Sequence[str] | None = None) -> DataFrame:
     """Single columns that could be a key: no nulls and as many values as rows.
 
-    A sketch pass picks columns whose estimate is near the row count (far beyond
-    its error bound); only those are counted exactly.
+    Columns with a null are left out by a count of nulls, one narrow pass; all others
+    are counted exactly, whatever a sketch would say of them.
     """
-    sketch = profile(df, dataset, candidates, exact_distinct=False, rsd=0.05)
-    near = [
-        r.column
-        for r in sketch.filter(
-            (F.col("null_count") == 0) & (F.col("distinct_count") >= 0.7 * F.col("row_count"))
-        )
-        .select("column")
-        .collect()
-    ]
-    if not near:
-        return sketch.filter(F.lit(False)).select("dataset", "column", "row_count", "distinct_count")
-    counted = profile(df, dataset, near, exact_distinct=True)
+    names = [c for c in candidates or df.columns if not isinstance(df.schema[c].dataType, _UNORDERED)]
+    nulls = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in names]).first() if names else ()
+    full = [c for c, n in zip(names, nulls) if not n]
+    if not full:
+        return local_frame(df.sparkSession, [], "dataset string, column string, row_count bigint, distinct_count bigint")
+    counted = profile(df, dataset, full, exact_distinct=True)
     return counted.filter(F.col("distinct_count") == F.col("row_count")).select(
         "dataset", "column", "row_count", "distinct_count"
     )

@@ -471,10 +471,15 @@ def _profile_line(c: str, kind: str) -> str:
     num = kind in ("bigint", "double")
     d = f"CAST({c} AS DECIMAL(18,4))" if kind == "double" else c
     avg = f"CAST(sum({d}) AS DOUBLE) / count({c})" if num else "CAST(NULL AS DOUBLE)"
+
+    def text(fn: str) -> str:
+        found = f"CAST({fn}({c}) AS VARCHAR)"
+        return f"regexp_replace({found}, '\\.0$', '')" if kind == "double" else found
+
     return (
         f"SELECT '{c}' AS \"column\", count(*) AS row_count, count(*) - count({c}) AS null_count, "
         f"CAST((count(*) - count({c})) / count(*) AS DOUBLE) AS null_rate, count(DISTINCT {c}) AS distinct_count, "
-        f"CAST(min({d}) AS VARCHAR) AS min, CAST(max({d}) AS VARCHAR) AS max, {avg} AS avg FROM s"
+        f"{text('min')} AS min, {text('max')} AS max, {avg} AS avg FROM s"
     )
 
 
