@@ -3,16 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from decimal import Decimal
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..spec import Check, Filter, Window
 from .times import interval, moment
 
-# Relative error of a difference of doubles, with room for one rounding on each side.
-ROUNDING = 1e-15
-
 _OPERATORS: dict[str, Callable[[Column, Any], Column]] = {
     "equals": lambda c, v: c == v,
     "not_equals": lambda c, v: c != v,
@@ -90,43 +88,74 @@ def apply_window(
     return df
 
 
-def is_equality(expression: str) -> bool:
-    return expression.count("==") == 1
+def rule_sides(expression: str) -> tuple[Column, Column] | None:
+    """Both sides of a rule whose top node is an equality, else None. Spark's own parser
+    says what the top node is: `a == b AND a > 0` and `t == 'x == y'` are not taken apart."""
+    spark = SparkSession.active()
+    node = spark._jsparkSession.sessionState().sqlParser().parseExpression(expression)
+    if node.nodeName() != "EqualTo":
+        return None
+    return F.expr(node.left().sql()), F.expr(node.right().sql())
 
 
-def rule_sides(expression: str) -> tuple[Column, Column]:
-    left, right = expression.split("==")
-    return F.expr(left), F.expr(right)
+def number(value: Any) -> Column:
+    """A tolerance as the decimal that it is written as: next to whole numbers and
+    decimals it stays exact, next to doubles it is a double."""
+    return F.lit(Decimal(str(value)))
 
 
-def difference(left: Column, right: Column) -> Column:
-    return F.abs(left - right)
+def is_float(*kinds: T.DataType) -> bool:
+    return any(isinstance(k, (T.FloatType, T.DoubleType)) for k in kinds)
 
 
-def exceeds(diff: Column, scale: Column, abs_tol: float, pct: float | None = None) -> Column:
-    """Difference beyond the absolute and, if given, the percentage tolerance.
+def _decided(left: Column, right: Column, measure: Callable, floating: bool, band: float) -> Column:
+    """`measure(left, right)` as a comparison, in the type of both sides. Doubles stand
+    for the decimals that they are written as: where rounding could decide, within
+    `band` of their size, those decimals are compared instead."""
+    above, limit = measure(left, right)
+    if not floating:
+        return above > limit
+    fixed = [c.cast("double").cast("string").try_cast("decimal(38,18)") for c in (left, right)]
+    exact_above, exact_limit = measure(*fixed)
+    room = F.lit(band) * (F.abs(left) + F.abs(right))
+    clear = F.abs(above - limit) > room
+    return F.when(clear, above > limit).otherwise(F.coalesce(exact_above > exact_limit, above > limit))
 
-    Binary floating point cannot hold most decimal fractions, so a difference of
-    exactly the tolerance may come out a few ulps above it; the slack keeps such
-    rows inside.
-    """
-    slack = F.lit(ROUNDING) * (F.lit(float(abs_tol)) + F.abs(scale))
-    out = diff > F.lit(float(abs_tol)) + slack
-    if pct is not None:
-        out = out & (diff * 100 > F.lit(float(pct)) * F.abs(scale) + slack)
-    return out
+
+def farther(left: Column, right: Column, abs_tol: float, floating: bool) -> Column:
+    """Whether two numbers lie farther apart than `abs_tol`; null if one is null."""
+    return _decided(left, right, lambda a, b: (F.abs(a - b), number(abs_tol)), floating, 1e-15)
+
+
+def farther_by_share(left: Column, right: Column, pct: float, floating: bool) -> Column:
+    """Whether they lie farther apart than `pct` percent of the second."""
+    band = 1e-13 + 1e-15 * float(pct)
+    return _decided(
+        left, right, lambda a, b: (F.abs(a - b) * number(100), number(pct) * F.abs(b)), floating, band
+    )
+
+
+def exceeds(left: Column, right: Column, abs_tol: float, pct: float | None = None, floating: bool = True) -> Column:
+    """Difference beyond the absolute and, if given, the percentage tolerance."""
+    out = farther(left, right, abs_tol, floating)
+    return out if pct is None else out & farther_by_share(left, right, pct, floating)
 
 
-def rule_predicate(expression: str, abs_tol: float = 0.01, pct: float | None = None) -> Column:
-    """True where a row breaks the rule, null where it cannot be decided.
+def rule_predicate(
+    df: DataFrame, expression: str, abs_tol: float = 0.01, pct: float | None = None
+) -> Column:
+    """True where a row of `df` breaks the rule, null where it cannot be decided.
 
-    `a == b + c` means equal within tolerance; any other text is a condition
-    that must hold.
+    `a == b + c` between numbers means equal within tolerance, between other types equal;
+    any other text is a condition that must hold.
     """
-    if is_equality(expression):
-        left, right = rule_sides(expression)
-        return exceeds(difference(left, right), right, abs_tol, pct)
-    return ~F.expr(expression)
+    sides = rule_sides(expression)
+    if sides is None:
+        return ~F.expr(expression)
+    kinds = [f.dataType for f in df.select(*[s.alias(f"s{i}") for i, s in enumerate(sides)]).schema]
+    if not all(isinstance(k, T.NumericType) for k in kinds):
+        return ~F.expr(expression)
+    return exceeds(*sides, abs_tol, pct, is_float(*kinds))
 
 
 def scope(

@@ -24,7 +24,7 @@ def count_if(p: Column) -> Column:
 
 # Below it every double is a whole number of bigint plus a fraction.
 _WHOLE = float(1 << 53)
-_PLACES, _HALF, _UPPER = 10**15, 10**8, 10**7
+_DIGITS, _HALF, _UPPER = 15, 10**8, 10**7
 
 
 def _div(a: Column, b: int) -> Column:
@@ -32,8 +32,9 @@ def _div(a: Column, b: int) -> Column:
 
 
 def total(c: Column, data_type: T.DataType) -> Column:
-    """Sum as a double, whatever the order in which partitions are combined: of values
-    below 1e28 exact, with 15 places, and rounded once.
+    """Sum as a double, whatever the order in which partitions are combined: values below
+    1e28 are summed exactly, as decimals of 15 digits (all that a double holds of any
+    decimal), or whole numbers, and the sum is rounded once.
 
     Whole part and fraction of a binary float are summed as bigint halves of at most
     eight digits, which stay compiled and hold 10^10 rows; from 2^53 on as decimals.
@@ -46,7 +47,12 @@ def total(c: Column, data_type: T.DataType) -> Column:
     small, exact = F.abs(c) < _WHOLE, F.abs(c) < 1e28
     near = F.when(small, c)
     whole = F.floor(near)
-    part = F.rint((near - whole) * float(_PLACES)).cast("bigint")
+    # The fraction has the digits that the whole part leaves, in units of 1e-15.
+    taken = F.when(F.abs(whole) >= 1, F.floor(F.log10(F.abs(whole).cast("double"))) + 1).otherwise(F.lit(0))
+    taken = F.least(taken, F.lit(_DIGITS)).cast("int")
+    scale = F.get(F.array(*[F.lit(10.0 ** (_DIGITS - i)) for i in range(_DIGITS + 1)]), taken)
+    unit = F.get(F.array(*[F.lit(10**i).cast("bigint") for i in range(_DIGITS + 1)]), taken)
+    part = F.rint((near - whole) * scale).cast("bigint") * unit
 
     def added(v: Column) -> Column:
         return F.coalesce(F.sum(v), F.lit(0).cast("bigint"))
@@ -94,7 +100,13 @@ def ir_aggregate(
     df: DataFrame,
     aggregations: Mapping[str, tuple[str, str]],
     partition_by: Sequence[str] = (),
+    own_types: bool = False,
 ) -> DataFrame:
-    """`{"revenue": ("sum", "price * qty")}` per group, or overall."""
-    cols = [aggregate_column(df, fn, c).alias(name) for name, (fn, c) in aggregations.items()]
+    """`{"revenue": ("sum", "price * qty")}` per group, or overall. Sums are doubles;
+    with `own_types` those of whole numbers and decimals stay exact."""
+
+    def column(fn: str, c: str) -> Column:
+        return number_sum(df, c) if own_types and fn == "sum" else aggregate_column(df, fn, c)
+
+    cols = [column(fn, c).alias(name) for name, (fn, c) in aggregations.items()]
     return df.groupBy(*partition_by).agg(*cols) if partition_by else df.agg(*cols)

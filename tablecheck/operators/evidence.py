@@ -6,16 +6,19 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from decimal import Decimal
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import payloads as P
 from ..functions.hashing import checksum
-from ..functions.predicates import window_range
+from ..functions.predicates import farther, farther_by_share, is_float, window_range
 from ..verdict import Judgement, Measurement, result, zero
 from .aggregates import number_sum, rows, type_of
 from .contracts import schema_differences
+from .distinct import distinct_counts
 from .payload import parsed
 
 ROWCOUNT = "rowcount"
@@ -66,45 +69,89 @@ def in_window(df: DataFrame, window: EvidenceWindow | None) -> DataFrame:
     return df if window is None else window_range(df, window.column, window.start, window.end)
 
 
+def _distinct_column(key: str) -> str | None:
+    found = re.fullmatch(r"DISTINCT(?:\((\w+)\)|_(\w+))", key, re.IGNORECASE)
+    return (found.group(1) or found.group(2)) if found else None
+
+
 def evidence_metrics(
     df: DataFrame,
     window: EvidenceWindow | None,
     totals: Sequence[str],
     by: Sequence[str] = (),
 ) -> DataFrame:
-    """Row count and control totals of a window: one filter, one aggregate."""
+    """Row count and control totals of a window: one filter, one aggregate. Several
+    DISTINCT totals are one more pass over reduced (column, value) pairs."""
     rows_in = in_window(df, window)
+    distinct = {total_name(t): c for t in totals if (c := _distinct_column(t))}
+    if len(distinct) < 2:
+        distinct = {}
     cols = [rows().alias(ROWCOUNT)]
-    cols += [total_column(df, t).alias(total_name(t)) for t in totals]
-    return rows_in.groupBy(*by).agg(*cols) if by else rows_in.agg(*cols)
+    cols += [total_column(df, t).alias(total_name(t)) for t in totals if total_name(t) not in distinct]
+    measured = rows_in.groupBy(*by).agg(*cols) if by else rows_in.agg(*cols)
+    if not distinct:
+        return measured
+    counts = distinct_counts(rows_in, {n: F.col(c) for n, c in distinct.items()}, by)
+    if by:
+        counts = counts.select(*[F.col(c).alias(f"_d_{c}") for c in by], "counts")
+        same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_d_{c}")) for c in by])
+        measured = measured.join(counts, same, "left")
+    else:
+        measured = measured.withColumn("counts", counts.scalar())
+    found = {n: F.coalesce(F.element_at("counts", n), F.lit(0)).cast("bigint") for n in distinct}
+    return measured.withColumns(found).select(*by, ROWCOUNT, *[total_name(t) for t in totals])
 
 
-_NUMBERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
+def _literal(value: Any, data_type: T.DataType) -> Column:
+    """An expected value, exact where the actual one is: 45.2 and "45.2" are decimals
+    next to whole numbers and decimals."""
+    if not isinstance(data_type, T.NumericType) or value is None or isinstance(value, (bool, Column)):
+        return F.lit(value)
+    if is_float(data_type) and not isinstance(value, str):
+        return F.lit(value)
+    try:
+        return F.lit(Decimal(str(value)))
+    except ArithmeticError:
+        return F.lit(None).cast(data_type)
 
 
 def _compare(
-    metric: str, actual: Column, data_type: T.DataType, expected: Column, tol: EvidenceTolerance
+    metric: str,
+    actual: Column,
+    data_type: T.DataType,
+    expected: Column,
+    tol: EvidenceTolerance,
+    expected_type: T.DataType | None = None,
 ) -> Column:
-    """One report line. Nothing is compared as text: the expected value takes
-    the type of the actual one. An expected 0 has no percentage, so only the
-    absolute tolerance can excuse it."""
+    """One report line. Nothing is compared as text: a number is compared with a number,
+    in their own types, anything else takes the type of the actual value. An expected 0
+    has no percentage, so only the absolute tolerance can excuse it."""
     none = F.lit(None).cast("double")
     both = actual.isNotNull() & expected.isNotNull()
-    if isinstance(data_type, _NUMBERS):
-        a, e = actual.cast("double"), expected.cast("double")
-        diff = F.abs(a - e)
-        pct = F.when(e != 0, diff / F.abs(e) * 100)
+    shown = expected.cast("string")
+    if isinstance(data_type, T.NumericType):
+        if isinstance(expected_type, T.StringType):
+            expected = expected.try_cast("double" if is_float(data_type) else "decimal(38,18)")
+            both = both & expected.isNotNull()
+        floating = is_float(data_type) or expected_type is None or is_float(expected_type)
+        apart = F.abs(actual - expected).cast("double")
+        diff, size = apart, F.abs(expected).cast("double")
+        pct = F.when(expected != 0, diff / size * 100)
         if metric == ROWCOUNT:
-            ok = (diff <= tol.rowcount_abs) | F.coalesce(pct <= tol.rowcount_pct, F.lit(False))
+            limits = (tol.rowcount_abs, tol.rowcount_pct)
+            near = ~farther(actual, expected, limits[0], floating)
+            ok = near | ((expected != 0) & ~farther_by_share(actual, expected, limits[1], floating))
         else:
-            ok = F.coalesce(pct <= tol.totals_pct, diff <= tol.totals_abs)
+            ok = F.when(expected != 0, ~farther_by_share(actual, expected, tol.totals_pct, floating)).otherwise(
+                ~farther(actual, expected, tol.totals_abs, floating)
+            )
     else:
         diff = pct = none
         ok = actual == expected.try_cast(data_type)
     return F.struct(
         F.lit(metric).alias("metric"),
         actual.cast("string").alias("actual"),
-        expected.cast("string").alias("expected"),
+        shown.alias("expected"),
         diff.alias("abs_diff"),
         pct.alias("pct_diff"),
         F.coalesce(both & ok, F.lit(False)).alias("within"),
@@ -121,10 +168,11 @@ def reconcile_evidence(
     measured = evidence_metrics(df, window, list(manifest.control_totals))
     expected = {ROWCOUNT: manifest.expected_rowcount}
     expected |= {total_name(k): v for k, v in manifest.control_totals.items()}
-    lines = [
-        _compare(name, F.col(name), measured.schema[name].dataType, F.lit(value), tol)
-        for name, value in expected.items()
-    ]
+    lines = []
+    for name, value in expected.items():
+        kind = measured.schema[name].dataType
+        wanted = _literal(value, kind)
+        lines.append(_compare(name, F.col(name), kind, wanted, tol, measured.select(wanted.alias("e")).schema["e"].dataType))
     return measured.select(F.inline(F.array(*lines)))
 
 
@@ -177,7 +225,7 @@ def reconcile_batches(
     a = measured.select(F.col(batch_column).alias("_batch"), *names).alias("a")
     e = manifests.select("batch_id", *names).alias("e")
     lines = [
-        _compare(n, F.col(f"a.{n}"), measured.schema[n].dataType, F.col(f"e.{n}"), tol)
+        _compare(n, F.col(f"a.{n}"), measured.schema[n].dataType, F.col(f"e.{n}"), tol, manifests.schema[n].dataType)
         for n in names
     ]
     return a.join(e, F.col("a._batch") == F.col("e.batch_id"), "full_outer").select(

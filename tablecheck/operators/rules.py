@@ -4,49 +4,37 @@ from __future__ import annotations
 
 from typing import Any
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from ..functions.predicates import (
-    difference,
-    exceeds,
-    is_equality,
-    rule_predicate,
-    rule_sides,
-)
+from ..functions.predicates import rule_predicate, rule_sides
 from ..verdict import Judgement, Measurement, result, zero
-from .aggregates import count_if, total, rows
+from .aggregates import count_if, rows, total
 
 
 def rule_rows(
     df: DataFrame, expression: str, abs_tol: float = 0.01, pct: float | None = None
 ) -> DataFrame:
     """Rows that break the rule; an undecidable (null) rule is not broken."""
-    return df.filter(rule_predicate(expression, abs_tol, pct))
+    return df.filter(rule_predicate(df, expression, abs_tol, pct))
 
 
 def rule_measurement(
     df: DataFrame, expression: str, abs_tol: float = 0.01, pct: float | None = None
 ) -> Measurement:
-    if is_equality(expression):
-        left, right = rule_sides(expression)
-        diff = difference(left, right)
-        bad = exceeds(diff, right, abs_tol, pct)
-        diff_type = df.select(diff).schema[0].dataType
-        measures = {
-            "bad": count_if(bad),
-            "unknown": F.count_if(bad.isNull()),
-            "total": rows(),
-            "diff": total(F.when(bad, diff), diff_type),
-        }
-    else:
-        bad = rule_predicate(expression)
-        measures = {
-            "bad": count_if(bad),
-            "unknown": F.count_if(bad.isNull()),
-            "total": rows(),
-            "diff": F.max(F.lit(None).cast("double")),
-        }
-
+    bad = rule_predicate(df, expression, abs_tol, pct)
+    sides = rule_sides(expression)
+    diff = F.max(F.lit(None).cast("double"))
+    if sides is not None:
+        left, right = (df.select(s.alias("s")).schema["s"].dataType for s in sides)
+        if isinstance(left, T.NumericType) and isinstance(right, T.NumericType):
+            apart = F.abs(sides[0] - sides[1])
+            diff = total(F.when(bad, apart), df.select(apart.alias("d")).schema["d"].dataType)
+    measures = {
+        "bad": count_if(bad),
+        "unknown": F.count_if(bad.isNull()),
+        "total": rows(),
+        "diff": diff,
+    }
     return Measurement(
         df,
         measures,

@@ -49,7 +49,7 @@ def apply_txspec(df: DataFrame, spec: TxSpec) -> DataFrame:
     if not spec.rules:
         return out
     broken = [
-        F.when(F.coalesce(rule_predicate(r, spec.tolerance), F.lit(False)), F.lit(name))
+        F.when(F.coalesce(rule_predicate(out, r, spec.tolerance), F.lit(False)), F.lit(name))
         for name, r in spec.rules.items()
     ]
     return out.withColumn("broken_rules", F.filter(F.array(*broken), lambda x: x.isNotNull()))

@@ -6,9 +6,9 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from ..functions.predicates import ROUNDING
+from ..functions.predicates import farther, farther_by_share, is_float
 from ..functions.times import hours_crossed, hours_elapsed, moment, utc
 from ..verdict import Judgement, Measurement, result, zero
 from .aggregates import ir_aggregate, rows
@@ -109,13 +109,23 @@ def check_row_count_stable(
     return result("row_count_stable", stable_count_measurement(df, baseline, pct), **label)
 
 
-def within(actual: Column, expected: Column, abs_tol: float, pct: float | None) -> Column:
-    """Close enough by the absolute or, if given, by the percentage tolerance.
-    Equal nulls agree; one missing side never does."""
-    diff = F.abs(actual - expected)
-    ok = diff <= F.lit(float(abs_tol)) + F.lit(ROUNDING) * (F.lit(float(abs_tol)) + F.abs(expected))
-    if pct is not None:
-        ok = ok | ((expected != 0) & (diff * 100 <= F.lit(float(pct)) * F.abs(expected)))
+def within(
+    actual: Column,
+    expected: Column,
+    abs_tol: float,
+    pct: float | None,
+    numeric: bool = True,
+    floating: bool = False,
+) -> Column:
+    """Close enough by the absolute or, if given, by the percentage tolerance, compared in
+    the type of both sides; anything but numbers has to be equal. Equal nulls agree; one
+    missing side never does."""
+    if numeric:
+        ok = ~farther(actual, expected, abs_tol, floating)
+        if pct is not None:
+            ok = ok | ((expected != 0) & ~farther_by_share(actual, expected, pct, floating))
+    else:
+        ok = actual == expected
     return F.when(actual.isNull() & expected.isNull(), True).otherwise(
         F.coalesce(ok, F.lit(False))
     )
@@ -131,7 +141,7 @@ def count_match_measurement(
 
     def judge(m: Any) -> Judgement:
         diff = F.abs(m("a") - m("b"))
-        ok = within(m("a").cast("double"), m("b").cast("double"), abs_tol, pct)
+        ok = within(m("a"), m("b"), abs_tol, pct)
         return Judgement(
             violations=F.when(ok, 0).otherwise(diff),
             passed=ok,
@@ -163,19 +173,22 @@ def agg_match_frame(
 ) -> DataFrame:
     """Both sides aggregated first, then compared: one row per group with
     `<metric>_actual`, `<metric>_expected`, `<metric>_ok` and `present`
-    (both, actual_only, expected_only)."""
+    (both, actual_only, expected_only). Metrics keep the type of their aggregate: whole
+    numbers, decimals and times are not turned into doubles."""
     group_by = list(group_by)
-    left = ir_aggregate(df, metrics, group_by)
-    right = ir_aggregate(source, metrics, group_by)
+    left = ir_aggregate(df, metrics, group_by, own_types=True)
+    right = ir_aggregate(source, metrics, group_by, own_types=True)
+    kinds = {m: [side.schema[m].dataType for side in (left, right)] for m in metrics}
+    numeric = {m: all(isinstance(k, T.NumericType) for k in both) for m, both in kinds.items()}
     a = left.select(
         *[F.col(g).alias(f"a_{g}") for g in group_by],
         F.lit(1).alias("_a"),
-        *[F.col(m).cast("double").alias(f"{m}_actual") for m in metrics],
+        *[F.col(m).alias(f"{m}_actual") for m in metrics],
     )
     b = right.select(
         *[F.col(g).alias(f"b_{g}") for g in group_by],
         F.lit(1).alias("_b"),
-        *[F.col(m).cast("double").alias(f"{m}_expected") for m in metrics],
+        *[F.col(m).alias(f"{m}_expected") for m in metrics],
     )
     if group_by:
         cond = reduce(
@@ -196,9 +209,12 @@ def agg_match_frame(
             for c in (
                 F.col(f"{m}_actual"),
                 F.col(f"{m}_expected"),
-                (both & within(F.col(f"{m}_actual"), F.col(f"{m}_expected"), abs_tol, pct)).alias(
-                    f"{m}_ok"
-                ),
+                (
+                    both
+                    & within(
+                        F.col(f"{m}_actual"), F.col(f"{m}_expected"), abs_tol, pct, numeric[m], is_float(*kinds[m])
+                    )
+                ).alias(f"{m}_ok"),
             )
         ],
     )

@@ -14,7 +14,6 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.predicates import rule_predicate
 from ..operators import drift, evidence, integrity, intervals, joins, payload, rules, snapshots, volume
 from ..operators.aggregates import count_if, rows
 from ..operators.contracts import schema_drift_measurement, schema_measurement
@@ -286,7 +285,7 @@ def _install() -> None:
     add(
         "rule",
         _rule,
-        lambda df, c, env: df.filter(rule_predicate(c.expression, _abs(c, 0.01), c.tolerance.pct)),
+        lambda df, c, env: rules.rule_rows(df, c.expression, _abs(c, 0.01), c.tolerance.pct),
     )
     add("reconciliation", _reconciliation, _reconciliation_rows)
     add("schema", _schema)

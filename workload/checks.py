@@ -265,7 +265,7 @@ def _order_totals(t: Tables) -> DataFrame:
     "rule_total",
     f"""
     WITH {_ORDER_TOTALS},
-         d AS (SELECT abs(o_totalprice - items) AS diff, abs(o_totalprice - items) > 0.01 + 1e-15 * (0.01 + abs(items)) AS bad FROM o),
+         d AS (SELECT abs(o_totalprice - items) AS diff, abs(CAST(o_totalprice AS DECIMAL(18,4)) - CAST(items AS DECIMAL(18,4))) > 0.01 AS bad FROM o),
          a AS (SELECT count(*) FILTER (bad) AS n, count(*) AS total,
                       CAST(sum(CASE WHEN bad THEN CAST(diff AS DECIMAL(18,4)) END) AS DOUBLE) AS s FROM d)
     SELECT {status_sql("n > 0")}, n AS violations, s / n AS avg_difference, total AS total_rows FROM a
@@ -316,6 +316,60 @@ def rule_condition(t: Tables) -> DataFrame:
     )
 
 
+@query(
+    "rule_compound",
+    f"""
+    WITH a AS (SELECT count(*) FILTER (NOT (l_tax = l_discount AND l_quantity > 10)) AS n, count(*) AS total FROM lineitem)
+    SELECT {status_sql("n > 0")}, n AS violations, total AS total_rows FROM a
+    """,
+)
+def rule_compound(t: Tables) -> DataFrame:
+    """An equality below the top is no rule of its own: it has no tolerance."""
+    return verdict(rules.check_rule(t.lineitem, "l_tax == l_discount AND l_quantity > 10"), total_rows="bigint")
+
+
+@query(
+    "rule_text",
+    """
+    SELECT 'status' AS rule, count(*) FILTER (l_linestatus <> CASE WHEN l_quantity > 25 THEN 'F' ELSE 'O' END) AS violations,
+           CAST(NULL AS DOUBLE) AS avg_difference FROM lineitem
+    UNION ALL SELECT 'dates', count(*) FILTER (CAST(l_shipdate AS DATE) <> DATE '1995-06-17'), NULL FROM lineitem
+    UNION ALL SELECT 'equals inside a text', count(*) FILTER (l_linestatus || ' == ' <> 'F == '), NULL FROM lineitem
+    """,
+)
+def rule_text(t: Tables) -> DataFrame:
+    named = {
+        "status": "l_linestatus == CASE WHEN l_quantity > 25 THEN 'F' ELSE 'O' END",
+        "dates": "date(l_shipdate) == date'1995-06-17'",
+        "equals inside a text": "concat(l_linestatus, ' == ') == 'F == '",
+    }
+    made = [
+        verdict(rules.check_rule(t.lineitem, text), avg_difference="double")
+        .drop("status")
+        .withColumn("rule", F.lit(name))
+        for name, text in named.items()
+    ]
+    return made[0].unionByName(made[1]).unionByName(made[2])
+
+
+@query(
+    "agg_match_times",
+    """
+    WITH a AS (SELECT l_returnflag, min(l_shipdate) AS lo, max(l_linestatus) AS s, count(*) AS n, sum(l_orderkey) AS k FROM lineitem GROUP BY 1),
+         b AS (SELECT l_returnflag, min(l_shipdate) AS lo, max(l_linestatus) AS s, count(*) AS n, sum(l_orderkey) AS k FROM lineitem
+               WHERE NOT (l_returnflag = 'A' AND l_orderkey % 2 = 0) GROUP BY 1)
+    SELECT l_returnflag, a.lo = b.lo AS lo_ok, a.s = b.s AS s_ok, a.n = b.n AS n_ok, a.k = b.k AS k_ok,
+           a.k::BIGINT AS k_actual, b.k::BIGINT AS k_expected FROM a JOIN b USING (l_returnflag)
+    """,
+)
+def agg_match_times(t: Tables) -> DataFrame:
+    """Times, texts and whole numbers in their own types, without a tolerance."""
+    metrics = {"lo": ("min", "l_shipdate"), "s": ("max", "l_linestatus"), "n": ("count", "*"), "k": ("sum", "l_orderkey")}
+    part = t.lineitem.filter("NOT (l_returnflag = 'A' AND l_orderkey % 2 = 0)")
+    out = volume.agg_match_frame(t.lineitem, part, metrics, ["l_returnflag"], abs_tol=0)
+    return out.select("l_returnflag", "lo_ok", "s_ok", "n_ok", "k_ok", "k_actual", "k_expected")
+
+
 @query(
     "allowed_values",
     f"""

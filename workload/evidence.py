@@ -29,6 +29,23 @@ def evidence_metrics(t: Tables) -> DataFrame:
     )
 
 
+@query(
+    "evidence_distincts",
+    """
+    SELECT event_type, count(*) AS rowcount, count(DISTINCT user_id) AS distinct_user_id, count(DISTINCT props) AS distinct_props,
+           count(DISTINCT CAST(ts AS DATE)) AS distinct_day, sum(event_id)::BIGINT AS sum_event_id,
+           CAST(sum(CAST(value AS DECIMAL(18,4))) + 1000000000000000 * count(*) AS DOUBLE) AS sum_far
+    FROM events GROUP BY event_type
+    """,
+)
+def evidence_distincts(t: Tables) -> DataFrame:
+    """Several DISTINCT totals per group, and a float total of 1e15 a row."""
+    e = t.events.withColumns({"day": F.to_date("ts"), "far": F.lit(1e15)})
+    totals = ("DISTINCT(user_id)", "DISTINCT(props)", "DISTINCT_day", "SUM(event_id)", "SUM(far)", "SUM(value)")
+    out = E.evidence_metrics(e, None, totals, by=["event_type"])
+    return out.withColumn("sum_far", F.col("sum_far") + F.col("sum_value")).drop("sum_value")
+
+
 # The evidence is a fixed statement by the source; the table decides the answer.
 _MANIFEST = E.Manifest(
     "2024-01",

@@ -64,7 +64,7 @@ v AS (
     WHERE o_orderpriority = '1-URGENT' AND o_orderdate >= TIMESTAMP '1996-01-01' AND o_orderdate < TIMESTAMP '1997-01-01' UNION ALL
   SELECT 'fk_orders', 'foreign_key', 'lineitem', 'major', 'fail', count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_totalprice > 50000) UNION ALL
   SELECT 'fk_customer', 'reconciliation', 'orders', 'major', 'fail', count(*) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer) UNION ALL
-  SELECT 'discount_rule', 'rule', 'lineitem', 'major', 'fail', count(*) FILTER (abs(l_tax - l_discount) > 0.05 + 1e-15 * (0.05 + abs(l_discount))) FROM lineitem UNION ALL
+  SELECT 'discount_rule', 'rule', 'lineitem', 'major', 'fail', count(*) FILTER (abs(CAST(l_tax AS DECIMAL(18,4)) - CAST(l_discount AS DECIMAL(18,4))) > 0.05) FROM lineitem UNION ALL
   SELECT 'balance', 'invariant', 'customer', 'minor', 'warn', count(*) FILTER (c_acctbal < 0) FROM customer UNION ALL
   SELECT 'events_fresh', 'freshness', 'events', 'major', 'fail', greatest(0, date_diff('hour', max(ts), TIMESTAMP '2024-01-31') - 24) FROM events UNION ALL
   SELECT 'events_week', 'row_count', 'events', 'major', 'fail', greatest(0, 1 - count(*)) FROM events WHERE ts >= TIMESTAMP '2024-01-24' AND ts <= TIMESTAMP '2024-01-31' UNION ALL
