@@ -1,9 +1,11 @@
 """Row differences between two snapshots of a table.
 
-Both snapshots are netted in one aggregation over whole rows: +1 for current, -1
-for previous. Equal rows cancel on the map side as far as they meet there and
-completely in one shuffle; only what really differs goes on. No row is paired
-with another, so copies of a key cannot multiply.
+Two phases. First both snapshots are netted by key and a 128-bit hash of the row: +1
+for current, -1 for previous. Equal rows cancel on the map side as far as they meet
+there and completely in one narrow shuffle; no other column travels. Then the rows of
+the hashes that remain are fetched: a bitmap of bounded size drops nearly all others
+while they are scanned, before any join. No row is paired with another, so copies of a
+key cannot multiply.
 """
 
 from __future__ import annotations
@@ -12,63 +14,135 @@ from collections.abc import Sequence
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..verdict import Judgement, Measurement, result, zero
 
-
-def net_rows(cur: DataFrame, prev: DataFrame) -> DataFrame:
-    """Distinct differing rows with `_net`: copies more (+) or fewer (-)."""
-    columns = cur.columns
-    signed = cur.withColumn("_one", F.lit(1)).unionByName(
-        prev.select(*columns).withColumn("_one", F.lit(-1))
-    )
-    return (
-        signed.groupBy(*columns)
-        .agg(F.sum("_one").alias("_net"))
-        .filter(F.col("_net") != 0)
-    )
+HASH = ("_h1", "_h2")
+# Bitmaps of 4 KB, at most so many: 256 KB.
+BITMAPS, BITS = 64, 32768
+_NESTED = (T.ArrayType, T.StructType, T.MapType, T.VariantType)
+
+
+def canonical(c: Column, t: T.DataType) -> Column:
+    """A value of which equal ones have one form: entries of maps ordered by key, -0.0
+    as 0.0, variants as text."""
+    if isinstance(t, (T.FloatType, T.DoubleType)):
+        return c + F.lit(0.0).cast(t)
+    if isinstance(t, T.VariantType):
+        return F.to_json(F.struct(c.alias("v")))
+    if isinstance(t, T.ArrayType):
+        return F.transform(c, lambda x: canonical(x, t.elementType))
+    if isinstance(t, T.StructType):
+        fields = [canonical(c.getField(f.name), f.dataType).alias(f.name) for f in t.fields]
+        return F.when(c.isNotNull(), F.struct(*fields))
+    if isinstance(t, T.MapType):
+        pairs = F.array_sort(F.map_keys(c))
+        return F.transform(pairs, lambda k: F.struct(k.alias("k"), canonical(F.element_at(c, k), t.valueType).alias("v")))
+    return c
+
+
+def comparable(c: Column, t: T.DataType) -> Column:
+    """A column that is equal, null-safely, for equal values of any type."""
+    if not isinstance(t, _NESTED):
+        return canonical(c, t)
+    text = F.to_json(F.struct(canonical(c, t).alias("v")), {"ignoreNullFields": "false"})
+    return F.when(c.isNotNull(), text)
+
+
+def with_row_hash(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Adds 128 bits that stand for the values of `columns`, as two numbers. A null
+    counts by its place."""
+    parts: list[Column] = []
+    for name in columns:
+        parts += [F.col(name).isNull(), comparable(F.col(name), df.schema[name].dataType)]
+    return df.withColumns({HASH[0]: F.xxhash64(*parts), HASH[1]: F.xxhash64(F.lit("second"), *reversed(parts))})
+
+
+def aligned(cur: DataFrame, prev: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both with the columns of `cur` in the types that hold the values of both."""
+    prev = prev.select(*cur.columns)
+    wide = cur.limit(0).unionByName(prev.limit(0)).schema
+    if wide == cur.schema == prev.schema:
+        return cur, prev
+    casts = [F.col(f.name).cast(f.dataType).alias(f.name) for f in wide]
+    return cur.select(*casts), prev.select(*casts)
+
+
+def net_hashes(cur: DataFrame, prev: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """keys ..., hash and `_net` of differing rows: copies more (+) or fewer (-)."""
+    signed = [
+        with_row_hash(df, cur.columns).select(*keys, *HASH, F.lit(sign).alias("_one"))
+        for df, sign in ((cur, 1), (prev, -1))
+    ]
+    netted = signed[0].unionByName(signed[1]).groupBy(*keys, *HASH).agg(F.sum("_one").alias("_net"))
+    return netted.filter(F.col("_net") != 0)
+
+
+def fetched(df: DataFrame, columns: Sequence[str], wanted: DataFrame) -> DataFrame:
+    """The rows of `df` whose hash is in `wanted` (hash, _net), with `_net`.
+
+    One bit per wanted hash, in bitmaps that are a scalar of the scan, tells which rows
+    can be meant; only those reach the join that decides."""
+    place = F.pmod(F.col(HASH[0]), F.lit(BITMAPS * BITS))
+    bitmap, bit = F.floor(place / BITS).cast("int"), F.pmod(place, F.lit(BITS))
+    bits = wanted.groupBy(bitmap.alias("i")).agg(F.bitmap_construct_agg(bit).alias("bits"))
+    known = bits.agg(F.map_from_entries(F.collect_list(F.struct("i", "bits")))).scalar()
+    byte = F.substring(F.element_at(known, bitmap), (F.floor(bit / 8) + 1).cast("int"), F.lit(1))
+    told = F.call_function("bit_get", F.conv(F.hex(byte), 16, 10).cast("int"), F.pmod(bit, F.lit(8)).cast("int"))
+    rows = with_row_hash(df.select(*columns), columns).filter(F.coalesce(told == 1, F.lit(False)))
+    return rows.join(wanted.select(*HASH, "_net"), list(HASH))
 
 
 def except_both(cur: DataFrame, prev: DataFrame) -> DataFrame:
     """Multiset difference in both directions: `side` and number of `copies`."""
-    return net_rows(cur, prev).select(
+    cur, prev = aligned(cur, prev)
+    columns = cur.columns
+    net = net_hashes(cur, prev)
+    rows = fetched(cur, columns, net.filter("_net > 0")).unionByName(fetched(prev, columns, net.filter("_net < 0")))
+    single = rows.groupBy(*HASH, "_net").agg(F.first(F.struct(*columns)).alias("_row"))
+    return single.select(
         F.when(F.col("_net") > 0, "current_only").otherwise("previous_only").alias("side"),
         F.abs("_net").alias("copies"),
-        *cur.columns,
+        *[F.col("_row").getField(c).alias(c) for c in columns],
     )
 
 
 def key_changes(cur: DataFrame, prev: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Per differing key: rows added, removed and changed, and for keys that are
     unique on both sides which columns changed."""
-    values = [c for c in cur.columns if c not in keys]
-    net = net_rows(cur, prev)
-    plus = F.sum(F.when(F.col("_net") > 0, F.col("_net")).otherwise(0))
-    minus = F.sum(F.when(F.col("_net") < 0, -F.col("_net")).otherwise(0))
-    grouped = net.groupBy(*keys).agg(
-        plus.alias("_plus"),
-        minus.alias("_minus"),
-        *[F.max(F.when(F.col("_net") > 0, F.col(v))).alias(f"_c_{v}") for v in values],
-        *[F.max(F.when(F.col("_net") < 0, F.col(v))).alias(f"_p_{v}") for v in values],
+    cur, prev = aligned(cur, prev)
+    columns = cur.columns
+    values = [c for c in columns if c not in keys]
+    net = net_hashes(cur, prev, keys)
+    counts = net.groupBy(*keys).agg(
+        F.sum(F.when(F.col("_net") > 0, F.col("_net")).otherwise(0)).alias("_plus"),
+        F.sum(F.when(F.col("_net") < 0, -F.col("_net")).otherwise(0)).alias("_minus"),
     )
     single = (F.col("_plus") == 1) & (F.col("_minus") == 1)
-    changed_columns = F.filter(
-        F.array(
-            *[
-                F.when(single & ~F.col(f"_c_{v}").eqNullSafe(F.col(f"_p_{v}")), F.lit(v))
-                for v in values
-            ]
-        ),
-        lambda x: x.isNotNull(),
-    )
+    names = [f"_k_{k}" for k in keys]
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names)])
+    ones = counts.filter(single).select(*[F.col(k).alias(n) for k, n in zip(keys, names)])
+    pairs = net.join(ones, same, "left_semi")
+    sides = [fetched(df, columns, pairs.filter(side)) for df, side in ((cur, "_net > 0"), (prev, "_net < 0"))]
+
+    def taken(side: str) -> Column:
+        row = F.struct(*[comparable(F.col(v), cur.schema[v].dataType).alias(f"v{i}") for i, v in enumerate(values)])
+        return F.first(F.when(F.expr(side), row), ignorenulls=True)
+
+    found = sides[0].unionByName(sides[1]).groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names)])
+    found = found.agg(taken("_net > 0").alias("_c"), taken("_net < 0").alias("_p"))
+    differ = [
+        F.when(~F.col("_c")[f"v{i}"].eqNullSafe(F.col("_p")[f"v{i}"]), F.lit(v)) for i, v in enumerate(values)
+    ]
+    changed_columns = F.array_compact(F.array(*differ)) if values else F.array().cast("array<string>")
     changed = F.least("_plus", "_minus")
-    return grouped.select(
+    return counts.join(found, same, "left").select(
         *keys,
         (F.col("_plus") - changed).alias("added"),
         (F.col("_minus") - changed).alias("removed"),
         changed.alias("changed"),
-        changed_columns.alias("changed_columns"),
+        F.when(single, changed_columns).otherwise(F.array().cast("array<string>")).alias("changed_columns"),
     )
 
 
