@@ -249,15 +249,10 @@ def missing_evidence_keys(
     )
 
 
-def check_evidence_keys(
-    df: DataFrame,
-    key: str,
-    sample_keys: DataFrame,
-    sample_column: str = "key",
-    masked: bool = False,
-    **label: Any,
-) -> DataFrame:
-    m = Measurement(
+def evidence_keys_measurement(
+    df: DataFrame, key: str, sample_keys: DataFrame, sample_column: str = "key", masked: bool = False
+) -> Measurement:
+    return Measurement(
         missing_evidence_keys(df, key, sample_keys, sample_column, masked),
         {"n": rows()},
         lambda m: Judgement(
@@ -268,6 +263,17 @@ def check_evidence_keys(
             metrics={"missing_keys": m("n")},
         ),
     )
+
+
+def check_evidence_keys(
+    df: DataFrame,
+    key: str,
+    sample_keys: DataFrame,
+    sample_column: str = "key",
+    masked: bool = False,
+    **label: Any,
+) -> DataFrame:
+    m = evidence_keys_measurement(df, key, sample_keys, sample_column, masked)
     return result("reconciliation", m, **label)
 
 
@@ -314,6 +320,24 @@ def evidence_contract_measurement(
     return Measurement(df, measures, judge)
 
 
+def contract_rows(
+    df: DataFrame,
+    fields: Sequence[tuple[str, str, bool | None]] = (),
+    payload: str | None = None,
+    paths: Mapping[str, str] | None = None,
+    keys: Sequence[str] = (),
+) -> DataFrame:
+    """Rows that break the contract by a null key or a path that is missing or mistyped,
+    with `broken`. What the schema lacks is no row."""
+    wrong = [F.when(F.col(k).isNull(), F.lit(f"null {k}")) for k in keys]
+    for path, expected in (paths or {}).items():
+        v = P.at(parsed(df, payload), path)
+        wrong.append(F.when(F.col(payload).isNotNull() & v.isNull(), F.lit(f"missing {path}")))
+        wrong.append(F.when(P.type_class(v) != expected.upper(), F.lit(f"mistyped {path}")))
+    broken = F.array_compact(F.array(*wrong)) if wrong else F.array().cast("array<string>")
+    return df.withColumn("broken", broken).filter(F.size("broken") > 0)
+
+
 def check_evidence_contract(df: DataFrame, *, label: dict | None = None, **contract: Any) -> DataFrame:
     return result("schema", evidence_contract_measurement(df, **contract), **(label or {}))
 

@@ -244,6 +244,16 @@ def fact_coverage_measurement(
     )
 
 
+def uncovered_rows(fact: DataFrame, dims: Sequence[Dimension]) -> DataFrame:
+    """Fact rows that a dimension lacks, with `missing`, the columns of those dimensions."""
+    frame = fact
+    for i, dim in enumerate(dims):
+        frame = _flag(frame, dim, i)
+    lacks = [F.when(F.col(f"hit{i}").isNull(), F.lit(",".join(d[0]))) for i, d in enumerate(dims)]
+    out = frame.withColumn("missing", F.array_compact(F.array(*lacks))).filter(F.size("missing") > 0)
+    return out.select(*fact.columns, "missing")
+
+
 def check_fact_coverage(
     fact: DataFrame, dims: Sequence[Dimension], min_rate: float = 1.0, **label: Any
 ) -> DataFrame:

@@ -16,9 +16,9 @@ from collections.abc import Sequence
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
-from ..functions.times import epoch_micros, instant_micros
+from ..functions.times import epoch_micros, from_epoch_micros, instant_micros
 from ..verdict import Judgement, Measurement, result, zero
 from .aggregates import count_if, rows
 
@@ -189,6 +189,32 @@ def interval_frame(
     ).drop("_end")
 
 
+def scd2_rows(
+    df: DataFrame, key: str | Sequence[str], valid_from: str, valid_to: str, current: str | None = None
+) -> DataFrame:
+    """Distinct intervals with something wrong: keys, both ends, `copies` and `problems`
+    (overlap, gap, inverted, several open)."""
+    keys = [key] if isinstance(key, str) else list(key)
+    frame = interval_frame(df, keys, valid_from, valid_to, current)
+    opened = frame.groupBy(*[F.col(k).alias(f"_o_{k}") for k in keys])
+    opened = opened.agg(F.sum(F.when(F.col("open"), F.col("n"))).alias("_open")).filter("_open > 1")
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_o_{k}")) for k in keys])
+    start, end, prior = F.col("start"), F.col("end"), F.col("prior_max")
+    wrong = {
+        "overlap": (prior > start) | ((end > start) & (F.col("n") > 1)),
+        "gap": prior < start,
+        "inverted": start.isNull() | (start >= end),
+        "several open": F.col("open") & F.col("_open").isNotNull(),
+    }
+    problems = F.array_compact(F.array(*[F.when(c, F.lit(name)) for name, c in wrong.items()]))
+    ends = [
+        (F.when(v < _FOREVER, v) if isinstance(df.schema[c].dataType, T.NumericType) else from_epoch_micros(F.when(v < _FOREVER, v))).alias(c)
+        for v, c in ((start, valid_from), (end, valid_to))
+    ]
+    out = frame.join(opened, same, "left").withColumn("problems", problems).filter(F.size("problems") > 0)
+    return out.select(*keys, *ends, F.col("n").alias("copies"), "problems")
+
+
 def scd2_measurement(
     df: DataFrame,
     key: str | Sequence[str],

@@ -8,10 +8,11 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import payloads as P
+from ..functions.times import epoch_micros, instant_micros
 from ..verdict import Judgement, Measurement, result, zero
 from . import joins
 from .aggregates import count_if, rows
-from .intervals import late_measurement
+from .intervals import is_late, late_measurement
 from .volume import fresh_measurement
 
 
@@ -187,6 +188,10 @@ def json_unique_measurement(
     )
 
 
+def repeated_values(df: DataFrame, payload: str, path: str) -> DataFrame:
+    return path_value_counts(df, payload, path).filter("duplicate_count > 1")
+
+
 def check_json_unique(
     df: DataFrame, payload: str, path: str, dup_rows: int = 0, **label: Any
 ) -> DataFrame:
@@ -294,6 +299,18 @@ def child_fk_measurement(
     )
 
 
+def child_orphans(
+    df: DataFrame, payload: str, path: str, id_path: str, parent: DataFrame, ref: str
+) -> DataFrame:
+    """Rows with an element whose id the parent lacks, once per such element, with
+    `child_id`."""
+    ref_type = parent.schema[ref].dataType.simpleString()
+    items = parsed_rows(df.drop(parsed_name(payload)), payload)
+    ids = items.select("*", F.explode(P.items(F.col(parsed_name(payload)), path)).alias("_item"))
+    ids = ids.withColumn("child_id", P.at_as(F.col("_item"), id_path, ref_type)).drop("_item")
+    return joins.orphan_rows(ids, ["child_id"], parent, [ref])
+
+
 def check_json_child_fk(
     df: DataFrame,
     payload: str,
@@ -310,17 +327,29 @@ def check_json_child_fk(
 # ------------------------------------------- mapping, enums, versions, times
 
 
+def _mapping(df: DataFrame, payload: str, path: str, column: str) -> tuple[Column, Column, Column]:
+    """Whether a row has payload and column, lacks the path, and holds the same."""
+    v = P.at(parsed(df, payload), path)
+    typed = P.at_as(parsed(df, payload), path, df.schema[column].dataType.simpleString())
+    both = F.col(payload).isNotNull() & F.col(column).isNotNull()
+    missing = v.isNull() | (P.type_class(v) == "NULL")
+    return both, missing, F.coalesce(typed == F.col(column), F.lit(False))
+
+
+def mapping_rows(df: DataFrame, payload: str, path: str, column: str) -> DataFrame:
+    """Rows whose value at the path differs from the column."""
+    df = with_parsed(df, payload)
+    both, missing, equal = _mapping(df, payload, path, column)
+    return df.filter(both & ~missing & ~equal)
+
+
 def json_mapping_measurement(
     df: DataFrame, payload: str, path: str, column: str
 ) -> Measurement:
     """Rows with payload and column: equal, different, or path missing (a value
     that does not convert to the column's type differs)."""
     df = with_parsed(df, payload)
-    v = P.at(parsed(df, payload), path)
-    typed = P.at_as(parsed(df, payload), path, df.schema[column].dataType.simpleString())
-    both = F.col(payload).isNotNull() & F.col(column).isNotNull()
-    missing = v.isNull() | (P.type_class(v) == "NULL")
-    equal = F.coalesce(typed == F.col(column), F.lit(False))
+    both, missing, equal = _mapping(df, payload, path, column)
     return Measurement(
         df,
         {
@@ -347,6 +376,11 @@ def check_json_mapping(
     return result("json_mapping", json_mapping_measurement(df, payload, path, column), **label)
 
 
+def unlisted_rows(df: DataFrame, payload: str, path: str, values: Sequence[Any]) -> DataFrame:
+    """Rows whose value at the path is none of `values`."""
+    return df.filter(~P.at_as(parsed(df, payload), path, "string").isin([str(x) for x in values]))
+
+
 def json_enum_measurement(
     df: DataFrame, payload: str, path: str, values: Sequence[Any]
 ) -> Measurement:
@@ -379,6 +413,13 @@ def check_json_version(
     return result("json_version", json_enum_measurement(df, payload, path, known), **label)
 
 
+def bad_timestamp_rows(df: DataFrame, payload: str, path: str, fmt: str | None = None) -> DataFrame:
+    """Rows whose text at the path is no timestamp."""
+    text = P.at_as(parsed(df, payload), path, "string")
+    ts = F.try_to_timestamp(text, F.lit(fmt)) if fmt else F.try_to_timestamp(text)
+    return df.filter(text.isNotNull() & ts.isNull())
+
+
 def json_timestamp_measurement(
     df: DataFrame, payload: str, path: str, fmt: str | None = None
 ) -> Measurement:
@@ -430,6 +471,12 @@ def check_json_fresh(
     return result("json_freshness", m, **label)
 
 
+def json_late_rows(df: DataFrame, payload: str, path: str, arrival_ts: str, sla_seconds: int) -> DataFrame:
+    df = with_parsed(df, payload)
+    arrival = instant_micros(F.col(arrival_ts), df.schema[arrival_ts].dataType)
+    return df.filter(is_late(epoch_micros(path_time(df, payload, path)), arrival, sla_seconds))
+
+
 def json_late_measurement(
     df: DataFrame,
     payload: str,

@@ -10,17 +10,18 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..operators import drift, evidence, integrity, intervals, joins, payload, rules, snapshots, volume
 from ..operators.aggregates import count_if, rows
-from ..operators.contracts import schema_drift_measurement, schema_measurement
+from ..operators.contracts import schema_differences, schema_drift_measurement, schema_measurement
 from ..operators.privacy import no_pii_measurement, pii_rows
 from ..spec import Check, DatasetMeta
 from ..verdict import Judgement, Measurement, zero
-from .catalog import contract_frame, table_schema
+from .catalog import catalog_diff, contract_frame, table_schema
 from .profile import profile_of
 
 
@@ -207,10 +208,54 @@ def _reconciliation(df: DataFrame, c: Check, env: Env) -> Measurement:
     return _foreign_key(df, c, env)
 
 
+def _evidence_rows(df: DataFrame, c: Check, env: Env) -> DataFrame:
+    p = c.params
+    tolerance = p.get("tolerance", evidence.EvidenceTolerance())
+    return evidence.reconcile_evidence(df, p.get("window"), p["manifest"], tolerance).filter(~F.col("within"))
+
+
+def _coverage_rows(df: DataFrame, c: Check, env: Env) -> DataFrame:
+    return integrity.uncovered_rows(df, [(cols, env.table(dim), ref) for cols, dim, ref in c.params["dimensions"]])
+
+
+def _agg_match_rows(df: DataFrame, c: Check, env: Env) -> DataFrame:
+    p = c.params
+    out = volume.agg_match_frame(
+        df, env.table(p["source"]), p["metrics"], p.get("group_by", ()), _abs(c, 0.01), c.tolerance.pct
+    )
+    return out.filter(~reduce(lambda a, b: a & b, [F.col(f"{m}_ok") for m in p["metrics"]]))
+
+
 def _reconciliation_rows(df: DataFrame, c: Check, env: Env) -> DataFrame | None:
-    if any(k in c.params for k in ("manifest", "dimensions", "metrics", "source")):
-        return None
-    return _orphans(df, c, env)
+    """What differs; nothing for two counts, which are no rows."""
+    if "manifest" in c.params:
+        return _evidence_rows(df, c, env)
+    if "dimensions" in c.params:
+        return _coverage_rows(df, c, env)
+    if "metrics" in c.params:
+        return _agg_match_rows(df, c, env)
+    return None if "source" in c.params else _orphans(df, c, env)
+
+
+def _evidence_keys(df: DataFrame, c: Check, env: Env) -> dict[str, Any]:
+    p = c.params
+    return {
+        "df": df,
+        "key": c.keys[0],
+        "sample_keys": env.table(p["sample"]),
+        "sample_column": p.get("sample_column", "key"),
+        "masked": bool(p.get("masked")),
+    }
+
+
+def _contract(c: Check) -> dict[str, Any]:
+    p = c.params
+    return {
+        "fields": p.get("fields", ()),
+        "payload": p.get("payload"),
+        "paths": p.get("paths"),
+        "keys": c.keys,
+    }
 
 
 def _schema(df: DataFrame, c: Check, env: Env) -> Measurement:
@@ -233,6 +278,25 @@ def _drift(df: DataFrame, c: Check, env: Env) -> Measurement:
     )
 
 
+def _schema_rows(df: DataFrame, c: Check, env: Env) -> DataFrame:
+    contract = contract_frame(df.sparkSession, c.params["contract"])
+    return schema_differences(table_schema(df), contract, bool(c.params.get("allow_extra")))
+
+
+def _drift_rows(df: DataFrame, c: Check, env: Env) -> DataFrame:
+    """What drifted: columns, schema changes, keys, or all categories with their counts."""
+    p = c.params
+    if "baseline_profile" in p:
+        limits = p.get("limits", {})
+        return drift.profile_drift_rows(profile_of(df), env.table(p["baseline_profile"]), **limits).filter("drifted")
+    if "previous_schema" in p:
+        out = catalog_diff(_named_schema(df, c), env.table(p["previous_schema"]))
+        return out.filter(F.col("change") != "dataset_modified")
+    if "previous" in p:
+        return snapshots.key_changes(df, env.table(p["previous"]), c.keys)
+    return drift.category_shares(df, env.table(p["baseline"]), p["column"], p.get("bins", 10))
+
+
 def _named_schema(df: DataFrame, c: Check) -> DataFrame:
     return table_schema(df).withColumn("dataset", F.lit(c.dataset))
 
@@ -288,18 +352,34 @@ def _install() -> None:
         lambda df, c, env: rules.rule_rows(df, c.expression, _abs(c, 0.01), c.tolerance.pct),
     )
     add("reconciliation", _reconciliation, _reconciliation_rows)
-    add("schema", _schema)
-    add("drift", _drift)
+    add("schema", _schema, _schema_rows)
+    add("drift", _drift, _drift_rows)
     add("foreign_key", _foreign_key, _orphans)
     add(
         "dim_complete",
         lambda df, c, env: integrity.dim_complete_measurement(df, c.keys or env.meta(c.dataset).business_keys),
         lambda df, c, env: integrity.blank_rows(df, c.keys or env.meta(c.dataset).business_keys),
     )
-    add("fact_coverage", _coverage)
-    add("agg_match", _agg_match)
+    add("fact_coverage", _coverage, _coverage_rows)
+    add("agg_match", _agg_match, _agg_match_rows)
     add("count_match", _count_match)
-    add("evidence", _evidence)
+    add("evidence", _evidence, _evidence_rows)
+    add(
+        "evidence_keys",
+        lambda df, c, env: evidence.evidence_keys_measurement(**_evidence_keys(df, c, env)),
+        lambda df, c, env: evidence.missing_evidence_keys(**_evidence_keys(df, c, env)),
+    )
+    add(
+        "evidence_checksum",
+        lambda df, c, env: evidence.evidence_checksum_measurement(
+            df, c.params.get("window"), c.params["columns"], c.params["expected"]
+        ),
+    )
+    add(
+        "evidence_contract",
+        lambda df, c, env: evidence.evidence_contract_measurement(df, **_contract(c)),
+        lambda df, c, env: evidence.contract_rows(df, **_contract(c)),
+    )
     add("allowed_values", _allowed, _allowed_rows)
     add(
         "invariant",
@@ -312,6 +392,9 @@ def _install() -> None:
         lambda df, c, env: intervals.scd2_measurement(
             df, c.keys, c.params["valid_from"], c.params["valid_to"], c.params.get("current")
         ),
+        lambda df, c, env: intervals.scd2_rows(
+            df, c.keys, c.params["valid_from"], c.params["valid_to"], c.params.get("current")
+        ),
     )
     add(
         "idempotent",
@@ -345,6 +428,7 @@ def _install() -> None:
         lambda df, c, env: payload.json_unique_measurement(
             df, _payload(c), c.params["path"], c.tolerance.dup_rows or 0
         ),
+        lambda df, c, env: payload.repeated_values(df, _payload(c), c.params["path"]),
     )
     add(
         "json_flatten",
@@ -359,6 +443,7 @@ def _install() -> None:
     add(
         "json_mapping",
         lambda df, c, env: payload.json_mapping_measurement(df, _payload(c), c.params["path"], c.params["column"]),
+        lambda df, c, env: payload.mapping_rows(df, _payload(c), c.params["path"], c.params["column"]),
     )
     for kind in ("json_enum", "json_version"):
         add(
@@ -366,30 +451,41 @@ def _install() -> None:
             lambda df, c, env: payload.json_enum_measurement(
                 df, _payload(c), c.params["path"], c.params["values"]
             ),
+            lambda df, c, env: payload.unlisted_rows(df, _payload(c), c.params["path"], c.params["values"]),
         )
     add(
         "json_timestamp",
         lambda df, c, env: payload.json_timestamp_measurement(
             df, _payload(c), c.params["path"], c.params.get("format")
         ),
+        lambda df, c, env: payload.bad_timestamp_rows(df, _payload(c), c.params["path"], c.params.get("format")),
     )
     add(
         "json_late",
         lambda df, c, env: payload.json_late_measurement(
             df, _payload(c), c.params["path"], c.params["arrival_ts"], c.params["sla_seconds"], c.params.get("max_rate", 0.0)
         ),
+        lambda df, c, env: payload.json_late_rows(
+            df, _payload(c), c.params["path"], c.params["arrival_ts"], c.params["sla_seconds"]
+        ),
     )
     add(
         "json_child_fk",
         lambda df, c, env: payload.child_fk_measurement(
             df, _payload(c), c.params["path"], c.params["id_path"], env.table(c.params["parent"]), c.params["ref"]
         ),
+        lambda df, c, env: payload.child_orphans(
+            df, _payload(c), c.params["path"], c.params["id_path"], env.table(c.params["parent"]), c.params["ref"]
+        ),
     )
     add(
         "json_drift",
         lambda df, c, env: payload.json_drift_measurement(
             payload.key_profile(df, _payload(c)), env.table(c.params["baseline"]), **c.params.get("limits", {})
         ),
+        lambda df, c, env: payload.json_drift_rows(
+            payload.key_profile(df, _payload(c)), env.table(c.params["baseline"]), **c.params.get("limits", {})
+        ).filter("drifted"),
     )
 
 

@@ -11,7 +11,7 @@ import datetime as dt
 import time
 import uuid
 from collections.abc import Iterator, Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from typing import Any
 
 from pyspark.errors import PySparkException
@@ -91,6 +91,12 @@ def base_frame(check: Check, env: Env) -> DataFrame:
     return df
 
 
+def gated(check: Check) -> Check:
+    """`on_unknown` of a version check is its gate: fail or warn."""
+    gate = check.params.get("on_unknown") if check.type == "json_version" else None
+    return check if gate is None else replace(check, gate=gate)
+
+
 def _rows_key(check: Check, env: Env) -> tuple:
     """Checks with equal keys look at the same rows."""
     json = check.type.startswith("json_") or any(k.startswith("$") for k in check.keys)
@@ -121,7 +127,7 @@ def plan_suite(
     fused: dict[int, list[tuple[Check, Measurement]]] = {}
     groups: list[list[tuple[Check, Measurement]]] = []
     not_run: list[tuple[Check, str, str | None]] = []
-    for check in suite.tests:
+    for check in map(gated, suite.tests):
         if not check.enabled:
             not_run.append((check, "skip", "disabled"))
             continue
@@ -299,9 +305,10 @@ def sample_violations(
 ) -> DataFrame:
     """Masked rows of failing checks: (_test, row as JSON), at most `limit` each.
 
-    Counts were taken before and are not limited. Per check Spark keeps the
-    `limit` smallest rows of every partition and merges those, so a check with
-    billions of violations does not collect them anywhere.
+    Counts were taken before and are not limited. Per check every task keeps the
+    `limit` smallest rows and those are merged, so a check with billions of violations
+    collects them nowhere. Rows are ordered by what they hold and masked after that, so
+    only the rows that are shown pay for the masking.
     """
     env = Env(tables, metas or {}, as_of or now())
     failing = {r.test for r in results.filter(F.col("status") == "fail").select("test").collect()}
@@ -313,11 +320,9 @@ def sample_violations(
         if rows is None:
             continue
         rows = rows.drop(*[c for c in rows.columns if c.startswith("_v_")])
+        least = rows.withColumn("_order", F.to_json(F.struct("*"))).orderBy("_order").limit(limit).drop("_order")
         frames.append(
-            redact(rows, strategy)
-            .select(F.lit(check.name).alias("_test"), F.to_json(F.struct("*")).alias("row"))
-            .orderBy("row")
-            .limit(limit)
+            redact(least, strategy).select(F.lit(check.name).alias("_test"), F.to_json(F.struct("*")).alias("row"))
         )
     if not frames:
         return local_frame(spark, [], "_test string, row string")

@@ -153,6 +153,73 @@ def suite_samples(t: Tables) -> DataFrame:
     return out.withColumn("row", F.regexp_replace("row", ',"negative":true', ""))
 
 
+_KINDS = {
+    "json_enum": "json_extract_string(props, '$.k') NOT IN ('1', '2', '3')",
+    "json_mapping": "json_extract_string(props, '$.k') <> CAST(user_id AS VARCHAR)",
+    "json_type": "json_type(props, '$.k') NOT IN ('VARCHAR')",
+    "late_arrivals": "event_id % 7 = 0",
+}
+
+
+@query(
+    "suite_samples_kinds",
+    " UNION ALL ".join(
+        f"SELECT '{kind}' AS _test, least(30, count(*)) AS n, min(CAST(event_id AS VARCHAR)) AS first FROM events WHERE {bad}"
+        for kind, bad in _KINDS.items()
+    )
+    + """
+    UNION ALL SELECT 'json_unique', least(30, count(*)), min(k) FROM (SELECT json_extract_string(props, '$.k') AS k FROM events GROUP BY 1 HAVING count(*) > 1 AND k IS NOT NULL)
+    UNION ALL SELECT 'json_drift', count(*), min(k) FROM (SELECT DISTINCT unnest(json_keys(props)) AS k FROM events)
+    UNION ALL SELECT 'fact_coverage', least(30, count(*)), min(CAST(o_orderkey AS VARCHAR)) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)
+    UNION ALL SELECT 'agg_match', count(*), min(o_orderstatus) FROM (SELECT o_orderstatus FROM orders GROUP BY 1 HAVING sum(o_custkey) <> sum(o_custkey + CASE WHEN o_orderstatus = 'F' THEN 0 ELSE 1 END))
+    UNION ALL SELECT 'evidence', 1, 'rowcount'
+    UNION ALL SELECT 'schema', 1, 'no_such'
+    UNION ALL SELECT 'row drift', least(30, count(*)), min(CAST(o_orderkey AS VARCHAR)) FROM orders WHERE o_orderstatus <> 'F'
+    UNION ALL SELECT 'scd2', least(30, count(*)), min(CAST(c AS VARCHAR)) FROM (
+        SELECT o_custkey AS c, o_orderdate AS s, max(o_orderdate + INTERVAL 30 DAY) OVER (PARTITION BY o_custkey ORDER BY o_orderdate ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before, count(*) OVER (PARTITION BY o_custkey, o_orderdate) AS n
+        FROM (SELECT DISTINCT o_custkey, o_orderdate FROM orders)) WHERE before <> s
+    """,
+)
+def suite_samples_kinds(t: Tables) -> DataFrame:
+    """How many rows each failing check shows, at most 30, and the first of them."""
+    from tablecheck.operators.evidence import Manifest
+
+    tables = {
+        "events": t.events.withColumn("arrived", F.expr("ts + make_dt_interval(0, 0, IF(event_id % 7 = 0, 9, 1), 0)")),
+        "orders": t.orders.withColumn("until", F.expr("o_orderdate + make_dt_interval(30, 0, 0, 0)")),
+        "rich": t.customer.filter("c_acctbal > 0"),
+        "other": t.orders.withColumn("o_custkey", F.expr("o_custkey + IF(o_orderstatus = 'F', 0, 1)")),
+        "no_keys": t.spark.sql("SELECT 'x' AS key, 'NUMBER' AS type, 1L AS n, 0L AS length, 1L AS objects").filter("n = 0"),
+    }
+    tables["other"] = tables["other"].withColumn("until", F.expr("o_orderdate + make_dt_interval(30, 0, 0, 0)"))
+    json = {"payload": "props", "path": "$.k"}
+    checks = [
+        ("json_enum", "events", (), {**json, "values": [1, 2, 3]}, "event_id"),
+        ("json_mapping", "events", (), {**json, "column": "user_id"}, "event_id"),
+        ("json_type", "events", (), {**json, "expected": "STRING"}, "event_id"),
+        ("late_arrivals", "events", (), {"event_ts": "ts", "arrival_ts": "arrived", "sla_seconds": 300}, "event_id"),
+        ("json_unique", "events", (), json, "json_value"),
+        ("json_drift", "events", (), {"payload": "props", "baseline": "no_keys"}, "key"),
+        ("fact_coverage", "orders", (), {"dimensions": [(["o_custkey"], "rich", ["c_custkey"])]}, "o_orderkey"),
+        ("agg_match", "orders", (), {"source": "other", "metrics": {"s": ("sum", "o_custkey")}, "group_by": ["o_orderstatus"]}, "o_orderstatus"),
+        ("evidence", "orders", (), {"manifest": Manifest("all", -1)}, "metric"),
+        ("schema", "orders", (), {"contract": [("no_such", "NUMBER", None)], "allow_extra": True}, "column"),
+        ("drift", "orders", ("o_orderkey",), {"previous": "other"}, "o_orderkey"),
+        ("scd2", "orders", ("o_custkey",), {"valid_from": "o_orderdate", "valid_to": "until"}, "o_custkey"),
+    ]
+    name = {"drift": "row drift"}
+    suite = Suite(
+        "kinds",
+        [Check(name.get(k, k), k, d, keys=keys, params=p) for k, d, keys, p, _ in checks],
+    )
+    results = S.run_suite(t.spark, suite, tables, AS_OF, "run-1")
+    out = S.sample_violations(t.spark, suite, results, tables, as_of=AS_OF, limit=30, strategy="mask")
+    first = F.lit(None).cast("string")
+    for k, _, _, _, column in checks:
+        first = F.when(F.col("_test") == name.get(k, k), F.get_json_object("row", f"$.{column}")).otherwise(first)
+    return out.groupBy("_test").agg(F.count(F.lit(1)).alias("n"), F.min(first).alias("first"))
+
+
 # ---------------------------------------------------------------------- history
 # Every event stands for one check result: the day is the run, the event type the
 # kind of check.
