@@ -6,20 +6,37 @@ from collections.abc import Sequence
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..verdict import Judgement, Measurement, result, zero
 from . import joins
 from .aggregates import count_if, rows
+from .rowhash import HASH, comparable, marked, with_row_hash
 
 # ---------------------------------------------------------------- uniqueness
 
 
+_WIDE = (T.StringType, T.BinaryType, T.ArrayType, T.StructType, T.MapType, T.VariantType)
+
+
+def wide(df: DataFrame, keys: Sequence[str]) -> bool:
+    """Whether keys can be long: such rows are reduced by a hash of the keys first."""
+    return any(isinstance(df.schema[k].dataType, _WIDE) for k in keys)
+
+
+def suspects(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """`columns` of the rows whose keys' hash occurs more than once, and of few others."""
+    hashed = with_row_hash(df, keys)
+    repeated = hashed.groupBy(*HASH).agg(rows().alias("_n")).filter(F.col("_n") > 1)
+    return marked(hashed, repeated).select(*columns)
+
+
 def duplicate_groups(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Key values that occur more than once, with their row count."""
-    return (
-        df.groupBy(*keys).agg(rows().alias("duplicate_count")).filter(F.col("duplicate_count") > 1)
-    )
+    """Key values that occur more than once, with their row count. Long keys are shuffled
+    only where their hash says that they may be duplicates."""
+    rows_in = suspects(df, keys, keys) if wide(df, keys) else df
+    counted = rows_in.groupBy(*keys).agg(rows().alias("duplicate_count"))
+    return counted.filter(F.col("duplicate_count") > 1)
 
 
 def top_duplicates(df: DataFrame, keys: Sequence[str], limit: int = 100) -> DataFrame:
@@ -29,23 +46,41 @@ def top_duplicates(df: DataFrame, keys: Sequence[str], limit: int = 100) -> Data
 def duplicate_rows(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """All rows of the duplicated groups."""
     dups = duplicate_groups(df, keys).select(*[F.col(k).alias(f"_d_{k}") for k in keys])
-    cond = reduce(
-        lambda a, b: a & b, [df[k].eqNullSafe(F.col(f"_d_{k}")) for k in keys]
-    )
-    return df.join(dups, cond, "left_semi")
+    rows_in = suspects(df, keys, df.columns) if wide(df, keys) else df
+    cond = reduce(lambda a, b: a & b, [rows_in[k].eqNullSafe(F.col(f"_d_{k}")) for k in keys])
+    return rows_in.join(dups, cond, "left_semi")
+
+
+def key_group_sizes(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Sizes of the groups of equal keys: `_n`, and `_rows`, how many rows a line stands
+    for. Groups of one row may share a line.
+
+    Long keys are reduced to 128 bits; what collides there is grouped by the keys
+    themselves, in the form that `comparable` gives them, so maps and variants are keys
+    too."""
+    if not wide(df, keys):
+        groups = df.groupBy(*keys).agg(rows().alias("_n"))
+        return groups.select("_n", F.col("_n").alias("_rows"))
+    by_hash = with_row_hash(df, keys).groupBy(*HASH).agg(rows().alias("_n"))
+    single = by_hash.filter(F.col("_n") == 1).agg(F.lit(1).cast("bigint").alias("_n"), rows().alias("_rows"))
+    whole = [comparable(F.col(k), df.schema[k].dataType).alias(f"_k{i}") for i, k in enumerate(keys)]
+    hashed = with_row_hash(df, keys).select(*HASH, *whole)
+    repeated = by_hash.filter(F.col("_n") > 1)
+    again = marked(hashed, repeated).join(repeated.select(*HASH), list(HASH), "left_semi")
+    exact = again.groupBy(*[f"_k{i}" for i in range(len(keys))]).agg(rows().alias("_n"))
+    return single.unionByName(exact.select("_n", F.col("_n").alias("_rows")))
 
 
 def unique_measurement(df: DataFrame, keys: Sequence[str], dup_rows: int = 0) -> Measurement:
     if not keys:
         raise ValueError("a uniqueness check needs keys")
-    groups = df.groupBy(*keys).agg(rows().alias("_n"))
     dup = F.col("_n") > 1
     return Measurement(
-        groups,
+        key_group_sizes(df, keys),
         {
             "groups": count_if(dup),
             "rows": F.coalesce(F.sum(F.when(dup, F.col("_n"))), F.lit(0)),
-            "total": F.coalesce(F.sum("_n"), F.lit(0)),
+            "total": F.coalesce(F.sum("_rows"), F.lit(0)),
         },
         lambda m: Judgement(
             violations=m("groups"),
