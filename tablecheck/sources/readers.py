@@ -128,35 +128,77 @@ def csv_rejects(spark: SparkSession, path: str, companion: Mapping[str, Any], **
     )
 
 
-def scan_arrow(spark: SparkSession, paths: str | Sequence[str], schema: str | T.StructType) -> DataFrame:
+# Of an Arrow file that one task reads, about.
+SPAN_BYTES = 128 << 20
+
+
+def _arrow_file(uri: str) -> Any:
+    """An open file behind any path that Arrow's filesystem layer knows."""
+    from pyarrow import fs
+
+    if uri.startswith("file:/") and not uri.startswith("file://"):
+        uri = uri.replace("file:/", "file:///", 1)
+    filesystem, where = fs.FileSystem.from_uri(uri)
+    return filesystem.open_input_file(where)
+
+
+def arrow_spans(listed: DataFrame, span_bytes: int) -> DataFrame:
+    """(path, first, last): ranges of record batches, about `span_bytes` each, from the
+    files' footers. `listed`: path and length."""
+
+    def spans(batches: Iterator[Any]) -> Iterator[Any]:
+        import pyarrow as pa
+
+        for batch in batches:
+            rows: list[tuple[str, int, int]] = []
+            for uri, length in zip(*(batch.column(i).to_pylist() for i in range(2))):
+                with _arrow_file(uri) as source:
+                    n = pa.ipc.open_file(source).num_record_batches
+                each = max(1, n * span_bytes // max(1, length))
+                rows += [(uri, i, min(i + each, n)) for i in range(0, n, each)]
+            columns = list(zip(*rows)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(columns[0], pa.string()), *[pa.array(c, pa.int64()) for c in columns[1:]]],
+                names=["path", "first", "last"],
+            )
+
+    return listed.mapInArrow(spans, "path string, first bigint, last bigint")
+
+
+def scan_arrow(
+    spark: SparkSession,
+    paths: str | Sequence[str],
+    schema: str | T.StructType,
+    span_bytes: int = SPAN_BYTES,
+) -> DataFrame:
     """Arrow IPC / Feather files, read inside tasks, batch by batch.
 
-    Only the file NAMES travel through Spark; each task opens its files through
-    Arrow's filesystem layer and yields record batches, so no file is held whole.
+    Only file names and ranges of record batches travel through Spark: a first step
+    reads the footers, and large files are then shared by as many tasks as their size
+    asks for. Each task opens its files through Arrow's filesystem layer and yields
+    record batches, so no file is held whole.
     """
     fields = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     names = [f.name for f in fields.fields]
     listed = (
         spark.read.format("binaryFile")
         .load(list(paths) if not isinstance(paths, str) else paths)
-        .select("path")
+        .select("path", "length")
     )
+    size = listed.agg(F.sum("length").alias("n")).first().n or 0
+    tasks = size // span_bytes + 1
 
     def read(batches: Iterator[Any]) -> Iterator[Any]:
         import pyarrow as pa
-        from pyarrow import fs
 
         for batch in batches:
-            for uri in batch.column("path").to_pylist():
-                if uri.startswith("file:/") and not uri.startswith("file://"):
-                    uri = uri.replace("file:/", "file:///", 1)
-                filesystem, where = fs.FileSystem.from_uri(uri)
-                with filesystem.open_input_file(where) as source:
+            for uri, first, last in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                with _arrow_file(uri) as source:
                     reader = pa.ipc.open_file(source)
-                    for i in range(reader.num_record_batches):
+                    for i in range(first, last):
                         yield reader.get_batch(i).select(names)
 
-    return listed.mapInArrow(read, fields)
+    return arrow_spans(listed, span_bytes).repartition(int(tasks)).mapInArrow(read, fields)
 
 
 def scan_payload(

@@ -2,6 +2,7 @@ import datetime as dt
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tablecheck.sources import readers as R
 from tablecheck.sources.writers import write_baseline
@@ -48,6 +49,21 @@ def test_arrow(spark, tmp_path):
     assert R.scan_arrow(spark, [str(tmp_path / "f1.arrow")], "s string").distinct().first().s == "v1"
 
 
+def test_one_arrow_file_is_read_by_several_tasks(spark, tmp_path):
+    table = pa.table({"id": pa.array(range(4000), pa.int64()), "s": ["x" * 50] * 4000})
+    empty = table.slice(0, 0)
+    for name, rows in (("large", table), ("empty", empty)):
+        with pa.ipc.new_file(str(tmp_path / f"{name}.arrow"), table.schema) as w:
+            w.write_table(rows, max_chunksize=100)
+    df = R.scan_arrow(spark, str(tmp_path), "s string, id bigint", span_bytes=40_000)
+    by_task = df.groupBy(F.spark_partition_id().alias("task")).agg(F.count("id").alias("n")).collect()
+    assert len(by_task) >= 4 and max(r.n for r in by_task) <= 1200
+    assert sorted(r.id for r in df.collect()) == list(range(4000))
+    (tmp_path / "none").mkdir()
+    listed = spark.createDataFrame([], "path string, length bigint")
+    assert R.arrow_spans(listed, 10).count() == 0
+
+
 def test_payload_lookup_baseline_source(spark, frame, tmp_path):
     (tmp_path / "p.jsonl").write_text('{"a":1}\n{"a":2}\n')
     assert R.scan_payload(spark, str(tmp_path / "p.jsonl")).columns == ["payload"]
