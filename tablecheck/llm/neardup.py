@@ -33,7 +33,7 @@ K = 64
 OVERLAP = 9 / 16  # of a sketch: 4.7 standard deviations below what 0.8 shares of 64
 SHORT_LIST = 32
 LEFT_BLOCK, RIGHT_BLOCK = 256, 512
-SIGMAS = 4
+SIGMAS = 6
 
 
 def _sketches(words: int, k: int):
@@ -145,13 +145,13 @@ def classes(docs: DataFrame, words: int, k: int) -> tuple[DataFrame, DataFrame]:
     return rows.select("doc_id", "n", "key"), cut(found)
 
 
-def inverted_lists(found: DataFrame) -> DataFrame:
+def inverted_lists(found: DataFrame, k: int = K) -> DataFrame:
     """v, cid, n, score: the values of each sketch that make lists, with the sum of
     the sketch's document frequencies."""
     values = found.select("cid", "n", F.explode("sketch").alias("v"))
     often = values.groupBy("v").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     met = values.join(often, "v")
-    size = F.least("n", F.lit(K))
+    size = F.least("n", F.lit(k))
     need = F.greatest(F.ceil(size * OVERLAP), F.lit(1))
     rare = size - F.count(F.lit(1))  # values that no other document retains come first
     per_class = met.groupBy("cid", "n").agg(
@@ -186,7 +186,7 @@ def _pairs(lists: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFr
 
 def links(found: DataFrame, docs: DataFrame, words: int, k: int, percent: int) -> DataFrame:
     """Confirmed links (a, b) between classes that connect every group."""
-    pairs, members, family = _pairs(inverted_lists(found), percent)
+    pairs, members, family = _pairs(inverted_lists(found, k), percent)
     texts = cut(
         docs.select(F.col("doc_id").cast("long").alias("cid"), F.coalesce("text", F.lit("")).alias("text"))
         .join(members, "cid")

@@ -1,7 +1,7 @@
 """Shards of near equal bytes: a k-d tree over document metadata.
 
-A node with more than the target is cut at the weighted median of its widest
-dimension. Medians are found by radix descent: sums of bytes per (node, bin) over
+A node that stands for several shards is cut at a weighted median of its widest
+dimension: at half of its bytes if they are even in number. Medians are found by radix descent: sums of bytes per (node, bin) over
 16 bits of the coordinate at a time, then over the next 16 bits inside the bin that
 holds the median, until a bin's edge is near enough to half. Only sums are
 shuffled, and one row per node reaches the driver.
@@ -73,11 +73,11 @@ def _metadata(docs: DataFrame, dimensions: dict[str, Column]) -> DataFrame:
     return raw.select("doc_id", "size", "text_crc32", *made)
 
 
-def _medians(rows: DataFrame, nodes: dict[int, tuple[int, int]], dims: int) -> dict[int, int]:
-    """A cut for each node {id: (dimension, bytes)}: coordinates below it hold about
-    half of the bytes."""
+def _medians(rows: DataFrame, nodes: dict[int, tuple[int, int, float]], dims: int) -> dict[int, int]:
+    """A cut for each node {id: (dimension, bytes, wanted)}: coordinates below it hold
+    about `wanted` bytes, and on neither side none, if rows can be told apart."""
     cuts: dict[int, int] = {}
-    open_nodes = {n: (d, total, 0, 0) for n, (d, total) in nodes.items()}  # dimension, total, prefix, bytes before
+    open_nodes = {n: (d, total, 0, 0) for n, (d, total, _) in nodes.items()}  # dimension, total, prefix, bytes before
     for shift in SHIFTS:
         if not open_nodes:
             break
@@ -85,7 +85,7 @@ def _medians(rows: DataFrame, nodes: dict[int, tuple[int, int]], dims: int) -> d
         asked = rows_frame(
             rows.sparkSession,
             "node long, dim int, prefix long, need double",
-            [(n, d, p, total / 2 - before) for n, (d, total, p, before) in open_nodes.items()],
+            [(n, d, p, nodes[n][2] - before) for n, (d, _, p, before) in open_nodes.items()],
         )
         at = F.element_at(F.array(*[F.col(f"c{i}") for i in range(dims)]), F.col("dim") + 1)
         inside = rows.join(F.broadcast(asked), "node").withColumn("at", at)
@@ -97,9 +97,11 @@ def _medians(rows: DataFrame, nodes: dict[int, tuple[int, int]], dims: int) -> d
         for r in first.agg(F.min_by(F.struct("bin", "bytes", "upto"), "bin").alias("b")).collect():
             n, (bin_, size, upto_) = r["node"], r["b"]
             d, total, _, before = open_nodes.pop(n)
-            over, under = before + upto_ - total / 2, total / 2 - (before + upto_ - size)
-            if min(over, under) <= TOLERANCE * total or shift == 0:
-                end = over < under or under == total / 2
+            upper, lower, wanted = before + upto_, before + upto_ - size, nodes[n][2]
+            if min(upper - wanted, wanted - lower) <= TOLERANCE * total or shift == 0:
+                end = upper - wanted < wanted - lower
+                if lower == 0 or upper == total:
+                    end = lower == 0
                 cuts[n] = (bin_ + 1 if end else bin_) << shift
             else:
                 open_nodes[n] = (d, total, bin_, before + upto_ - size)
@@ -107,38 +109,46 @@ def _medians(rows: DataFrame, nodes: dict[int, tuple[int, int]], dims: int) -> d
 
 
 def kd_shards(docs: DataFrame, target_bytes: float | None = None, shards: int = SHARDS, dimensions=None) -> DataFrame:
-    """doc_id, size, text_crc32, shard for every row; nodes are cut until they hold
-    at most about target_bytes (by default the total / shards; then there are that
-    many shards, if a power of two).
+    """doc_id, size, text_crc32, shard for every row, shard from 0 to `shards` - 1.
+
+    A node stands for a number of shards; it is cut where the bytes below are in
+    proportion to half of them, until it stands for one. With `target_bytes` there are
+    as many shards as bytes ask for. Rows that agree in doc_id and text stay together: a
+    node of nothing else is one shard, and the numbers it leaves over are not used, as
+    when there are fewer rows than shards.
 
     Null text: no bytes, size 1. A null metadata value lies at the least place of
-    its dimension. Rows that agree in doc_id and text stay together. An empty table
-    gives no rows. Extra columns are ignored.
+    its dimension. An empty table gives no rows. Extra columns are ignored.
     """
     dims = text_dimensions() if dimensions is None else dimensions
     rows = _metadata(docs, dims).withColumn("node", F.lit(1).cast("long"))
+    # Of each node: the first of its shards, how many, and the bytes of its parent.
+    spans: dict[int, tuple[int, int, int | None]] = {}
     leaves: set[int] = set()
-    held: dict[int, int] = {}
     depth = 0
     while True:
-        spans = [F.min(F.shiftright(f"c{i}", SHIFTS[0])).alias(f"lo{i}") for i in range(len(dims))]
-        spans += [F.max(F.shiftright(f"c{i}", SHIFTS[0])).alias(f"hi{i}") for i in range(len(dims))]
-        found = rows.groupBy("node").agg(F.sum("size").alias("bytes"), *spans).collect()
+        ends = [F.min(F.shiftright(f"c{i}", SHIFTS[0])).alias(f"lo{i}") for i in range(len(dims))]
+        ends += [F.max(F.shiftright(f"c{i}", SHIFTS[0])).alias(f"hi{i}") for i in range(len(dims))]
+        found = rows.groupBy("node").agg(F.sum("size").alias("bytes"), *ends).collect()
         if depth == 0 and found:
-            target_bytes = target_bytes or found[0]["bytes"] / shards
+            count = shards if target_bytes is None else math.ceil(found[0]["bytes"] / target_bytes)
+            spans[1] = (0, max(1, count), None)
         nodes = {}
         for r in found:
-            if r["node"] in leaves:
-                continue
-            # A cut that leaves all on one side met rows that nothing tells apart.
-            if r["bytes"] <= target_bytes * math.sqrt(2) or r["bytes"] == held.get(r["node"] >> 1):
-                leaves.add(r["node"])
+            n, (_, many, above) = r["node"], spans[r["node"]]
+            # A cut that left all on one side met rows that nothing tells apart.
+            if n in leaves or many == 1 or r["bytes"] == above:
+                leaves.add(n)
             else:
                 widest = max(range(len(dims)), key=lambda i: (r[f"hi{i}"] - r[f"lo{i}"], -i))
-                nodes[r["node"]] = (widest, r["bytes"])
+                nodes[n] = (widest, r["bytes"], r["bytes"] * (many // 2) / many)
         if not nodes:
             break
-        cuts, held = _medians(rows, nodes, len(dims)), {n: total for n, (_, total) in nodes.items()}
+        cuts = _medians(rows, nodes, len(dims))
+        for n, (_, total, _) in nodes.items():
+            first, many, _ = spans[n]
+            spans[2 * n] = (first, many // 2, total)
+            spans[2 * n + 1] = (first + many // 2, many - many // 2, total)
         asked = rows_frame(
             rows.sparkSession, "node long, dim int, cut long", [(n, nodes[n][0], c) for n, c in cuts.items()]
         )
@@ -151,8 +161,7 @@ def kd_shards(docs: DataFrame, target_bytes: float | None = None, shards: int =
         depth += 1
         if depth % 4 == 0:
             rows = cut(rows)
-    places = sorted(leaves, key=lambda n: n / (1 << n.bit_length() - 1))
-    numbers = rows_frame(rows.sparkSession, "node long, shard int", [(n, i) for i, n in enumerate(places)])
+    numbers = rows_frame(rows.sparkSession, "node long, shard int", [(n, spans[n][0]) for n in sorted(leaves)])
     return rows.join(F.broadcast(numbers), "node").select("doc_id", "size", "text_crc32", "shard")
 
 

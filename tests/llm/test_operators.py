@@ -390,6 +390,52 @@ def brute_components(docs, words):
     return {k: (len(sets[k]), find(k)) for k in sets}
 
 
+def sizes_of(shape, n):
+    rng = np.random.default_rng(n)
+    if shape == "equal":
+        return [40] * n
+    if shape == "one huge":
+        return [100_000] + [30] * (n - 1)
+    return (20 * (1 + rng.pareto(1.1, n))).astype(int).tolist()
+
+
+@pytest.mark.parametrize(
+    "shape, n",
+    [("equal", 2), ("equal", 15), ("equal", 20), ("one huge", 17), ("heavy tail", 21), ("heavy tail", 300)],
+)
+def test_shards_stay_in_range(spark, shape, n):
+    rows = [(i, (f"{i} " * size)[:size]) for i, size in enumerate(sizes_of(shape, n))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sharding.kd_shards(docs, dimensions={"size": F.octet_length("text").cast("double")}).collect()
+    loads = Counter()
+    for r in got:
+        loads[r.shard] += r.size
+    assert len(got) == n and set(loads) <= set(range(16))
+    if shape == "equal":
+        assert len(loads) == min(n, 16) and max(loads.values()) <= 2 * 41 * -(-n // 16)
+    if shape == "heavy tail" and n == 300:
+        assert len(loads) >= 14 and max(loads.values()) < 1.6 * max(sum(loads.values()) / 16, max(r.size for r in got))
+
+
+def test_shards_for_a_target(spark):
+    docs = spark.range(900).selectExpr("id AS doc_id", "repeat('x', 99) || id AS text", "'en' AS lang")
+    got = Counter(r.shard for r in sharding.kd_shards(docs, target_bytes=9_000.0).collect())
+    assert set(got) == set(range(12)) and max(got.values()) < 1.3 * min(got.values())
+    ties = spark.range(200).selectExpr("1L AS doc_id", "'same' AS text", "'en' AS lang")
+    assert {r.shard for r in sharding.kd_shards(ties).collect()} == {0}
+
+
+@pytest.mark.parametrize("k", [16, 128])
+def test_links_for_any_sketch_size(spark, k):
+    rows = []
+    for i in range(40):
+        words = [f"w{i}x{j}" for j in range(300)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[:150] + ["new"] + words[151:]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs, k=k).collect()}
+    assert got == {i: i - i % 2 for i in range(80)}
+
+
 @pytest.mark.parametrize("name", ["edge", "real"])
 def test_near_duplicates(request, name):
     docs = request.getfixturevalue(name)
