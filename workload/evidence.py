@@ -93,10 +93,10 @@ def evidence_reconcile(t: Tables) -> DataFrame:
     "evidence_batches",
     """
     WITH e AS (SELECT *, CAST(CAST(ts AS DATE) AS VARCHAR) AS batch FROM events),
-         a AS (SELECT batch, count(*) AS rowcount, CAST(sum(CAST(value AS DECIMAL(18,4))) AS DOUBLE) AS s, count(DISTINCT user_id) AS u FROM e WHERE batch <> '2024-01-03' GROUP BY batch),
-         m AS (SELECT batch, count(*) + CASE WHEN max(event_id) % 3 = 0 THEN 1 ELSE 0 END AS rowcount,
+         a AS (SELECT CASE WHEN batch = '2024-01-03' THEN 'unknown' ELSE batch END AS batch, count(*) AS rowcount, CAST(sum(CAST(value AS DECIMAL(18,4))) AS DOUBLE) AS s, count(DISTINCT user_id) AS u FROM e GROUP BY 1),
+         m AS (SELECT CASE WHEN batch = '2024-01-04' THEN 'lost' ELSE batch END AS batch, count(*) + CASE WHEN max(event_id) % 3 = 0 THEN 1 ELSE 0 END AS rowcount,
                       CAST(sum(CAST(value AS DECIMAL(18,4))) AS DOUBLE) * CASE WHEN max(event_id) % 2 = 0 THEN 1.02 ELSE 1.001 END AS s,
-                      count(DISTINCT user_id) AS u FROM e WHERE batch <> '2024-01-04' GROUP BY batch),
+                      count(DISTINCT user_id) AS u FROM e GROUP BY 1),
          j AS (SELECT coalesce(a.batch, m.batch) AS batch_id, a.rowcount AS ar, m.rowcount AS mr, a.s AS sa, m.s AS sm, a.u AS au, m.u AS mu FROM a FULL JOIN m USING (batch))
     SELECT batch_id, 'rowcount' AS metric, coalesce(ar = mr, false) AS within FROM j
     UNION ALL SELECT batch_id, 'sum_value', coalesce(abs(sa - sm) / abs(sm) * 100 <= 0.5, false) FROM j
@@ -106,8 +106,7 @@ def evidence_reconcile(t: Tables) -> DataFrame:
 def evidence_batches(t: Tables) -> DataFrame:
     e = t.events.withColumn("batch", F.to_date("ts").cast("string"))
     manifests = (
-        e.filter("batch <> '2024-01-04'")
-        .groupBy(F.col("batch").alias("batch_id"))
+        e.groupBy(F.expr("IF(batch = '2024-01-04', 'lost', batch) AS batch_id"))
         .agg(
             (F.count(F.lit(1)) + F.when(F.max("event_id") % 3 == 0, 1).otherwise(0)).alias("rowcount"),
             (
@@ -118,7 +117,7 @@ def evidence_batches(t: Tables) -> DataFrame:
         )
     )
     out = E.reconcile_batches(
-        e.filter("batch <> '2024-01-03'"), "batch", manifests, ["SUM(value)", "DISTINCT(user_id)"]
+        e.withColumn("batch", F.expr("IF(batch = '2024-01-03', 'unknown', batch)")), "batch", manifests, ["SUM(value)", "DISTINCT(user_id)"]
     )
     return out.select("batch_id", "metric", "within")
 
@@ -126,18 +125,18 @@ def evidence_batches(t: Tables) -> DataFrame:
 @query(
     "evidence_keys",
     f"""
-    WITH s AS (SELECT sha256(CAST(o_orderkey + CASE WHEN o_orderkey % 50 = 0 THEN 1000000000 ELSE 0 END AS VARCHAR)) AS k FROM orders WHERE o_orderstatus = 'P'),
-         a AS (SELECT count(DISTINCT k) AS n FROM s WHERE k NOT IN (SELECT sha256(CAST(o_orderkey AS VARCHAR)) FROM orders WHERE o_orderpriority <> '5-LOW'))
+    WITH s AS (SELECT sha256(CAST(o_orderkey + CASE WHEN o_orderkey % 50 = 0 THEN 1000000000 ELSE 0 END AS VARCHAR)) AS k FROM orders),
+         a AS (SELECT count(DISTINCT k) AS n FROM s WHERE k NOT IN (SELECT sha256(CAST(CASE WHEN o_orderpriority = '5-LOW' THEN -o_orderkey ELSE o_orderkey END AS VARCHAR)) FROM orders))
     SELECT {status_sql("n > 0")}, n AS violations, n AS missing_keys FROM a
     """,
 )
 def evidence_keys(t: Tables) -> DataFrame:
-    sample = t.orders.filter("o_orderstatus = 'P'").select(
+    sample = t.orders.select(
         F.expr(
             "sha2(CAST(o_orderkey + CASE WHEN o_orderkey % 50 = 0 THEN 1000000000 ELSE 0 END AS STRING), 256) AS key"
         )
     )
-    table = t.orders.filter("o_orderpriority <> '5-LOW'")
+    table = t.orders.withColumn("o_orderkey", F.expr("IF(o_orderpriority = '5-LOW', -o_orderkey, o_orderkey)"))
     return verdict(E.check_evidence_keys(table, "o_orderkey", sample, masked=True), missing_keys="bigint")
 
 
@@ -165,13 +164,15 @@ def evidence_checksum(t: Tables) -> DataFrame:
 @query(
     "evidence_checksum_check",
     f"""
-    WITH a AS (SELECT count(*) AS n FROM events WHERE {_IN})
-    SELECT 'fail' AS status, CAST(1 AS BIGINT) AS violations, n AS row_count FROM a
+    WITH a AS (SELECT count(*) AS n, CAST(sum(CAST(CAST('0x' || substr(md5({_ROW_TEXT}), 1, 15) AS BIGINT) AS HUGEINT)) AS VARCHAR) AS c
+               FROM events WHERE {_IN})
+    SELECT CASE WHEN c = '0' THEN 'pass' ELSE 'fail' END AS status, CAST(CASE WHEN c = '0' THEN 0 ELSE 1 END AS BIGINT) AS violations, n AS row_count, c AS checksum FROM a
     """,
 )
 def evidence_checksum_check(t: Tables) -> DataFrame:
-    r = E.check_evidence_checksum(t.events, _WINDOW, ["event_id", "value", "ts"], "0")
-    return verdict(r, row_count="bigint")
+    """The stated checksum is wrong; the one that was found decides and is compared."""
+    r = E.check_evidence_checksum(t.events, _WINDOW, ["event_id", "user_id", "event_type", "props"], "0")
+    return verdict(r, row_count="bigint", checksum="string")
 
 
 @query(

@@ -216,13 +216,13 @@ def json_timestamp(t: Tables) -> DataFrame:
 @query(
     "json_fresh",
     f"""
-    WITH {_E}, m AS (SELECT max(TRY_CAST(json_extract_string(j, '$.event_ts') AS TIMESTAMP)) AS newest FROM e WHERE event_type <> 'error'),
+    WITH {_E}, m AS (SELECT max(TRY_CAST(json_extract_string(j, '$.event_ts') AS TIMESTAMP)) AS newest FROM e),
          l AS (SELECT newest, date_diff('hour', newest, TIMESTAMP '2024-01-31 00:00:00') AS lag FROM m)
     SELECT {status_sql("lag > 24")}, CAST(greatest(0, lag - 24) AS BIGINT) AS violations, CAST(lag AS DOUBLE) AS observed, newest AS max_timestamp FROM l
     """,
 )
 def json_fresh(t: Tables) -> DataFrame:
-    r = J.check_json_fresh(_events(t).filter("event_type <> 'error'"), "payload", "$.event_ts", 24, AS_OF)
+    r = J.check_json_fresh(_events(t), "payload", "$.event_ts", 24, AS_OF)
     return verdict(r, "observed", max_timestamp="timestamp_ntz")
 
 

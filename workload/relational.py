@@ -80,12 +80,14 @@ def window_batch_(t: Tables) -> DataFrame:
     return window_batch(t.documents, "source", "src3").select("doc_id", "lang", "n_chars")
 
 
-_CUST = "(SELECT c_custkey, c_mktsegment FROM customer WHERE c_acctbal > 2000)"
+_CUST = "(SELECT CASE WHEN c_acctbal > 2000 THEN c_custkey ELSE -1000000000 - c_custkey END AS c_custkey, c_mktsegment FROM customer)"
 
 
 def _ir_join(t: Tables, how: str) -> DataFrame:
-    orders = t.orders.filter("o_orderstatus <> 'P'").select("o_orderkey", "o_custkey")
-    cust = t.customer.filter("c_acctbal > 2000").select("c_custkey", "c_mktsegment")
+    orders = t.orders.select("o_orderkey", F.expr("IF(o_orderstatus = 'P', -o_custkey, o_custkey) AS o_custkey"))
+    cust = t.customer.select(
+        F.expr("IF(c_acctbal > 2000, c_custkey, -1000000000 - c_custkey) AS c_custkey"), "c_mktsegment"
+    )
     return joins.ir_join(orders, cust, "PREP.ORDERS.o_custkey", "DIM.CUSTOMER.c_custkey", how)
 
 
@@ -94,7 +96,7 @@ for _how, _sql in (("inner", "INNER"), ("left", "LEFT"), ("right", "RIGHT"), ("f
         f"ir_join_{_how}",
         f"""
         SELECT o_orderkey, o_custkey, c_custkey, c_mktsegment
-        FROM (SELECT o_orderkey, o_custkey FROM orders WHERE o_orderstatus <> 'P')
+        FROM (SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN -o_custkey ELSE o_custkey END AS o_custkey FROM orders)
         {_sql} JOIN {_CUST} ON o_custkey = c_custkey
         """,
     )(lambda t, how=_how: _ir_join(t, how))
@@ -102,10 +104,10 @@ for _how, _sql in (("inner", "INNER"), ("left", "LEFT"), ("right", "RIGHT"), ("f
 
 @query(
     "semi_join_covered",
-    "SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)",
+    "SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT CASE WHEN quality = 1 THEN doc_id ELSE -1 - doc_id END FROM labels)",
 )
 def semi_join_covered(t: Tables) -> DataFrame:
-    good = t.labels.filter("quality = 1")
+    good = t.labels.select(F.expr("IF(quality = 1, doc_id, -1 - doc_id) AS doc_id"))
     return joins.covered_rows(t.documents, ["doc_id"], good, ["doc_id"]).select("doc_id", "lang")
 
 
@@ -113,11 +115,11 @@ def semi_join_covered(t: Tables) -> DataFrame:
     "anti_join_rows",
     """
     SELECT l_orderkey, l_linenumber, l_suppkey FROM lineitem
-    WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_nationkey < 20)
+    WHERE l_suppkey NOT IN (SELECT CASE WHEN s_nationkey < 20 THEN s_suppkey ELSE -s_suppkey END FROM supplier)
     """,
 )
 def anti_join_rows(t: Tables) -> DataFrame:
-    parent = t.supplier.filter("s_nationkey < 20")
+    parent = t.supplier.select(F.expr("IF(s_nationkey < 20, s_suppkey, -s_suppkey) AS s_suppkey"))
     return joins.orphan_rows(t.lineitem, ["l_suppkey"], parent, ["s_suppkey"]).select(
         "l_orderkey", "l_linenumber", "l_suppkey"
     )
@@ -126,8 +128,9 @@ def anti_join_rows(t: Tables) -> DataFrame:
 @query(
     "key_compare",
     """
-    WITH a AS (SELECT o_orderkey, o_totalprice AS v FROM orders WHERE o_orderstatus <> 'P'),
-         b AS (SELECT o_orderkey, CASE WHEN o_totalprice > 300000 THEN NULL ELSE o_totalprice END AS v FROM orders WHERE o_orderpriority <> '5-LOW')
+    WITH a AS (SELECT CASE WHEN o_orderstatus = 'P' THEN -o_orderkey ELSE o_orderkey END AS o_orderkey, o_totalprice AS v FROM orders),
+         b AS (SELECT CASE WHEN o_orderpriority = '5-LOW' THEN -1000000000 - o_orderkey ELSE o_orderkey END AS o_orderkey,
+                      CASE WHEN o_totalprice > 300000 THEN NULL ELSE o_totalprice END AS v FROM orders)
     SELECT coalesce(a.o_orderkey, b.o_orderkey) AS o_orderkey,
            CASE WHEN b.o_orderkey IS NULL THEN 'left' WHEN a.o_orderkey IS NULL THEN 'right'
                 WHEN a.v IS NOT DISTINCT FROM b.v THEN 'same' ELSE 'differs' END AS side,
@@ -136,9 +139,12 @@ def anti_join_rows(t: Tables) -> DataFrame:
     """,
 )
 def key_compare(t: Tables) -> DataFrame:
-    a = t.orders.filter("o_orderstatus <> 'P'").select("o_orderkey", F.col("o_totalprice").alias("v"))
-    b = t.orders.filter("o_orderpriority <> '5-LOW'").select(
-        "o_orderkey", F.expr("CASE WHEN o_totalprice > 300000 THEN NULL ELSE o_totalprice END AS v")
+    a = t.orders.select(
+        F.expr("IF(o_orderstatus = 'P', -o_orderkey, o_orderkey) AS o_orderkey"), F.col("o_totalprice").alias("v")
+    )
+    b = t.orders.select(
+        F.expr("IF(o_orderpriority = '5-LOW', -1000000000 - o_orderkey, o_orderkey) AS o_orderkey"),
+        F.expr("CASE WHEN o_totalprice > 300000 THEN NULL ELSE o_totalprice END AS v")
     )
     return joins.key_compare(a, b, ["o_orderkey"], ["v"])
 
