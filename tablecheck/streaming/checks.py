@@ -10,14 +10,15 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from ..functions.times import epoch_micros, from_epoch_micros, instant_micros
+from ..functions.times import epoch_micros, from_epoch_micros, instant_micros, moment
 from ..plans.suite import run_suite
 from ..sources.local import local_frame
 from ..spec import Suite
 
 EVENT_TIME = "_event_time"
+CLOSING = "_closing"
 
 
 def with_event_time(stream: DataFrame, ts: str, delay: str) -> DataFrame:
@@ -117,15 +118,39 @@ def late_counts(
     return window_counts(stream, arrival_ts, delay, length, by=by, measures={"late": late})
 
 
-def sessions(
-    stream: DataFrame, ts: str, delay: str, gap: str, by: Sequence[str]
+def _with_marks(stream: DataFrame, ts: str, marks: str) -> DataFrame:
+    """Rows and the marks of `finish`, told apart by `_closing`; the newest of either
+    moves the watermark that is declared on top."""
+    spark = stream.sparkSession
+    only = T.StructType([T.StructField(ts, stream.schema[ts].dataType)])
+    local_frame(spark, [], only).write.mode("ignore").parquet(marks)
+    times = spark.readStream.schema(only).parquet(marks).withColumn(CLOSING, F.lit(True))
+    return stream.withColumn(CLOSING, F.lit(False)).unionByName(times, allowMissingColumns=True)
+
+
+def _periods(
+    stream: DataFrame, ts: str, delay: str, gap: str, by: Sequence[str], marks: str | None
 ) -> DataFrame:
-    """Periods of activity per key; the time between two of them is a gap longer
-    than `gap`."""
+    """Periods of activity per key. Marks are periods of their own and are dropped by an
+    aggregated value: a filter on the key would reach the scan, and with it the marks
+    would be gone before the watermark sees them."""
+    if marks is None:
+        stream = stream.withColumn(CLOSING, F.lit(False))
+    else:
+        stream = _with_marks(stream, ts, marks)
     timed = with_event_time(stream, ts, delay)
-    out = timed.groupBy(F.session_window(EVENT_TIME, gap).alias("w"), *by).agg(
-        F.count(F.lit(1)).alias("n")
+    out = timed.groupBy(F.session_window(EVENT_TIME, gap).alias("w"), *by, CLOSING).agg(
+        F.max(EVENT_TIME).alias("_last"), F.count(F.lit(1)).alias("n"), F.bool_or(CLOSING).alias("_mark")
     )
+    return out.filter(~F.col("_mark"))
+
+
+def sessions(
+    stream: DataFrame, ts: str, delay: str, gap: str, by: Sequence[str], marks: str | None = None
+) -> DataFrame:
+    """Periods of activity per key; the time between two of them is a gap longer
+    than `gap`. With `marks`, `finish` also closes those that are still open."""
+    out = _periods(stream, ts, delay, gap, by, marks)
     return out.select(
         *by,
         as_ntz(F.col("w.start")).alias("session_start"),
@@ -135,18 +160,17 @@ def sessions(
 
 
 def silence_alarms(
-    stream: DataFrame, ts: str, delay: str, sla: str, by: Sequence[str]
+    stream: DataFrame, ts: str, delay: str, sla: str, by: Sequence[str], marks: str | None = None
 ) -> DataFrame:
     """Freshness per key: one alarm whenever a key has been silent for `sla`.
 
     A session with the SLA as its gap closes exactly then, so the timers are
     Spark's own and rows of a hot key are merged before the shuffle where
     spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition is on.
+    Rows alone move the watermark no further than the newest of them; with
+    `marks`, `finish` also gives the alarms of keys that stay silent to the end.
     """
-    timed = with_event_time(stream, ts, delay)
-    out = timed.groupBy(F.session_window(EVENT_TIME, sla).alias("w"), *by).agg(
-        F.max(EVENT_TIME).alias("_last"), F.count(F.lit(1)).alias("n")
-    )
+    out = _periods(stream, ts, delay, sla, by, marks)
     return out.select(
         *by,
         as_ntz(F.col("_last")).alias("last_seen"),
@@ -155,6 +179,24 @@ def silence_alarms(
     )
 
 
+def finish(
+    spark: SparkSession, start: Callable[[], Any], marks: str, schema: T.StructType, ts: str, as_of: Any, delay: str
+) -> None:
+    """Read everything there is, then let the clock reach `as_of`.
+
+    `start()` starts the query over sessions or alarms that were given the folder
+    `marks`, each time on the same checkpoint. It runs once for the rows. Then one mark
+    with the time `as_of` + `delay` is written, so that the watermark becomes `as_of`,
+    and it runs again: whatever ends by `as_of` is final, later ends stay open. Rows
+    that arrive afterwards and lie before `as_of` count as late. Calling it again with
+    the same or a later `as_of` goes on from there; after a failure it is repeated.
+    """
+    start().awaitTermination()
+    at = moment(as_of) + F.expr(f"INTERVAL {delay}")
+    spark.range(1).select(at.cast(schema[ts].dataType).alias(ts)).write.mode("append").parquet(marks)
+    start().awaitTermination()
+
+
 def batch_lateness(
     stream: DataFrame,
     ts: str,

@@ -106,3 +106,36 @@ def test_silence(spark, feed, tmp_path):
     Z.append_to(frame, f"{tmp_path}/out", f"{tmp_path}/ck").awaitTermination()
     got = [tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").select("k", "last_seen", "alarm_at", "n").collect()]
     assert got == [("a", at(5), at(65), 2)]
+
+
+def _finish(spark, frame, path, as_of):
+    schema = frame([], SCHEMA).schema
+    return lambda out: Z.finish(
+        spark, lambda: Z.append_to(out, f"{path}/out", f"{path}/ck"), f"{path}/marks", schema, "ts", as_of, "1 minute"
+    )
+
+
+def test_finish_reports_the_last_session_and_silence(spark, frame, feed, tmp_path):
+    # Several batches: the mark must not make rows of a later file late.
+    stream = feed([(1, "a", at(0)), (2, "b", at(3))], [(3, "a", at(5)), (4, "a", at(100))], [(5, "b", at(50))])
+    alarms = Z.silence_alarms(stream, "ts", "1 hour", "20 minutes", ["k"], f"{tmp_path}/marks")
+    _finish(spark, frame, tmp_path, at(200))(alarms)
+    got = {tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").select("k", "last_seen", "alarm_at", "n").collect()}
+    assert got == {("a", at(5), at(25), 2), ("a", at(100), at(120), 1), ("b", at(3), at(23), 1), ("b", at(50), at(70), 1)}
+
+
+def test_finish_leaves_open_what_ends_later(spark, frame, feed, tmp_path):
+    stream = feed([(1, "a", at(0)), (2, "a", at(100)), (3, None, at(100))])
+    out = Z.sessions(stream, "ts", "1 minute", "10 minutes", ["k"], f"{tmp_path}/marks")
+    run = _finish(spark, frame, tmp_path, at(105))
+    run(out)
+    read = lambda: {tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").select("k", "session_end", "n").collect()}
+    assert read() == {("a", at(10), 1)}
+    _finish(spark, frame, tmp_path, at(110))(out)
+    assert read() == {("a", at(10), 1), ("a", at(110), 1), (None, at(110), 1)}
+
+
+def test_finish_of_an_empty_stream(spark, frame, feed, tmp_path):
+    out = Z.sessions(feed([]), "ts", "1 minute", "10 minutes", ["k"], f"{tmp_path}/marks")
+    _finish(spark, frame, tmp_path, at(10))(out)
+    assert spark.read.schema(out.schema).parquet(f"{tmp_path}/out").count() == 0

@@ -131,6 +131,48 @@ def stream_silence(t: Tables) -> DataFrame:
     return _appended(t, Z.silence_alarms(s, "ts", "1 hour", "3 hours", ["event_type", "source"]))
 
 
+def _finished(t: Tables, make, as_of: str) -> DataFrame:
+    """`make(stream, marks)` over all rows, then with the clock at `as_of`."""
+    at = _scratch(t)
+    frame = make(_stream(t), f"{at}/marks")
+
+    def start():
+        return Z.append_to(frame, f"{at}/out", f"{at}/ck")
+
+    Z.finish(t.spark, start, f"{at}/marks", t.events.schema, "ts", as_of, "1 hour")
+    return t.spark.read.schema(frame.schema).parquet(f"{at}/out")
+
+
+@query(
+    "stream_sessions_finished",
+    """
+    WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w >= INTERVAL 8 HOUR OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+         s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sid FROM g)
+    SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 8 HOUR AS session_end, count(*) AS n FROM s GROUP BY user_id, sid
+    """,
+)
+def stream_sessions_finished(t: Tables) -> DataFrame:
+    return _finished(t, lambda s, marks: Z.sessions(s, "ts", "1 hour", "8 hours", ["user_id"], marks), "2100-01-01 00:00:00")
+
+
+@query(
+    "stream_silence_due",
+    f"""
+    WITH g AS (SELECT event_type, user_id % 20 AS source, ts FROM events),
+         l AS (SELECT *, CASE WHEN ts - lag(ts) OVER w >= INTERVAL 3 HOUR OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM g WINDOW w AS (PARTITION BY event_type, source ORDER BY ts)),
+         s AS (SELECT *, sum(new) OVER (PARTITION BY event_type, source ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sid FROM l),
+         a AS (SELECT event_type, source, max(ts) AS last_seen, max(ts) + INTERVAL 3 HOUR AS alarm_at, count(*) AS n FROM s GROUP BY event_type, source, sid)
+    SELECT * FROM a WHERE alarm_at <= greatest(TIMESTAMP '{AS_OF}', (SELECT date_trunc('millisecond', max(ts)) FROM events) - INTERVAL 1 HOUR)
+    """,
+)
+def stream_silence_due(t: Tables) -> DataFrame:
+    def make(s: DataFrame, marks: str) -> DataFrame:
+        s = s.withColumn("source", F.col("user_id") % 20)
+        return Z.silence_alarms(s, "ts", "1 hour", "3 hours", ["event_type", "source"], marks)
+
+    return _finished(t, make, AS_OF)
+
+
 @query(
     "stream_suite",
     """
@@ -159,13 +201,23 @@ def stream_suite(t: Tables) -> DataFrame:
 
 @query(
     "stream_batch_lateness",
-    "SELECT CAST(0 AS BIGINT) AS batch_id, count(*) AS n, CAST(0 AS BIGINT) AS late FROM events",
+    """
+    WITH e AS (SELECT event_id % 4 AS batch_id, ts FROM events),
+         b AS (SELECT batch_id, max(ts) AS newest FROM e GROUP BY batch_id),
+         s AS (SELECT batch_id, max(newest) OVER (ORDER BY batch_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM b)
+    SELECT batch_id::BIGINT AS batch_id, count(*) AS n, count(*) FILTER (seen - ts > INTERVAL 1 HOUR) AS late
+    FROM e JOIN s USING (batch_id) GROUP BY ALL
+    """,
 )
 def stream_batch_lateness(t: Tables) -> DataFrame:
+    """All events arrive in four loads, one after the other on the same checkpoint."""
     at = _scratch(t)
 
     def sink(counts: DataFrame, batch_id: int) -> None:
         counts.withColumnRenamed("batch_id", "batch").write.mode("overwrite").parquet(f"{at}/out/part={batch_id}")
 
-    Z.batch_lateness(_stream(t), "ts", 3600, sink, f"{at}/ck", f"{at}/store").awaitTermination()
+    for load in range(4):
+        t.events.filter(F.col("event_id") % 4 == load).write.mode("append").parquet(f"{at}/in")
+        stream = t.spark.readStream.schema(t.events.schema).parquet(f"{at}/in")
+        Z.batch_lateness(stream, "ts", 3600, sink, f"{at}/ck", f"{at}/store").awaitTermination()
     return t.spark.read.parquet(f"{at}/out").select(F.col("batch").alias("batch_id"), "n", "late")
