@@ -8,16 +8,18 @@ from pyspark.sql import Column, functions as F, types as T
 def variant(payload: Column, data_type: T.DataType | None = None) -> Column:
     """The payload as VARIANT; text that is not exactly one JSON value is null.
 
-    `try_parse_json` stops after the first value and so accepts trailing text.
-    The text is therefore read as the only element of an array AND as the only
-    member of an object: a text that closes one of them early is an error in the
-    other, so both parse only if there is exactly one value.
+    `try_parse_json` stops after the first value and so accepts trailing text. The
+    text is therefore read as the only element of an array. An object without `]` and
+    without a comma after a `}` cannot end early in it, which settles most payloads with
+    one parse; any other text is also read as the only member of an object: a text that
+    closes one of the two early is an error in the other.
     """
     if isinstance(data_type, T.VariantType):
         return payload
     in_array = F.try_parse_json(F.concat(F.lit("["), payload, F.lit("]")))
     in_object = F.try_parse_json(F.concat(F.lit('{"v":'), payload, F.lit("}")))
-    return F.when(in_array.isNotNull(), F.try_variant_get(in_object, "$.v", "variant"))
+    one_object = F.ltrim(payload).startswith("{") & ~payload.contains("]") & ~payload.rlike(r"\}\s*,")
+    return F.when(one_object | in_object.isNotNull(), F.try_variant_get(in_array, "$[0]", "variant"))
 
 
 def is_valid_json(payload: Column) -> Column:

@@ -109,29 +109,39 @@ def pii_rows(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     return df.filter(cond)
 
 
-def no_pii_measurement(output: DataFrame, source: DataFrame | None = None) -> Measurement:
+def no_pii_measurement(
+    output: DataFrame, source: DataFrame | None = None, values: bool = False
+) -> Measurement:
     """Columns of `output` whose name suggests personal data, and whether it
-    carries every column of `source`. The answer is metadata; the frame only
-    supplies the row count."""
+    carries every column of `source`. That much is metadata. With `values`, rows
+    whose text matches a pattern of personal data are violations too."""
     exposed = named_pii(output)
     everything = source is not None and set(source.columns) <= set(output.columns)
     n = len(exposed) + (1 if everything and exposed else 0)
-    return Measurement(
-        output,
-        {"rows": rows()},
-        lambda m: Judgement(
-            violations=F.lit(n),
-            passed=zero(F.lit(n)),
-            observed=F.lit(n),
+    found = F.lit(False)
+    for c in string_columns(output) if values else ():
+        found = found | F.coalesce(P.has_match(F.col(c)), F.lit(False))
+
+    def judge(m: Any) -> Judgement:
+        violations = F.lit(n) + m("matching")
+        matching = {"matching_rows": m("matching")} if values else {}
+        return Judgement(
+            violations=violations,
+            passed=zero(violations),
+            observed=violations,
             expected=F.lit(0),
             metrics={
                 "exposed_columns": F.lit(",".join(exposed)),
                 "all_columns": F.lit(str(everything).lower()),
                 "total_rows": m("rows"),
+                **matching,
             },
-        ),
-    )
+        )
+
+    return Measurement(output, {"rows": rows(), "matching": F.count_if(found)}, judge)
 
 
-def check_no_pii(output: DataFrame, source: DataFrame | None = None, **label: Any) -> DataFrame:
-    return result("no_pii", no_pii_measurement(output, source), **{"gate": "warn", **label})
+def check_no_pii(
+    output: DataFrame, source: DataFrame | None = None, values: bool = False, **label: Any
+) -> DataFrame:
+    return result("no_pii", no_pii_measurement(output, source, values), **{"gate": "warn", **label})

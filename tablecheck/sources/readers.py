@@ -210,8 +210,21 @@ def scan_payload(
     return spark.read.format(fmt).load(path).select(column)
 
 
-def scan_source(spark: SparkSession, fmt: str, options: Mapping[str, Any], path: str | None = None) -> DataFrame:
-    """Any Spark source, JDBC included (filters and columns are pushed down)."""
+# Options that cut a JDBC read into tasks; Spark needs all four.
+JDBC_CUT = ("partitionColumn", "lowerBound", "upperBound", "numPartitions")
+
+
+def scan_source(
+    spark: SparkSession, fmt: str, options: Mapping[str, Any], path: str | None = None, one_task: bool = False
+) -> DataFrame:
+    """Any Spark source, JDBC included (filters and columns are pushed down).
+
+    A JDBC table without partition options would be read by a single task; that is
+    refused unless `one_task` says that the table is small."""
+    given = {k.lower() for k in options}
+    missing = [k for k in JDBC_CUT if k.lower() not in given]
+    if fmt.lower() == "jdbc" and missing and not one_task:
+        raise ValueError(f"a JDBC read needs {', '.join(missing)}, or one_task=True for a small table")
     return spark.read.format(fmt).options(**options).load(path)
 
 

@@ -171,3 +171,15 @@ def test_project_and_txspec(frame):
     )
     got = {r.q: r.broken_rules for r in apply_txspec(df, spec).collect()}
     assert got == {1: ["same"], 9: ["small", "same"]}
+
+
+@pytest.mark.parametrize(
+    "text, valid",
+    [
+        ("1", True), ("null", True), (' {"a": [1, 2]} ', True), ("[[1],[2]]", True), ('"]"', True), ("[]", True),
+        ("", False), ("1,2", False), ("null,null", False), ("1]", False), ("1],[2]", False), ("{}] [", False),
+        ("1] x", False), ('1], "b":[2', False), ('{"a":1} x', False), ('{"a":1,"a":2}', False), ("1}", False), (None, False),
+    ],
+)
+def test_exactly_one_value(frame, text, valid):
+    assert frame([(text,)], "p string").select(P.is_valid_json(F.col("p"))).first()[0] is valid

@@ -107,3 +107,11 @@ def test_redact_nested(frame):
 def test_redaction_stays_in_the_jvm(frame):
     plan = R.redact(frame([("x",)], "note string"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan
+
+
+def test_no_pii_in_values(frame):
+    df = frame([("a@b.example.org",), ("plain",), (None,)], "v string")
+    r = result_of(R.check_no_pii(df, values=True))
+    assert (r.status, r.violations, r.metrics["matching_rows"]) == ("fail", 1, "1")
+    assert result_of(R.check_no_pii(df)).violations == 0
+    assert result_of(R.check_no_pii(df.filter("v = 'plain'"), values=True)).status == "pass"

@@ -98,3 +98,8 @@ def test_schema_and_stats(spark, frame):
     assert [(r.column, r.type, r.nullable) for r in table_schema(df).orderBy("position").collect()] == [("id", "int", True), ("ts", "timestamp_ntz", True)]
     assert table_stats(df).first().row_count == 1
     assert last_updated(df, "ts").first().last_updated == dt.datetime(2024, 1, 1)
+
+
+def test_unpartitioned_jdbc_is_refused(spark):
+    with pytest.raises(ValueError, match="numPartitions"):
+        R.scan_source(spark, "jdbc", {"url": "jdbc:x:y", "dbtable": "t", "partitionColumn": "id"})

@@ -148,6 +148,18 @@ def _any_pii(c: str) -> str:
     return " OR ".join(f"regexp_matches({c}, {_re(k)})" for k in P.VALUE_PATTERNS)
 
 
+@query(
+    "check_no_pii_values",
+    f"""
+    SELECT CASE WHEN count(*) FILTER ({_any_pii("text")}) > 0 THEN 'fail' ELSE 'pass' END AS status,
+           count(*) FILTER ({_any_pii("text")}) AS violations, '' AS exposed_columns, count(*) AS total_rows FROM documents
+    """,
+)
+def check_no_pii_values(t: Tables) -> DataFrame:
+    r = R.check_no_pii(t.documents.select("doc_id", "text"), values=True)
+    return verdict(r, exposed_columns="string", total_rows="bigint")
+
+
 @query("pii_rows", f"SELECT doc_id, source FROM documents WHERE {_any_pii('text')}")
 def pii_rows(t: Tables) -> DataFrame:
     return R.pii_rows(t.documents, ["text"]).select("doc_id", "source")

@@ -149,6 +149,31 @@ def key_compare(t: Tables) -> DataFrame:
     return joins.key_compare(a, b, ["o_orderkey"], ["v"])
 
 
+@query(
+    "key_compare_repeated",
+    """
+    WITH a AS (SELECT CASE WHEN l_returnflag = 'N' THEN NULL ELSE l_suppkey END AS k, l_quantity AS v, count(*) AS n FROM lineitem GROUP BY ALL),
+         b AS (SELECT CASE WHEN l_returnflag = 'N' THEN NULL WHEN l_linenumber = 3 THEN -l_suppkey ELSE l_suppkey END AS k,
+                      CASE WHEN l_linestatus = 'F' AND l_linenumber = 2 THEN NULL ELSE l_quantity END AS v, count(*) AS n FROM lineitem GROUP BY ALL),
+         m AS (SELECT coalesce(a.k, b.k) AS k, coalesce(a.n, 0) AS l, coalesce(b.n, 0) AS r
+               FROM a FULL JOIN b ON a.k IS NOT DISTINCT FROM b.k AND a.v IS NOT DISTINCT FROM b.v),
+         t AS (SELECT k, sum(least(l, r)) AS s, sum(l - least(l, r)) AS l, sum(r - least(l, r)) AS r FROM m GROUP BY k),
+         o AS (SELECT k AS l_suppkey, unnest(['same', 'differs', 'left', 'right']) AS side,
+                      unnest([s, least(l, r), l - least(l, r), r - least(l, r)]) AS n FROM t)
+    SELECT l_suppkey, side, n::BIGINT AS n FROM o WHERE n > 0
+    """,
+)
+def key_compare_repeated(t: Tables) -> DataFrame:
+    """Half of all rows share the null key."""
+    key = F.expr("IF(l_returnflag = 'N', NULL, l_suppkey) AS l_suppkey")
+    a = t.lineitem.select(key, F.col("l_quantity").alias("v"))
+    b = t.lineitem.select(
+        F.expr("CASE WHEN l_returnflag = 'N' THEN NULL WHEN l_linenumber = 3 THEN -l_suppkey ELSE l_suppkey END AS l_suppkey"),
+        F.expr("IF(l_linestatus = 'F' AND l_linenumber = 2, NULL, l_quantity) AS v"),
+    )
+    return joins.key_compare(a, b, ["l_suppkey"], ["v"]).groupBy("l_suppkey", "side").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(
     "ir_aggregate",
     """
