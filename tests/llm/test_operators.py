@@ -137,6 +137,29 @@ def test_mixing_meets_targets(request, name):
     assert copies.columns == docs.columns and copies.count() == sum(r.copies for r in rows)
 
 
+def test_mixing_ranges_do_not_decide(edge):
+    rows = [sorted(map(str, mixing.allocate(edge, chunks=n).collect())) for n in (2, 7, 4096)]
+    assert rows[0] == rows[1] == rows[2]
+
+
+def test_mixing_includes_by_size(spark):
+    """Long documents are certain, the others enter in proportion to their words."""
+    sizes = {i: 1 + i % 8 for i in range(160)} | {160: 500}
+    docs = spark.createDataFrame([(i, "w " * n, "a") for i, n in sizes.items()], "doc_id long, text string, source string")
+    total, target, taken = sum(sizes.values()), None, Counter()
+    for seed in map(str, range(6)):
+        for r in mixing.allocate(docs, seed=seed).collect():
+            assert r.copies in (1, 2)
+            taken[sizes[r.doc_id]] += r.copies - 1
+            target = r.target
+    need = target - total
+    rate = (need - 500) / sum(n * n for n in sizes.values() if n < 500)
+    assert need > 500 and taken[500] == 6  # rate * 500 is far above 1
+    for n in range(1, 9):
+        p = min(1, rate * n)
+        assert abs(taken[n] - 120 * p) <= 4.5 * (120 * p * (1 - p)) ** 0.5 + 2 if p < 1 else taken[n] == 120
+
+
 def test_fingerprints(spark, edge, real):
     for docs in (edge, real):
         rows = fingerprints.fingerprints(docs).collect()
