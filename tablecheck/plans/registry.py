@@ -403,7 +403,7 @@ def _install() -> None:
     )
     add(
         "no_pii",
-        lambda df, c, env: no_pii_measurement(df),
+        lambda df, c, env: no_pii_measurement(df, values=bool(c.params.get("values"))),
         lambda df, c, env: pii_rows(df),
     )
     add(
