@@ -386,6 +386,29 @@ def test_html_prose_without_article_on_a_large_host(spark):
             assert r.text == f"{quote}\npage {r.page_id - 30_000}"
 
 
+def test_html_frames_inside_articles(spark):
+    """Blocks that most articles of a host have go; text that some share, and copies, stay."""
+    def page(i, host, blocks):
+        return i, f"http://{host}/{i}", "<nav>Home</nav><article>" + "".join(f"<p>{b}</p>" for b in blocks) + "</article>"
+
+    def own(i):
+        return [f"page {i} tells " + " ".join(f"w{i}x{k}" for k in range(12)), f"and it ends {i} as it does"]
+
+    notice = "Sign up here for our weekly letter"
+    rows = [page(i, "frame", [notice, *own(i), "Read more"][: 4 if i % 2 else 3]) for i in range(24)]
+    rows += [page(100 + i, "few", [*own(i), notice][: 3 if i < 9 else 2]) for i in range(24)]
+    rows += [page(200 + i, "near", [*own(0), f"copy {i}"]) for i in range(24)]
+    rows += [page(300 + i, "same", [*own(0), notice]) for i in range(24)]
+    rows += [page(400 + i, "small", [*own(i), notice]) for i in range(9)]
+    want = {i: own(i) for i in range(24)}
+    want |= {100 + i: [*own(i), notice][: 3 if i < 9 else 2] for i in range(24)}
+    want |= {200 + i: [*own(0), f"copy {i}"] for i in range(24)} | {300 + i: [*own(0), notice] for i in range(24)}
+    want |= {400 + i: [*own(i), notice] for i in range(9)}
+    got = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == {i: "\n".join(b) for i, b in want.items()}
+    assert all(r.n_chars == len(r.text) for r in got)
+
+
 def brute_components(docs, words):
     sets = {}
     for r in docs.collect():
