@@ -33,6 +33,9 @@ HOT_KEYS = 100_000
 SAMPLED = 64
 # A bucket of copies is cut further; its parts are numbered within it.
 PARTS = 1 << 24
+# Cuts are looked up in a tree of three levels: on the lower two a row carries at most
+# FAN of them, on the top one in FAN * FAN of those of its key.
+FAN = 64
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int) -> DataFrame:
@@ -72,9 +75,17 @@ def hot_cuts(
     return cuts.groupBy(*names).agg(kept.alias("_cuts"))
 
 
-def place_among(cuts: Column, value: Column) -> Column:
-    """How many of the ascending `cuts` are at most `value`: by halving steps."""
-    steps = F.array(*[F.lit(1 << i) for i in range(24, -1, -1)])
+def cut_nodes(cuts: DataFrame, names: Sequence[str], span: int) -> DataFrame:
+    """Every `span`-th cut in arrays of FAN: key, `_node` (place among these arrays) and
+    the ascending `_cuts`."""
+    chosen = cuts.select(*names, F.posexplode("_cuts").alias("_i", "_c")).filter(F.col("_i") % span == 0)
+    node = F.floor(F.col("_i") / (span * FAN)).alias("_node")
+    return chosen.groupBy(*names, node).agg(F.array_sort(F.collect_list("_c")).alias("_cuts"))
+
+
+def place_among(cuts: Column, value: Column, most: int) -> Column:
+    """How many of the ascending `cuts`, under 2 * `most`, are at most `value`: by halving steps."""
+    steps = F.array(*[F.lit(1 << i) for i in range(most.bit_length() - 1, -1, -1)])
 
     def step(at: Column, size: Column) -> Column:
         there = F.get(cuts, at + size - 1)
@@ -97,14 +108,21 @@ def with_bucket(
     within a key, and `_hot`. Rows equal in both stay together unless `split_copies`;
     then it must not matter to the caller which of them comes first."""
     names = [f"_h_{k}" for k in keys]
-    cuts = F.broadcast(hot_cuts(df, keys, position, tie, hot_rows, bucket_rows))
+    cuts = hot_cuts(df, keys, position, tie, hot_rows, bucket_rows)
     same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names)])
     value = F.struct(F.col(position), F.col(tie))
-    joined = df.join(cuts, same, "left").withColumn("_hot", F.col("_cuts").isNotNull())
-    joined = joined.withColumn("_place", F.when(F.col("_hot"), place_among(F.col("_cuts"), value)).otherwise(F.lit(0)))
-    bucket = F.col("_place").cast("bigint") * PARTS
+    top = cuts.withColumn("_cuts", F.filter("_cuts", lambda c, i: i % (FAN * FAN) == 0))
+    joined = df.join(F.broadcast(top), same, "left").withColumn("_hot", F.col("_cuts").isNotNull())
+    place = F.when(F.col("_hot"), place_among(F.col("_cuts"), value, 1 << 20)).otherwise(F.lit(0)).cast("bigint")
+    joined = joined.withColumn("_place", place)
+    for span in (FAN, 1):
+        nodes, above = F.broadcast(cut_nodes(cuts, names, span)), F.col("_place") - 1
+        joined = joined.drop("_cuts", *names).join(nodes, same & (F.col("_node") == above), "left").drop("_node")
+        place = above * FAN + place_among(F.col("_cuts"), value, FAN)
+        joined = joined.withColumn("_place", F.when(F.col("_cuts").isNotNull(), place).otherwise(F.lit(0)))
+    bucket = F.col("_place") * PARTS
     if split_copies:
-        cut = F.get("_cuts", F.col("_place") - 1)
+        cut = F.get("_cuts", F.pmod(F.col("_place") - 1, F.lit(FAN)).cast("int"))
         many = F.coalesce(cut["parts"] > 1, F.lit(False))
         copy = cut["p"].eqNullSafe(F.col(position)) & cut["t"].eqNullSafe(F.col(tie))
         part = F.when(copy, F.pmod(F.monotonically_increasing_id(), cut["parts"])).otherwise(cut["parts"])

@@ -127,6 +127,23 @@ def test_running_max_of_equal_positions(frame, bucket):
     assert sum(want) > 50
 
 
+def test_no_row_carries_all_cuts_of_its_key(spark):
+    """Cuts are looked up in arrays of at most FAN (the topmost: one in FAN * FAN cuts)."""
+    df = spark.range(20_000).select(F.lit("k").alias("k"), F.col("id").alias("p"), F.col("id").alias("t"))
+    cuts = intervals.hot_cuts(df, ["k"], "p", "t", 10, 3).cache()
+    count = cuts.select(F.size("_cuts")).first()[0]
+    assert count > intervals.FAN * intervals.FAN
+    for span in (intervals.FAN, 1):
+        nodes = intervals.cut_nodes(cuts, ["_h_k"], span).collect()
+        assert max(len(r._cuts) for r in nodes) == intervals.FAN
+        assert sum(len(r._cuts) for r in nodes) == -(-count // span)
+    sizes = intervals.with_bucket(df, ["k"], "p", "t", 10, 3).groupBy("_bucket")
+    sizes = sizes.agg(F.min("p").alias("a"), F.max("p").alias("b"), F.count("p").alias("n")).orderBy("_bucket").collect()
+    assert [r._bucket for r in sizes] == [i * intervals.PARTS for i in range(count + 1)]
+    assert all(r.b - r.a + 1 == r.n <= 6 for r in sizes) and sum(r.n for r in sizes) == 20_000
+    assert all(x.b + 1 == y.a for x, y in zip(sizes, sizes[1:]))
+
+
 def test_only_the_largest_keys_are_cut(frame, monkeypatch):
     monkeypatch.setattr(intervals, "HOT_KEYS", 2)
     df = frame([(k,) for k in range(6) for _ in range(k + 3)], "k int")
