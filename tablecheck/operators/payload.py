@@ -136,6 +136,7 @@ def json_type_measurement(
 
 
 def wrong_type_rows(df: DataFrame, payload: str, path: str, expected: str) -> DataFrame:
+    df = parsed_rows(df.drop(parsed_name(payload)), payload)
     return df.filter(P.type_class(P.at(parsed(df, payload), path)) != expected.upper())
 
 
@@ -338,7 +339,7 @@ def _mapping(df: DataFrame, payload: str, path: str, column: str) -> tuple[Colum
 
 def mapping_rows(df: DataFrame, payload: str, path: str, column: str) -> DataFrame:
     """Rows whose value at the path differs from the column."""
-    df = with_parsed(df, payload)
+    df = parsed_rows(df.drop(parsed_name(payload)), payload)
     both, missing, equal = _mapping(df, payload, path, column)
     return df.filter(both & ~missing & ~equal)
 

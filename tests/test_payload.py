@@ -183,3 +183,12 @@ def test_project_and_txspec(frame):
 )
 def test_exactly_one_value(frame, text, valid):
     assert frame([(text,)], "p string").select(P.is_valid_json(F.col("p"))).first()[0] is valid
+
+
+def test_violating_rows_parse_once(spark):
+    df = J.with_parsed(spark.createDataFrame([(1, '{"k": 2}'), (2, '{"k": 2}'), (3, None)], "n bigint, payload string"), "payload")
+    wrong = J.wrong_type_rows(df, "payload", "$.k", "STRING"), J.mapping_rows(df, "payload", "$.k", "n")
+    assert [sorted(r.n for r in found.collect()) for found in wrong] == [[1, 2], [1]]
+    for found in wrong:
+        plan = found.drop("_v_payload")._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("[,") == 1, plan

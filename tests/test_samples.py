@@ -114,3 +114,17 @@ def test_rows_are_masked_after_they_were_chosen(spark):
     assert plan.startswith("TakeOrderedAndProject(limit=3") and "regexp" not in plan
     assert [json.loads(r.row)["v"] for r in out.collect()] == [-1, -1, -1]
     assert not any("user" in r.row and "@mail.com" in r.row for r in out.collect())
+
+
+def test_samples_are_the_least_rows_by_json_text(spark):
+    rows = [(v, o, t) for v in (None, -12, -1, 0, 1, 10, 12, 100) for o in (None, 5, 40) for t in (None, "a")]
+    df = spark.createDataFrame(rows, "`value` bigint, other int, text string")
+    suite = Suite("s", [Check("none", "invariant", "t", expression="false")])
+    results = S.execute_suite(spark, suite, {"t": df}, as_of=AS_OF)
+    want = sorted(r.j for r in df.select(F.to_json(F.struct("*")).alias("j")).collect())
+    for limit in (1, 7, 20, 48):
+        out = S.sample_violations(spark, suite, results, {"t": df}, as_of=AS_OF, limit=limit)
+        assert sorted(r.row for r in out.collect()) == want[:limit]
+    # The JSON text is no column of the rows that are ordered, only the second thing to order by.
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "orderBy=[coalesce(CASE" in plan and "StructsToJson" not in plan.split("output=", 1)[1]

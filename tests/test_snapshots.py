@@ -92,3 +92,27 @@ def test_bitmaps_let_wanted_rows_through_only(spark):
     wanted = snapshots.with_row_hash(df.filter("id % 1000 = 3"), df.columns).withColumn("_net", F.lit(1))
     got = snapshots.fetched(df, df.columns, wanted)
     assert {r.id for r in got.collect()} == set(range(3, 20000, 1000))
+
+
+@pytest.mark.parametrize("seed", [6, 7])
+def test_changed_columns_by_hash_and_by_row(frame, seed):
+    rng = random.Random(seed)
+    cur = [(i, *r[1:]) for i, r in enumerate(table(rng, 150))]
+    prev = [(r[0], *[rng.choice([v, v, v, w]) for v, w in zip(r[1:], o[1:])]) for r, o in zip(cur, table(rng, 150))]
+    cur += [(3, "x", "x", float("nan"), 1), (4, None, "42", -0.0, 42), (900, "a", "b", 1.0, None)]
+    prev += [(3, "x", "x", float("nan"), 1), (5, None, "42", 0.0, 42), (900, "b", "a", 1.0, 42)]
+    sides = [frame(rows, SCHEMA) for rows in (cur, prev)]
+    by_hash, by_row = [
+        sorted(map(tuple, snapshots.key_changes(*sides, ["k"], hashed_columns=n).collect()), key=str) for n in (16, 0)
+    ]
+    assert by_hash == by_row and (900, 0, 0, 1, ["a", "b", "n"]) in by_hash
+
+
+def test_key_changes_of_few_columns_read_each_table_once(spark, tmp_path):
+    for name in ("cur", "prev"):
+        spark.range(100).select("id", (F.col("id") % 7).alias("v")).write.parquet(str(tmp_path / name))
+    cur, prev = [spark.read.parquet(str(tmp_path / name)) for name in ("cur", "prev")]
+    found = snapshots.key_changes(cur, prev.withColumn("v", F.expr("IF(id = 3, 9, v)")), ["id"])
+    assert [tuple(r) for r in found.collect()] == [(3, 0, 0, 1, ["v"])]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan[: plan.find("== Initial Plan ==")].count("FileScan") == 2
