@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from decimal import Decimal
 from typing import Any
 
@@ -23,6 +23,14 @@ _OPERATORS: dict[str, Callable[[Column, Any], Column]] = {
 }
 
 
+def names_where(conditions: Iterable[tuple[str, Column]]) -> Column:
+    """The names whose condition is true. Put together from constant arrays, which is
+    compiled; a lambda over an array, as in `array_compact`, is interpreted row by row."""
+    none = F.array().cast("array<string>")
+    parts = [F.when(c, F.array(F.lit(name))).otherwise(none) for name, c in conditions]
+    return F.concat(*parts) if parts else none
+
+
 def filter_predicate(f: Filter) -> Column:
     if f.operator not in _OPERATORS:
         raise ValueError(f"unknown filter operator {f.operator!r}")

@@ -8,6 +8,7 @@ from single_row import result_of
 from pyspark.sql import functions as F
 
 from tablecheck.operators import snapshots
+from tablecheck.operators.integrity import uncovered_rows
 
 SCHEMA = "k int, a string, b string, d double, n int"
 
@@ -116,3 +117,13 @@ def test_key_changes_of_few_columns_read_each_table_once(spark, tmp_path):
     assert [tuple(r) for r in found.collect()] == [(3, 0, 0, 1, ["v"])]
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert plan[: plan.find("== Initial Plan ==")].count("FileScan") == 2
+
+
+def test_names_of_changes_are_put_together_without_a_lambda(frame):
+    cur, prev = frame([(1, 2, "x"), (2, 2, None)], "k int, n int, a string"), frame([(1, 3, "x"), (2, None, "y")], "k int, n int, a string")
+    found = snapshots.key_changes(cur, prev, ["k"])
+    missing = uncovered_rows(cur, [(["n"], prev, ["n"]), (["a"], prev, ["a"])])
+    assert sorted((r.k, r.changed_columns) for r in found.collect()) == [(1, ["n"]), (2, ["n", "a"])]
+    assert sorted((r.k, r.missing) for r in missing.collect()) == [(1, ["n"]), (2, ["n", "a"])]
+    for df in (found, missing):
+        assert "lambda" not in df._jdf.queryExecution().executedPlan().toString()
