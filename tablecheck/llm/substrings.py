@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -237,10 +238,10 @@ def _counted(length: int, words: bool):
     return work
 
 
-CONTEXT = "tk binary, anchor long, c1 long, c2 long, lo long, shift int, n long, m long, context binary"
+CONTEXT = "tk binary, anchor long, c1 long, c2 long, lo long, shift int, n long, m long, words boolean, context binary"
 
 
-def _contexts(length: int, words: bool):
+def _contexts(lengths: dict[bool, int]):
     """The bytes, or hashes of words, of the wanted contexts of each text."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,12 +249,12 @@ def _contexts(length: int, words: bool):
             for start in range(0, batch.num_rows, 128):
                 rows = []
                 for r in batch.slice(start, 128).to_pylist():
-                    sequence = _sequence(r["text"], words)
+                    sequences = {k: _sequence(r["text"], k) for k in {w["words"] for w in r["wanted"]}}
                     for w in r["wanted"]:
-                        context = sequence[w["lo"] : w["hi"] + length].tobytes()
+                        context = sequences[w["words"]][w["lo"] : w["hi"] + lengths[w["words"]]].tobytes()
                         rows.append({"tk": r["tk"], **w, "context": context})
                 names = [c.split()[0] for c in CONTEXT.split(", ")]
-                kinds = {"binary": pa.binary(), "long": pa.int64(), "int": pa.int32()}
+                kinds = {"binary": pa.binary(), "long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}
                 types = [kinds[c.split()[1]] for c in CONTEXT.split(", ")]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([r[n] for r in rows], t) for n, t in zip(names, types)], names=names
@@ -262,65 +263,100 @@ def _contexts(length: int, words: bool):
     return work
 
 
-def repeated_windows(
-    docs: DataFrame,
-    length: int = LENGTH,
-    gram: int = GRAM,
-    large_interval: int = LARGE_INTERVAL,
-    words: bool = False,
-) -> DataFrame:
-    """(tk, lo, hi): runs of starts of repeated strings, per distinct text. With
-    `words`, all lengths and places count words instead of bytes."""
-    texts = docs.select("text")
+KEY = ["anchor", "c1", "c2"]
+
+
+def _hits(texts: DataFrame, length: int, gram: int, words: bool) -> DataFrame:
+    """Segments of anchors that occur again: n segments have the context, m contexts
+    the anchor."""
     found = cut(texts.mapInArrow(_segmented(length, gram, words), SEGMENT))
-    key = ["anchor", "c1", "c2"]
-    contexts = found.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
+    contexts = found.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"))
     anchors = contexts.groupBy("anchor").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("all")).where(
         F.col("all") > 1
     )
     info = contexts.join(anchors.drop("all"), "anchor")
-    hits = cut(found.join(info, key))
-    whole = hits.where("n > 1").select("tk", "lo", "hi").distinct()
+    return cut(found.join(info, KEY)).withColumn("words", F.lit(words))
+
+
+def repeated_windows(
+    docs: DataFrame, kinds: dict[bool, tuple[int, int]], large_interval: int = LARGE_INTERVAL
+) -> DataFrame:
+    """(tk, lo, hi, words): runs of starts of repeated strings, per distinct text.
+    `kinds` has length and gram of strings of bytes (False) and of words (True), whose
+    places count words; texts are fetched once for both."""
+    hits = [_hits(docs.select("text"), length, gram, words) for words, (length, gram) in kinds.items()]
+    both = reduce(DataFrame.unionByName, hits)
     # One context of each kind is enough to compare with the others.
-    unclear = hits.where("m > 1").dropDuplicates(key)
+    unclear = both.where("m > 1").dropDuplicates([*KEY, "words"])
     wanted = unclear.groupBy("tk").agg(
-        F.collect_list(F.struct("anchor", "c1", "c2", "lo", "hi", "shift", "n", "m")).alias("wanted")
+        F.collect_list(F.struct("anchor", "c1", "c2", "lo", "hi", "shift", "n", "m", "words")).alias("wanted")
     )
     source = docs.select(text_key(F.col("text")).alias("tk"), F.coalesce("text", F.lit("")).alias("text"))
-    read = source.join(wanted, "tk").select("tk", "text", "wanted").mapInArrow(_contexts(length, words), CONTEXT)
-    read = cut(read)
-    small = read.where(F.col("m") <= large_interval).dropDuplicates(key)
-    small = small.repartition("anchor").sortWithinPartitions("anchor")
-    marks = whole.unionByName(small.mapInArrow(_solved(length, words), "tk binary, lo long, hi long"))
-    large = read.where(F.col("m") > large_interval).dropDuplicates(key)
-    rows = large.mapInArrow(_counted(length, words), "k1 long, k2 long, n long, tk binary, lo long")
-    again = rows.groupBy("k1", "k2").agg(F.sum("n").alias("s")).where("s > 1").select("k1", "k2")
-    spread = rows.where("n = 1").join(again, ["k1", "k2"]).select("tk", "lo", F.col("lo").alias("hi"))
-    return cut(marks.unionByName(spread))
-
-
-def _removed(length: int, words: int | None, keep_text: bool):
+    lengths = {words: length for words, (length, _) in kinds.items()}
+    read = cut(source.join(wanted, "tk").select("tk", "text", "wanted").mapInArrow(_contexts(lengths), CONTEXT))
+    marks = [both.where("n > 1").select("tk", "lo", "hi", "words").distinct()]
+    for words, length in lengths.items():
+        mine = read.where(F.col("words") == words)
+        small = mine.where(F.col("m") <= large_interval).dropDuplicates(KEY)
+        small = small.repartition("anchor").sortWithinPartitions("anchor")
+        solved = small.mapInArrow(_solved(length, words), "tk binary, lo long, hi long")
+        large = mine.where(F.col("m") > large_interval).dropDuplicates(KEY)
+        rows = large.mapInArrow(_counted(length, words), "k1 long, k2 long, n long, tk binary, lo long")
+        again = rows.groupBy("k1", "k2").agg(F.sum("n").alias("s")).where("s > 1").select("k1", "k2")
+        spread = rows.where("n = 1").join(again, ["k1", "k2"]).select("tk", "lo", F.col("lo").alias("hi"))
+        marks.append(solved.unionByName(spread).withColumn("words", F.lit(words)))
+    return cut(reduce(DataFrame.unionByName, marks))
+
+
+DIGESTS = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+CUTS = "n_cut long, n_cuts long, cut_text string"
+
+
+def _added(keep_text: bool, apart: bool) -> str:
+    """The columns that `remove_repeats` adds."""
+    return DIGESTS + (f", {CUTS}" if apart else "") + (", kept_text string" if keep_text else "")
+
+
+def _without(raw: bytes, ranges: list[tuple[int, int]]) -> tuple[bytes, int]:
+    """What is left outside the ranges, and the number of runs that go."""
+    kept, at = [], 0
+    merged = _merged(ranges)
+    for lo, hi in merged:
+        kept.append(raw[at:lo])
+        at = hi
+    return b"".join([*kept, raw[at:]]), len(merged)
+
+
+def _removed(length: int, words: int | None, keep_text: bool, apart: bool):
+    columns = [c.split() for c in _added(keep_text, apart).split(", ")]
+    kinds = [pa.int64() if kind == "long" else pa.string() for _, kind in columns]
+
+    def row(text: str | None, runs: list[dict]) -> tuple:
+        raw = (text or "").encode()
+
+        def left(some: list[dict]) -> tuple[bytes, int]:
+            return _without(raw, _ranges(raw, some, length, words))
+
+        def decoded(rest: bytes) -> str | None:
+            return text if len(rest) == len(raw) else rest.decode(errors="ignore")
+
+        first = [r for r in runs if not r["words"]] if apart else runs
+        rest, spans = left(first)
+        out = (len(raw), len(raw) - len(rest), spans, hashlib.sha256(rest).hexdigest())
+        if apart:
+            less, cuts = left(runs) if len(first) < len(runs) else (rest, spans)
+            out = (*out, len(raw) - len(less), cuts, decoded(less))
+        return (*out, decoded(rest)) if keep_text else out
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
-                rows = []
-                for text, runs in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    raw = (text or "").encode()
-                    kept, at, spans = [], 0, 0
-                    for lo, hi in _merged(_ranges(raw, runs or [], length, words)):
-                        kept.append(raw[at:lo])
-                        at, spans = hi, spans + 1
-                    rest = b"".join([*kept, raw[at:]])
-                    row = (len(raw), len(raw) - len(rest), spans, hashlib.sha256(rest).hexdigest())
-                    new = text if not spans else rest.decode(errors="ignore")
-                    rows.append((*row, new) if keep_text else row)
-                kinds = [pa.int64()] * 3 + [pa.string()] * 2
-                names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"]
+                rows = [row(t, r or []) for t, r in zip(part.column(0).to_pylist(), part.column(1).to_pylist())]
                 made = [pa.array(c, t) for c, t in zip(zip(*rows), kinds)]
                 rest_columns = [part.column(i) for i in range(2, part.num_columns)]
                 yield pa.RecordBatch.from_arrays(
-                    [*made, *rest_columns], names=names[: len(made)] + part.schema.names[2:]
+                    [*made, *rest_columns], names=[c for c, _ in columns] + part.schema.names[2:]
                 )
 
     return work
@@ -356,6 +392,7 @@ def remove_repeats(
     large_interval: int = LARGE_INTERVAL,
     keep_text: bool = False,
     words: int | None = None,
+    apart: bool = False,
 ) -> DataFrame:
     """n_bytes, n_removed, n_spans, kept_sha256, with keep_text kept_text (code points
     that a cut splits are left out), and the columns `keep` of every row.
@@ -363,30 +400,33 @@ def remove_repeats(
     A byte goes if it is covered by a string of `length` bytes that also starts
     elsewhere in the table, in the same text or another; all occurrences go. With
     `words`, so does every run of that many words that also starts elsewhere, whatever
-    its bytes and the space between its words. Null
+    its bytes and the space between its words. With `apart`, these columns leave such
+    runs in, and n_cut, n_cuts and cut_text follow: bytes and spans that go with the
+    runs as well, and the text that is left then. Null
     text: empty. Repeated rows of at least `length` bytes repeat each other. Texts
     are compared as UTF-8 and never across rows. An empty table gives no rows.
     Columns of `keep` that share a name with an added one give way to it.
     """
     keep = ["doc_id"] if keep is None else keep
-    added = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"][: 5 if keep_text else 4]
+    if apart and not words:
+        raise ValueError("apart needs a number of words")
+    schema = _added(keep_text, apart)
+    added = [c.split()[0] for c in schema.split(", ")]
     names = [c for c in keep if c not in added]
-    marks = repeated_windows(docs, length, gram, large_interval).withColumn("words", F.lit(False))
-    if words:
-        passages = repeated_windows(docs, words, min(WORD_GRAM, words), large_interval, True)
-        marks = marks.unionByName(passages.withColumn("words", F.lit(True)))
+    kinds = {False: (length, gram)} | ({True: (words, min(WORD_GRAM, words))} if words else {})
+    marks = repeated_windows(docs, kinds, large_interval)
     runs = marks.groupBy("tk").agg(F.collect_list(F.struct("lo", "hi", "words")).alias("__runs"))
     kept = [F.col(f"`{c}`").alias(f"__k{i}") for i, c in enumerate(names)]
     source = docs.select(text_key(F.col("text")).alias("tk"), F.col("text").alias("__text"), *kept)
     joined = source.join(runs, "tk", "left").select("__text", "__runs", *[f"__k{i}" for i in range(len(names))])
     types = [docs.schema[c].dataType.simpleString() for c in names]
-    schema = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    schema += ", kept_text string" if keep_text else ""
     schema += "".join(f", __k{i} {t}" for i, t in enumerate(types))
-    out = joined.mapInArrow(_removed(length, words, keep_text), schema)
+    out = joined.mapInArrow(_removed(length, words, keep_text, apart), schema)
     return out.select(*[F.col(f"__k{i}").alias(c) for i, c in enumerate(names)], *added)
 
 
 @query("op8_suffix_dedup")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
-    return remove_repeats(table(spark, folder, "documents"))
+    """Strings of 400 bytes, and apart from them passages of over 50 words, which can
+    have fewer bytes."""
+    return remove_repeats(table(spark, folder, "documents"), words=WORDS, apart=True)

@@ -328,6 +328,30 @@ def test_repeated_words(spark, large):
         assert (r.kept_text or "").split() == [w for i, w in enumerate(t) if i not in gone]
 
 
+def test_op8_tells_passages_of_over_50_words_apart(spark, tmp_path):
+    def made(name, n):
+        return [f"{name}{i}" for i in range(n)]
+
+    shared = {n: made(f"{n}q", n) for n in (50, 51, 60)}
+    long = made("long", 90)
+    texts = [[*made(f"a{k}x{n}x", 30), *shared[n], *made(f"b{k}x{n}x", 9)] for k in range(2) for n in shared]
+    texts += [[*long, *made("c", 20)], [*made("d", 20), *shared[51], *long], made("clean", 200)]
+    assert all(len(" ".join(t)) < 390 for t in shared.values()) and len(" ".join(long)) > 400
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)] + [(None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = substrings.op8(spark, str(tmp_path)).collect()
+    want = brute_repeats([(t or "").encode() for _, t in rows], 400)
+    assert Counter((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == want
+    count = Counter(tuple(t[i : i + 51]) for t in texts for i in range(len(t) - 50))
+    assert {r.doc_id for r in got if r.n_removed} == {6, 7}
+    assert {r.doc_id for r in got if r.n_cut} == {1, 2, 4, 5, 6, 7}
+    for r in got:
+        t = texts[r.doc_id] if r.doc_id is not None else []
+        gone = {i + k for i in range(len(t) - 50) if count[tuple(t[i : i + 51])] > 1 for k in range(51)}
+        assert (r.cut_text or "").split() == [w for i, w in enumerate(t) if i not in gone]
+        assert r.n_cut == r.n_bytes - len((r.cut_text or "").encode()) and bool(r.n_cuts) == bool(gone)
+
+
 def test_pipeline_catches_passages_of_over_50_words(spark):
     import corpus_pipeline
 
