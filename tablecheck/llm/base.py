@@ -13,6 +13,7 @@ ORACLES: dict[str, str] = {}
 
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def query(name: str, sql: str | None = None):
@@ -44,12 +45,21 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def cut(df: DataFrame, codec: str = "zstd") -> DataFrame:
+def cut(df: DataFrame, codec: str = "zstd", release: bool = False) -> DataFrame:
     """Write `df` to the shared folder and read it back: the plan before it ends
-    there, a lost executor costs nothing, and columns are read on demand."""
+    there, a lost executor costs nothing, and columns are read on demand. With
+    `release`, the write's shuffle files go when it ends, not when the driver
+    collects garbage."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
+    if release:
+        before = spark.conf.get(SHUFFLE_CLEANUP)
+        spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        if release:
+            spark.conf.set(SHUFFLE_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
